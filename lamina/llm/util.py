@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def portions(texts: pa.Array, most_bytes: int = 4 << 20):
     """Consecutive (begin, end) runs of rows of at most about most_bytes of text each, one row at least."""
-    lengths = np.asarray(pa.compute.binary_length(texts).fill_null(0).cast(pa.int64()))
+    lengths = np.asarray(pc.binary_length(texts).fill_null(0).cast(pa.int64()))
     begin, total = 0, 0
     for k, n in enumerate(lengths):
         if k > begin and total + n > most_bytes:
