@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from lamina.llm import bpe, line_dedup, mixing, quality_rules, token_counts
+from lamina.llm import bpe, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, token_counts
 from lamina.llm.sql import line_dedup_sql, mixing_sql, quality_sql
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op5_token_counts": token_counts.op5_token_counts,
         "op7_bpe": bpe.op7_bpe,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
