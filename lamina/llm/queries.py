@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import bpe, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, token_counts
+from lamina.llm import bpe, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts
 from lamina.llm.sql import line_dedup_sql, mixing_sql, quality_sql
 
 
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op5_token_counts": token_counts.op5_token_counts,
+        "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op7_bpe": bpe.op7_bpe,
+        "op8_license_scan": license_scan.op8_license_scan,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
