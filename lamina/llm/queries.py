@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import bpe, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts
+from lamina.llm import bpe, graph_search, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts
 from lamina.llm.sql import line_dedup_sql, mixing_sql, quality_sql
 
 
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_mixing": mixing.op3_mixing,
+        "op4_graph_search": graph_search.op4_graph_search,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op7_bpe": bpe.op7_bpe,
