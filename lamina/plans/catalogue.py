@@ -1,10 +1,17 @@
-"""Queries over the reference tables and the SQL that must give the same rows."""
+"""Queries over the reference tables and the SQL that must give the same rows.
+
+Each query applies one operator of the library to whole tables. Vectors and texts stand for arrays: a row of embeddings
+is a float32 array of its length, a row of documents an array of bytes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.functions import scalars as fn
+from lamina.operators import dedupe, layout, logs, relate, select, tree, verify
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,8 +30,471 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bytes(docs: DataFrame) -> DataFrame:
+    """documents with n_bytes, the length of the text in UTF-8."""
+    return docs.withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+
+
+# Totals, offsets and layout
+
+
 @query("SELECT label, count(*) AS tensors, sum(4 * len(embedding))::BIGINT AS total_bytes, max(4 * len(embedding))::BIGINT AS largest FROM embeddings GROUP BY label")
 def catalog_totals(spark, sf_dir):
-    """Vectors seen as little-endian float32 arrays: their count and bytes by label."""
-    size = F.size("embedding").cast("bigint") * 4
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("tensors"), F.sum(size).alias("total_bytes"), F.max(size).alias("largest"))
+    """Vectors as float32 arrays: count, bytes and the largest by label."""
+    sized = table(spark, sf_dir, "embeddings").withColumn("length", fn.full_length(F.lit(0), F.lit("<f4"), F.array(F.size("embedding"))))
+    return sized.groupBy("label").agg(F.count(F.lit(1)).alias("tensors"), F.sum("length").alias("total_bytes"), F.max("length").alias("largest"))
+
+
+@query("""SELECT label, vec_id, 4 * len(embedding)::BIGINT AS length,
+    coalesce(sum(4 * len(embedding)) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 262217 AS "offset" FROM embeddings""")
+def catalog_offsets(spark, sf_dir):
+    """Where each vector's record would begin in an archive of its label: the running sum of lengths after the index."""
+    sized = table(spark, sf_dir, "embeddings").select("label", "vec_id", (F.size("embedding") * 4).cast("bigint").alias("length"))
+    return layout.offsets(sized, "length", "vec_id", ["label"], start=262217)
+
+
+@query("""SELECT o_orderkey, 0::BIGINT AS start_at, 13::BIGINT AS name_at, 13 + strlen(o_orderpriority) AS dtype_at,
+    13 + strlen(o_orderpriority) + 1 + strlen(o_orderstatus) AS shape_at, 13 + strlen(o_orderpriority) + 1 + strlen(o_orderstatus) + 5 AS end_at FROM orders""")
+def header_offsets(spark, sf_dir):
+    """Segments of a record header whose name and type are the texts of a row."""
+    size = lambda c: F.octet_length(c).cast("bigint")
+    segments = [("start", F.lit(13).cast("bigint")), ("name", size("o_orderpriority")), ("dtype", 1 + size("o_orderstatus")), ("shape", F.lit(5).cast("bigint"))]
+    return table(spark, sf_dir, "orders").select("o_orderkey", *layout.header_offsets(segments))
+
+
+_COLUMNS = {"l_orderkey": 8, "l_partkey": 8, "l_suppkey": 8, "l_linenumber": 4, "l_quantity": 8, "l_extendedprice": 8, "l_discount": 8, "l_tax": 8}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS numel, {s} AS itemsize, count({c}) * {s} AS total_bytes FROM lineitem" for c, s in _COLUMNS.items()))
+def column_catalog(spark, sf_dir):
+    """Columns of a table as one-dimensional arrays."""
+    counted = table(spark, sf_dir, "lineitem").agg(*(F.count(c).alias(c) for c in _COLUMNS))
+    rows = counted.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("numel"), F.lit(s).alias("itemsize")) for c, s in _COLUMNS.items()))))
+    return rows.withColumn("total_bytes", F.col("numel") * F.col("itemsize"))
+
+
+@query("""SELECT lang, greatest(1, count(*) FILTER (WHERE upto < 200000))::BIGINT AS readers FROM (
+    SELECT lang, sum(n) OVER (PARTITION BY lang ORDER BY n DESC, doc_id ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (PARTITION BY lang ORDER BY n DESC, doc_id) AS turn
+    FROM (SELECT lang, doc_id, strlen(text) AS n FROM documents)) WHERE turn <= 8 GROUP BY lang""")
+def ram_admission(spark, sf_dir):
+    """How many of each language's eight largest texts fit in memory together."""
+    return layout.admitted(_bytes(table(spark, sf_dir, "documents")), "n_bytes", "doc_id", 8, 200_000, ["lang"])
+
+
+@query("""WITH a AS (SELECT lang, doc_id, strlen(text) AS w FROM documents),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, (sum(w) OVER (PARTITION BY lang ORDER BY doc_id))::BIGINT AS p, (sum(w) OVER (PARTITION BY lang))::BIGINT AS s,
+        least(8, count(*) OVER (PARTITION BY lang)) AS k FROM a),
+    c AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE greatest(0, (k * (2 * p - w)) // (2 * s) + CASE WHEN (k * (2 * p - w)) % (2 * s) <> 0 THEN 1 ELSE 0 END - 1) END AS g FROM b)
+    SELECT lang, doc_id, w AS n_bytes, CASE WHEN s = 0 OR k <= 1 THEN 0 ELSE least(i + 1, i + min(g - i) OVER (PARTITION BY lang ORDER BY doc_id), k - 1) END::BIGINT AS part FROM c""")
+def greedy_partition(spark, sf_dir):
+    """Each language's texts cut into eight contiguous parts of about equal bytes."""
+    return layout.greedy_parts(_bytes(table(spark, sf_dir, "documents")).select("lang", "doc_id", "n_bytes"), "n_bytes", "doc_id", ["lang"], 8)
+
+
+@query("""WITH a AS (SELECT p_size, p_partkey, p_size * (p_partkey % 7 + 1) AS w FROM part),
+    b AS (SELECT *, sum(w) OVER (PARTITION BY p_size ORDER BY p_partkey) AS upto, sum(w) OVER (PARTITION BY p_size) AS total FROM a)
+    SELECT p_size, min(greatest(upto, total - upto))::BIGINT AS largest FROM b GROUP BY p_size""")
+def exact_partition(spark, sf_dir):
+    """The least largest of two contiguous parts, by group."""
+    weighted = table(spark, sf_dir, "part").select("p_size", "p_partkey", (F.col("p_size") * (F.col("p_partkey") % 7 + 1)).alias("weight"))
+    parts = layout.best_parts(weighted, "weight", "p_partkey", "p_size", 2)
+    return parts.groupBy("p_size", "part").agg(F.sum("weight").alias("total")).groupBy("p_size").agg(F.max("total").alias("largest"))
+
+
+@query("""SELECT doc_id, n_bytes, k AS chunk_idx, 2048 * k AS chunk_offset, least(2048, n_bytes - 2048 * k) AS chunk_length FROM (
+    SELECT doc_id, n_bytes, unnest(range((n_bytes + 2047) // 2048)) AS k FROM (SELECT doc_id, strlen(text) AS n_bytes FROM documents))""")
+def chunk_plan(spark, sf_dir):
+    return layout.chunk_plan(_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes"), "n_bytes", 2048)
+
+
+@query("""SELECT l_returnflag, max(greatest(1, CASE WHEN l_linestatus = 'F' THEN 2 ELSE 1 END, CASE WHEN l_discount > 0.09 THEN 3 ELSE 1 END, CASE WHEN l_tax = 0 THEN 4 ELSE 1 END))::INTEGER AS version,
+    bit_or(CASE WHEN l_discount > 0.09 THEN 1 ELSE 0 END | CASE WHEN l_tax = 0 THEN 2 ELSE 0 END)::INTEGER AS flags FROM lineitem GROUP BY l_returnflag""")
+def version_reduce(spark, sf_dir):
+    """The format version that a set of arrays needs, and the union of their feature flags."""
+    encrypted, meta = F.col("l_discount") > 0.09, F.col("l_tax") == 0
+    flags = F.when(encrypted, 1).otherwise(0).bitwiseOR(F.when(meta, 2).otherwise(0))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.max(layout.version(F.col("l_linestatus") == "F", encrypted, meta)).alias("version"), F.bit_or(flags).alias("flags"))
+
+
+@query("SELECT event_type, count(*) AS tensors, sum(strlen(props))::BIGINT AS total_bytes FROM events GROUP BY event_type")
+def written_totals(spark, sf_dir):
+    return layout.totals(table(spark, sf_dir, "events").withColumn("n", F.octet_length("props").cast("bigint")), "n", "event_type")
+
+
+# Selection
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'small')")
+def filter_prefix(spark, sf_dir):
+    return select.name_prefix(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "small")
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^(?:[A-Z]+ (ANODIZED|PLATED)|S.*L$|[a-m])')")
+def filter_regex(spark, sf_dir):
+    return select.name_match(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", "[A-Z]+ (ANODIZED|PLATED)|S.*L$|[a-m]")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE regexp_matches(p_brand, '[135]$')")
+def filter_callable(spark, sf_dir):
+    """An arbitrary Python predicate on names."""
+    return select.name_filter(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", _odd_end)
+
+
+def _odd_end(name: str) -> bool:
+    return name[-1:] in ("1", "3", "5")
+
+
+@query("SELECT page_id, string_split(url, '/') AS path FROM pages WHERE string_split(url, '/')[1:3] = (SELECT string_split(min(url), '/')[1:3] FROM pages)")
+def subtree_filter(spark, sf_dir):
+    """Pages below the first host, addresses seen as paths."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.split("url", "/").alias("path"))
+    first = table(spark, sf_dir, "pages").agg(F.min("url").alias("u")).select(F.slice(F.split("u", "/"), 1, 3).alias("prefix"))
+    return pages.join(F.broadcast(first), F.slice("path", 1, 3) == F.col("prefix"), "left_semi")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100")
+def read_limit(spark, sf_dir):
+    """A limited read, the limit being the feature."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return select.read_limit(orders, "o_orderkey", 100, where=F.col("o_orderstatus") == "F").drop("o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 50")
+def read_resume(spark, sf_dir):
+    """A limited read that goes on where another stopped."""
+    return select.read_limit(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 50, after=1000)
+
+
+@query("SELECT * FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer)")
+def point_get(spark, sf_dir):
+    """One array by name; none or several would be an error."""
+    customers = table(spark, sf_dir, "customer")
+    last = customers.agg(F.max("c_custkey").alias("c_custkey"))
+    return select.exactly_one(customers.join(F.broadcast(last), "c_custkey", "left_semi"))
+
+
+@query("SELECT o.o_orderkey, o.o_custkey, c.c_acctbal AS position FROM orders o JOIN customer c ON o.o_orderkey = c.c_custkey")
+def requested_order(spark, sf_dir):
+    """Rows that another table asks for, in its order."""
+    request = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_orderkey"), F.col("c_acctbal").alias("position"))
+    return select.requested(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), request, "o_orderkey", "position")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 8")
+def topk_largest(spark, sf_dir):
+    return select.top_k(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 8, F.col("n_chars").desc(), F.col("doc_id"))
+
+
+@query("SELECT source AS key, min(doc_id) AS first FROM documents GROUP BY source")
+def top_level_keys(spark, sf_dir):
+    paths = table(spark, sf_dir, "documents").select(F.array("source", "lang").alias("path"), "doc_id")
+    return select.top_level(paths, "path", "doc_id")
+
+
+@query("SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return select.duplicates(table(spark, sf_dir, "part"), "p_brand", "p_size")
+
+
+@query("SELECT s_suppkey, substring(s_name, 3, 6) AS part FROM supplier")
+def byte_range(spark, sf_dir):
+    """Bytes 2 to 8 of names, which are plain ASCII."""
+    return table(spark, sf_dir, "supplier").select("s_suppkey", select.byte_range(F.col("s_name").cast("binary"), 2, 8).cast("string").alias("part"))
+
+
+# Integrity
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def payload_sha256(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", verify.sha256(F.col("text").cast("binary")).alias("digest"))
+
+
+@query()
+def payload_crc32(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", verify.crc32(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars = 0 THEN 'meta' WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 3 THEN 'mismatch' ELSE 'ok' END AS status FROM documents""")
+def verify_hash(spark, sf_dir):
+    """Texts against stored digests, some of which are absent and some wrong."""
+    digest = verify.sha256(F.col("text").cast("binary"))
+    stored = F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 7 == 3, F.lit("0" * 64)).otherwise(digest)
+    return table(spark, sf_dir, "documents").select("doc_id", verify.status(stored, digest, F.col("n_chars") == 0).alias("status"))
+
+
+@query("SELECT s_name, s_suppkey % 11 <> 0 AS present, s_suppkey % 11 <> 0 AND s_suppkey % 3 <> 0 AS matches FROM supplier")
+def verify_module(spark, sf_dir):
+    """Names of an archive against a module that lacks some arrays and holds others changed."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.sha2(F.col("s_acctbal").cast("string"), 256).alias("digest"))
+    changed = F.when(F.col("s_suppkey") % 3 == 0, F.reverse("digest")).otherwise(F.col("digest"))
+    return verify.verify_module(rows, rows.where("s_suppkey % 11 <> 0").withColumn("digest", changed), "s_name", "digest")
+
+
+@query("""SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)
+    UNION ALL SELECT doc_id, 'right' FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 EXCEPT SELECT doc_id FROM labels)""")
+def key_diff(spark, sf_dir):
+    return verify.key_difference(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("doc_id % 3 <> 0"), "doc_id")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'left' WHEN c_custkey % 10 = 1 THEN 'right' WHEN c_nationkey % 4 = 0 THEN 'differs' ELSE 'equal' END AS status FROM customer""")
+def state_compare(spark, sf_dir):
+    """Two states key by key."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    other = rows.where("c_custkey % 10 <> 0").withColumn("c_name", F.when(F.col("c_nationkey") % 4 == 0, F.upper(F.concat("c_name", F.lit("x")))).otherwise(F.col("c_name")))
+    return verify.compare(rows.where("c_custkey % 10 <> 1"), other, ["c_custkey"], ["c_name", "c_acctbal"])
+
+
+# Joins
+
+
+@query("SELECT o_orderkey, o_orderkey || '.' || o_custkey || '.weight' AS name, o_orderkey || '.' || o_custkey AS module_path, 'weight' AS attribute, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def load_route(spark, sf_dir):
+    """Names split at their last dot and joined with modules."""
+    names = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(".", "o_orderkey", "o_custkey", F.lit("weight")).alias("name"))
+    modules = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    modules = modules.select(F.concat_ws(".", "o_orderkey", "o_custkey").alias("module"), "c_mktsegment")
+    return relate.load_route(names, modules, "name", "module").select("o_orderkey", "name", "module_path", "attribute", "c_mktsegment")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R' OR EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'P')")
+def persistent_filter(spark, sf_dir):
+    """All that are no buffers, and the buffers that the persistent set names."""
+    persistent = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return relate.persistent_only(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), F.col("l_returnflag") == "R", persistent, ["l_orderkey"]).drop("l_returnflag")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def skip_existing(spark, sf_dir):
+    existing = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return relate.skip_existing(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), existing, ["c_custkey"])
+
+
+@query("""WITH b AS (SELECT doc_id, strlen(text) AS len, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM documents),
+    p AS (SELECT o_orderkey, o_custkey * 997 AS position FROM orders)
+    SELECT o_orderkey, position, doc_id, position - begin_at AS within FROM p ASOF JOIN b ON p.position >= b.begin_at WHERE position < begin_at + len""")
+def blob_lookup(spark, sf_dir):
+    """Positions in the joined texts, and the text that holds each."""
+    docs = _bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes").withColumn("store", F.lit("documents"))
+    blobs = layout.offsets(docs, "n_bytes", "doc_id", ["store"], into="begin_at").where("n_bytes > 0")
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 997).alias("position"))
+    return relate.locate(asked, blobs, "position", "begin_at", 1 << 14, "n_bytes").select("o_orderkey", "position", "doc_id", (F.col("position") - F.col("begin_at")).alias("within"))
+
+
+@query("SELECT doc_id, lang || ':text:' || (doc_id * 37 % 1009) AS key, doc_id * 37 % 1009 AS begin_at FROM documents")
+def blob_keys(spark, sf_dir):
+    """Keys of a blob store in the order of the number they end in."""
+    keyed = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", "lang", F.lit("text"), F.col("doc_id") * 37 % 1009).alias("key"))
+    return keyed.withColumn("begin_at", select.numeric_suffix("key")).orderBy("begin_at")
+
+
+@query("""SELECT o.o_orderkey, coalesce(nullif(CASE WHEN n.n_nationkey % 5 = 0 THEN '' ELSE n.n_name END, ''), o.o_orderpriority) AS region, o.o_orderstatus
+    FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""")
+def log_enrich(spark, sf_dir):
+    """A column overwritten by that of another table where it is not empty."""
+    info = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    info = info.select("c_custkey", F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(F.col("n_name")).alias("name"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("region"), "o_orderstatus")
+    return relate.enrich(rows.withColumnRenamed("o_custkey", "c_custkey"), info, "c_custkey", {"region": "name"}).drop("c_custkey")
+
+
+# Nested structures
+
+
+@query("""SELECT '["' || conv_id || '",' || turn || ',"' || role || '"]' AS path_json, strlen(text) AS n_bytes FROM conversations""")
+def tree_flatten(spark, sf_dir):
+    """Conversations as paths: a key, an index, a key."""
+    path = F.array(tree.key_step(F.col("conv_id")), tree.index_step(F.col("turn")), tree.key_step(F.col("role")))
+    rows = table(spark, sf_dir, "conversations").select(path.alias("path"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+    return rows.select(tree.path_text("path").alias("path_json"), "n_bytes")
+
+
+@query("SELECT conv_id, string_agg(role || '=' || strlen(text), '|' ORDER BY turn, role, text) AS items FROM conversations GROUP BY conv_id")
+def tree_restructure(spark, sf_dir):
+    """Turns gathered into lists in the order of their indexes."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("place"), F.concat_ws("=", "role", F.octet_length("text")).alias("v"))
+    return tree.gather_list(rows, ["conv_id"], "place", F.col("v")).select("conv_id", F.array_join("items", "|").alias("items"))
+
+
+@query("""WITH p AS (SELECT [r_name] AS path FROM region UNION ALL SELECT [r_name, n_name] FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT [n_name] FROM nation UNION ALL SELECT [n_name] FROM nation WHERE n_nationkey % 2 = 0)
+    SELECT array_to_string(path, '/') AS path, 'repeated' AS conflict FROM p GROUP BY p.path HAVING count(*) > 1
+    UNION ALL SELECT array_to_string(path, '/'), 'leaf and branch' FROM (SELECT DISTINCT path FROM p) q WHERE EXISTS (SELECT 1 FROM p WHERE len(p.path) > len(q.path) AND p.path[1:len(q.path)] = q.path)
+    UNION ALL SELECT '', 'mixed layer'""")
+def path_conflicts(spark, sf_dir):
+    """Paths that no nested structure can hold together: repeated ones, leaves above leaves, keys beside indexes."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    step = tree.key_step
+    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = (
+        region.select(F.array(step(F.col("r_name"))).alias("path")).unionByName(both.select(F.array(step(F.col("r_name")), step(F.col("n_name"))).alias("path")))
+        .unionByName(nation.select(F.array(step(F.col("n_name"))).alias("path"))).unionByName(nation.where("n_nationkey % 2 = 0").select(F.array(step(F.col("n_name"))).alias("path")))
+    )
+    mixed = tree.mixed_layers(rows.unionByName(region.where("r_regionkey = 0").select(F.array(tree.index_step(F.lit(0))).alias("path"))), "path")
+    found = tree.repeated_paths(rows, "path").unionByName(tree.branch_leaves(rows, "path")).unionByName(mixed)
+    return found.select(F.array_join(F.transform("path", lambda s: s["key"]), "/").alias("path"), "conflict")
+
+
+# Elements and types
+
+
+@query("SELECT vec_id, i - 1 AS flat_index, (i - 1) // 8 AS row_idx, (i - 1) % 8 AS col_idx, embedding[i]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def elements_explode(spark, sf_dir):
+    """Elements of vectors seen as matrices eight wide, with their coordinates."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    i = F.col("i").cast("bigint")
+    return rows.select("vec_id", i.alias("flat_index"), F.floor(i / 8).alias("row_idx"), (i % 8).alias("col_idx"), F.col("x").cast("double").alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice::FLOAT::DOUBLE AS price, l_quantity::INTEGER AS quantity FROM lineitem")
+def cast_dtype(spark, sf_dir):
+    """A cast on read: double to float32, seen as double again."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("float").cast("double").alias("price"), F.col("l_quantity").cast("int").alias("quantity"))
+
+
+@query()
+def bf16_truncate(spark, sf_dir):
+    """Vectors cut to bfloat16 by their upper 16 bits."""
+    from lamina.operators.dtype import bfloat16_values
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.inline(F.arrays_zip(bfloat16_values("embedding").alias("value"))))
+
+
+@query("""SELECT n_nationkey, coalesce(c.n, 0) AS elements, CASE WHEN c.n IS NULL THEN [0.0::DOUBLE, 0.0, 0.0, 0.0] ELSE c.v END AS value
+    FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n, [min(c_acctbal), max(c_acctbal)] AS v FROM customer WHERE c_nationkey % 3 = 0 GROUP BY c_nationkey) c ON n_nationkey = c_nationkey""")
+def meta_zero_fill(spark, sf_dir):
+    """Arrays declared without data are read as zeros."""
+    stored = table(spark, sf_dir, "customer").where("c_nationkey % 3 = 0").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.array(F.min("c_acctbal"), F.max("c_acctbal")).alias("v"))
+    met = table(spark, sf_dir, "nation").join(stored, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return met.select("n_nationkey", F.coalesce("n", F.lit(0)).cast("bigint").alias("elements"), F.coalesce("v", F.array_repeat(F.lit(0.0), 4)).alias("value"))
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS stored_at FROM documents")
+def storage_dedupe(spark, sf_dir):
+    """Equal texts are stored once, where the first of them is."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return dedupe.first_copy(rows, ["digest"], "doc_id").drop("digest")
+
+
+@query("SELECT user_id, count(*) AS uses, min(event_id) AS first_use FROM events GROUP BY user_id HAVING count(*) > 1")
+def nonce_reuse(spark, sf_dir):
+    """Values that must be used once but are not."""
+    return dedupe.reused(table(spark, sf_dir, "events"), "user_id", "event_id")
+
+
+# Scalars
+
+
+@query(f"SELECT doc_id, {fn.human_bytes_sql('(n_chars * n_chars)')} AS decimal_size, {fn.human_bytes_sql('(n_chars * n_chars)', False)} AS binary_size FROM documents")
+def human_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.human_bytes("(n_chars * n_chars)").alias("decimal_size"), fn.human_bytes("(n_chars * n_chars)", False).alias("binary_size"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, 6379 AS port, regexp_extract(url, '^[a-z]+://[^/?#]*/*([^?#]*)', 1) AS prefix FROM pages""")
+def uri_parts(spark, sf_dir):
+    """Parts of addresses, read as those of a keyed store."""
+    store = fn.redis_uri(F.regexp_replace("url", "^[a-z]+://", "redis://")).alias("u")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), store).select("page_id", "scheme", "u.*")
+
+
+@query("SELECT event_id, epoch(ts)::BIGINT - epoch(ts)::BIGINT % 86400 + 172800 AS expiry FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
+def aligned_expiry(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", fn.aligned_expiry(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("expiry"))
+
+
+@query("SELECT event_id, floor(value)::BIGINT - floor(value)::BIGINT % 128 AS lower, floor(value)::BIGINT + 1000 + (128 - (floor(value)::BIGINT + 1000) % 128) % 128 AS upper FROM events WHERE value >= 0")
+def tick_bounds(spark, sf_dir):
+    low = F.floor("value").cast("bigint")
+    return table(spark, sf_dir, "events").where("value >= 0").select("event_id", fn.tick_bounds(low, low + 1000, 128).alias("t")).select("event_id", "t.*")
+
+
+@query("SELECT event_type, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' ELSE event_type END AS short, count(*) AS n FROM events GROUP BY ALL")
+def nicknames(spark, sf_dir):
+    named = table(spark, sf_dir, "events").select("event_type", fn.nickname("event_type", {"click": "c", "view": "v"}).alias("short"))
+    return named.groupBy("event_type", "short").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Logs
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def log_parse(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").alias("row"))
+    return rows.select("event_id", "row.k")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def value_counts(spark, sf_dir):
+    return logs.value_counts(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("""SELECT event_id, coalesce(nullif(concat_ws(chr(10), CASE WHEN event_id % 2 = 0 THEN 'lazy_load' END, CASE WHEN event_id % 3 = 0 THEN event_type END), ''), 'default') AS mode FROM events""")
+def mode_labels(spark, sf_dir):
+    lazy, kind = F.when(F.col("event_id") % 2 == 0, "lazy_load"), F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", fn.mode_label(lazy, kind).alias("mode"))
+
+
+_SCHEMES = ["file", "http", "s3", "torch", "redis", "https", "local"]
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 16777216 ELSE 8388608 END AS buffer,
+    list_extract(['file', 'http', 's3', 'torch', 'redis', 'https', 'local'], (l_partkey % 7 + 1)::INTEGER) AS scheme, l_returnflag = 'R' AS verified, l_linestatus = 'F' AS cached,
+    l_discount > 0.05 AS raw, l_linenumber - 1 AS plaid, CASE WHEN l_suppkey % 2 = 0 THEN '40G' ELSE '10G' END AS link FROM lineitem)
+    SELECT l_orderkey, l_linenumber FROM r WHERE ((buffer = 16777216 AND scheme NOT IN ('s3', 'redis', 's3s', 'https') AND NOT verified AND (scheme <> 'http' OR cached OR raw) AND plaid IN (0, 2)) OR scheme = 'torch') AND link = '40G'""")
+def compound_mask(spark, sf_dir):
+    """The mask that selects comparable local reads, over columns made from those of a table."""
+    scheme = F.element_at(F.array(*map(F.lit, _SCHEMES)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    keep = logs.local_reads(
+        F.when(F.col("l_quantity") > 25, 16 << 20).otherwise(8 << 20), scheme, F.col("l_returnflag") == "R", F.col("l_linestatus") == "F", F.col("l_discount") > 0.05,
+        F.col("l_linenumber") - 1, F.when(F.col("l_suppkey") % 2 == 0, "40G").otherwise("10G"),
+    )
+    return table(spark, sf_dir, "lineitem").where(keep).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice / l_quantity), 6) AS mean_rate, round(stddev_samp(l_extendedprice / l_quantity), 6) AS sd_rate FROM lineitem GROUP BY ALL")
+def rate_by_mode(spark, sf_dir):
+    rates = logs.rate_by(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice") / F.col("l_quantity"))
+    return rates.withColumns({c: F.round(c, 6) for c in ("mean_rate", "sd_rate")})
+
+
+@query("SELECT event_type, count(user_id) AS n_user_id, count(CASE WHEN value > 10 THEN value END) AS n_value FROM events GROUP BY event_type")
+def counts_by_mode(spark, sf_dir):
+    return logs.counts_by(table(spark, sf_dir, "events").withColumn("value", F.when(F.col("value") > 10, F.col("value"))), "event_type", ["user_id", "value"])
+
+
+@query("""SELECT event_type, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.25), 9) AS lower_4, round(quantile_cont(value, 0.75), 9) AS upper_4,
+    round(quantile_cont(value, 0.125), 9) AS lower_8, round(quantile_cont(value, 0.875), 9) AS upper_8 FROM events GROUP BY event_type""")
+def letter_values(spark, sf_dir):
+    found = logs.letter_values(table(spark, sf_dir, "events"), ["event_type"], "value")
+    return found.select("event_type", *(F.round(c, 9).alias(c) for c in found.columns[1:]))
+
+
+@query("SELECT event_id, value FROM events WHERE value BETWEEN (SELECT quantile_cont(value, 0.02) FROM events) AND (SELECT quantile_cont(value, 0.98) FROM events)")
+def percentile_clip(spark, sf_dir):
+    return logs.clip(table(spark, sf_dir, "events").select("event_id", "value"), "value")
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.9) AS p90, quantile_cont(l_quantity, 0.99) AS p99 FROM lineitem GROUP BY l_returnflag")
+def lib_summary(spark, sf_dir):
+    return logs.summary(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity").withColumn("mean", F.round("mean", 6))
+
+
+@query("""SELECT bin, count(*) AS n FROM (SELECT least(49, floor((value - lo) * 50 / (hi - lo)))::BIGINT AS bin FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)) GROUP BY bin""")
+def histogram50(spark, sf_dir):
+    return logs.histogram(table(spark, sf_dir, "events"), "value")
+
+
+@query("""SELECT event_type AS category, row_number() OVER (ORDER BY CASE event_type WHEN 'view' THEN 0 WHEN 'absent' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, event_type) AS position FROM (SELECT DISTINCT event_type FROM events)""")
+def category_order(spark, sf_dir):
+    return logs.category_order(table(spark, sf_dir, "events"), "event_type", ["view", "absent", "click"])
+
+
+@query("""SELECT l_linenumber AS plaid_buffers, round(avg(l_extendedprice), 6) AS mean_rate FROM lineitem WHERE l_linenumber >= 2 GROUP BY l_linenumber""")
+def line_means(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber >= 2").groupBy(F.col("l_linenumber").alias("plaid_buffers"))
+    return rows.agg(F.round(F.avg("l_extendedprice"), 6).alias("mean_rate"))
+
+
+@query("""SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN 'https' WHEN starts_with(url, 'http://') THEN 'http' ELSE 'file' END AS scheme,
+    regexp_extract(url, '//([^/:]*)', 1) AS peer FROM pages""")
+def scheme_and_peer(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", logs.scheme_of(F.col("url"), F.lit(True)).alias("scheme"), logs.peer_of(F.col("url"), F.lit(None).cast("string")).alias("peer"))
