@@ -6,11 +6,16 @@ is a float32 array of its length, a row of documents an array of bytes.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import scalars as fn
-from lamina.operators import dedupe, layout, logs, relate, select, tree, verify
+from lamina.operators import crypto, dedupe, layout, logs, relate, select, tree, verify
+from lamina.sources import archive, pack
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -498,3 +503,43 @@ def line_means(spark, sf_dir):
     regexp_extract(url, '//([^/:]*)', 1) AS peer FROM pages""")
 def scheme_and_peer(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", logs.scheme_of(F.col("url"), F.lit(True)).alias("scheme"), logs.peer_of(F.col("url"), F.lit(None).cast("string")).alias("peer"))
+
+
+# Archives
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share; a temporary one where the session names none."""
+    named = (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).removeprefix("file:")
+    out = f"{named if not named.startswith('//') else named[2:]}/{uuid.uuid4().hex}"
+    os.makedirs(out)
+    return out
+
+
+@query("SELECT 'vec.' || vec_id AS name, i - 1 AS flat_index, embedding[i]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def archive_roundtrip(spark, sf_dir):
+    """Vectors written as one archive, read again as elements, digests checked on the way."""
+    path = f"{scratch(spark)}/vectors.arr"
+    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), path, indexBytes=1 << 24)
+    return archive.read(spark, path, "elements", verify="true").select("name", "flat_index", "value")
+
+
+@query("SELECT 'text.' || doc_id AS name, strlen(text) AS data_length, true AS intact FROM documents")
+def headers_verify(spark, sf_dir):
+    """Texts written as one archive; the stored digests against those that expressions compute from header and payload."""
+    path = f"{scratch(spark)}/texts.arr"
+    archive.write(pack.texts(table(spark, sf_dir, "documents"), "doc_id", "text"), path, indexBytes=1 << 24)
+    chunks = archive.read(spark, path, "chunks", chunkBytes=1 << 30).select("name", "data")
+    both = archive.read(spark, path, "headers").join(chunks, "name", "left").withColumn("data", F.coalesce("data", F.lit(b"")))
+    whole = (F.col("header_zeroed"), F.col("data"))
+    return both.select("name", "data_length", ((verify.sha256(*whole) == F.col("sha256")) & (verify.crc32(*whole) == F.col("crc32"))).alias("intact"))
+
+
+@query()
+def encrypt_roundtrip(spark, sf_dir):
+    """Vectors written as an encrypted archive and read with the key, which a file holds."""
+    folder = scratch(spark)
+    with open(f"{folder}/key", "wb") as file:
+        file.write(crypto.random_key())
+    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), f"{folder}/vectors.arr", encrypt="true", keyFile=f"{folder}/key", indexBytes=1 << 24)
+    return archive.read(spark, f"{folder}/vectors.arr", "chunks", keyFile=f"{folder}/key", verify="true").select("name", F.sha2("data", 256).alias("digest"))

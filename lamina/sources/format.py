@@ -154,6 +154,13 @@ def read_header(file: BinaryIO, accepted: tuple[int, ...] = VERSIONS) -> FileHea
 # Index
 
 
+def check_limits(name: bytes, dtype: bytes, shape: tuple[int, ...]) -> None:
+    if len(dtype) > 255:
+        raise FormatError("a type's name must be shorter than 256 bytes")
+    if len(name) > 0xFFFF or len(shape) > 255 or any(not 0 <= d < 1 << 32 for d in shape):
+        raise FormatError("a name, or a shape, is too large for its field")
+
+
 @dataclass
 class Entry:
     path: tuple
@@ -166,10 +173,7 @@ class Entry:
 
     def pack(self) -> bytes:
         name, dtype = encode_path(self.path), self.dtype.encode()
-        if len(dtype) > 255:
-            raise FormatError("a type's name must be shorter than 256 bytes")
-        if len(name) > 0xFFFF or len(self.shape) > 255 or any(not 0 <= d < 1 << 32 for d in self.shape):
-            raise FormatError("a name, or a shape, is too large for its field")
+        check_limits(name, dtype, self.shape)
         return (
             struct.pack("<H", len(name)) + name + struct.pack("<BB", self.tensor_type, len(dtype)) + dtype
             + struct.pack(f"<B{len(self.shape)}I", len(self.shape), *self.shape) + struct.pack("<QQQ", self.header_offset, self.data_offset, self.data_length)
@@ -281,6 +285,7 @@ def pack_record(path: tuple, tensor_type: int, module_idx: int, dtype: str, shap
     name, kind = encode_path(path), dtype.encode()
     if tensor_type != STATE_DICT and not (len(path) == 1 and isinstance(path[0], str)):
         raise FormatError("only nested state has structured names")
+    check_limits(name, kind, shape)
     front = struct.pack("<HBH", module_idx, tensor_type, len(name)) + name + struct.pack("<B", len(kind)) + kind + struct.pack(f"<B{len(shape)}I", len(shape), *shape)
     with_crc = not (crypt and crypt.scheme)
     count, size = (2, 6 + 34) if with_crc else (1, 34)

@@ -16,11 +16,13 @@ class HttpRange(io.RawIOBase):
     """A seekable view of begin <= k < end of an HTTP resource. Seeking forward within the open response reads on,
     anything else sends a new range request; counters tell what was read, skipped and waited for."""
 
+    response = None
+
     def __init__(self, uri: str, begin: int = 0, end: int | None = None, headers: dict | None = None, skip_up_to: int = 1 << 20):
         if begin < 0 or (end is not None and end <= begin):
             raise ValueError("a range must begin at 0 or later and end after its begin")
         self.uri, self.begin, self.end, self.headers, self.skip_up_to = uri, begin, end, dict(headers or {}), skip_up_to
-        self.at, self.response, self.response_headers = begin, None, {}
+        self.at, self.response_headers = begin, {}
         self.bytes_read = self.bytes_skipped = self.requests = 0
         self.first_byte_seconds = 0.0
 
