@@ -19,10 +19,25 @@ def version(opaque: Column, encrypted: Column, meta: Column) -> Column:
     return F.greatest(F.lit(BASE), F.when(opaque, OPAQUE).otherwise(BASE), F.when(encrypted, ENCRYPTED).otherwise(BASE), F.when(meta, META).otherwise(BASE))
 
 
-def offsets(df: DataFrame, length: str, order: str, by: list[str], start: int = 0, into: str = "offset") -> DataFrame:
-    """df with the running sum of the lengths before each row, within by."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(into, F.coalesce(F.sum(length).over(before), F.lit(0)).cast("bigint") + start)
+def offsets(df: DataFrame, length: str, order: str, by: list[str], start: int = 0, into: str = "offset", run: int | None = None) -> DataFrame:
+    """df with the running sum of the lengths before each row, within by.
+
+    Groups are archives, whose indexes are short. For longer ones run cuts a whole-numbered order into runs of that many
+    values: sums go over the runs first and then within each, so no task sorts a whole group.
+    """
+    if run is None:
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(into, F.coalesce(F.sum(length).over(before), F.lit(0)).cast("bigint") + start)
+    cut = df.withColumn("__run", F.expr(f"{order} div {int(run)}"))
+    runs = cut.groupBy(*by, "__run").agg(F.sum(length).alias("__sum"))
+    earlier = Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    bases = runs.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__run").alias("__of"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(*by, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    on = F.col("__run") == F.col("__of")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    summed = cut.withColumn("__in", F.coalesce(F.sum(length).over(within), F.lit(0))).join(bases, on)
+    return summed.withColumn(into, (F.col("__in") + F.col("__base")).cast("bigint") + start).select(*df.columns, into)
 
 
 def header_offsets(segments: list[tuple[str, Column]]) -> list[Column]:

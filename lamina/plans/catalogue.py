@@ -281,7 +281,7 @@ def skip_existing(spark, sf_dir):
 def blob_lookup(spark, sf_dir):
     """Positions in the joined texts, and the text that holds each."""
     docs = _bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes").withColumn("store", F.lit("documents"))
-    blobs = layout.offsets(docs, "n_bytes", "doc_id", ["store"], into="begin_at").where("n_bytes > 0")
+    blobs = layout.offsets(docs, "n_bytes", "doc_id", ["store"], into="begin_at", run=256).where("n_bytes > 0")
     asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 997).alias("position"))
     return relate.locate(asked, blobs, "position", "begin_at", 1 << 14, "n_bytes").select("o_orderkey", "position", "doc_id", (F.col("position") - F.col("begin_at")).alias("within"))
 
