@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lamina.llm import bpe, graph_search, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts
-from lamina.llm.sql import line_dedup_sql, mixing_sql, quality_sql
+from lamina.llm.sql import license_sql, line_dedup_sql, mixing_sql, quality_sql
 
 
 def queries() -> dict:
@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_sql(), "op3_mixing": mixing_sql(), "op9_line_dedup": line_dedup_sql()}
+    return {"op1_quality_rules": quality_sql(), "op3_mixing": mixing_sql(), "op8_license_scan": license_sql(), "op9_line_dedup": line_dedup_sql()}

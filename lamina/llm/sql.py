@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import line_dedup, mixing, quality_rules
+from lamina.llm import license_scan, line_dedup, mixing, quality_rules
 
 _BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -98,3 +98,29 @@ def mixing_sql(docs: str = "documents", result: str | None = None) -> str:
     counted AS (SELECT *, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS copies FROM placed),
     chosen AS (SELECT *, unnest(range(copies::BIGINT)) AS epoch FROM counted)
     SELECT {result} FROM chosen"""
+
+
+def license_sql(docs: str = "documents") -> str:
+    """The columns of op8."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    templates = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in sorted(license_scan.TEMPLATES.items()))
+    least = round(license_scan.LEAST_DICE * 100)
+    words = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
+    pairs = "SELECT {key}, w[i] || ' ' || w[i + 1] AS g, count(*) AS c FROM (SELECT *, unnest(range(1, len(w))) AS i FROM {of}) GROUP BY ALL"
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM {docs}),
+    lines AS (SELECT r, string_split(text, chr(10)) AS l, list_filter(regexp_split_to_array(text, '\n[ \t]*\n'), lambda p: contains(p, chr(10))) AS p, text FROM docs),
+    listed AS (SELECT r, CASE WHEN len(list_distinct(l)) > 1 THEN list_concat(l, p, [text]) ELSE l END AS u FROM lines),
+    numbered AS (SELECT r, unnest(u) AS unit, generate_subscripts(u, 1) AS pos FROM listed),
+    units AS (SELECT r, unit, min(pos) AS pos, {words('unit')} AS w FROM numbered GROUP BY r, unit),
+    t AS (SELECT name, {words('body')} AS w FROM (VALUES {templates}) v(name, body)),
+    tg AS ({pairs.format(key="name", of="t")}),
+    near AS (SELECT r, pos, unit, units.w, name, len(units.w) - 1 + len(t.w) - 1 AS sizes FROM units JOIN t
+        ON 200 * least(len(units.w) - 1, len(t.w) - 1) >= {least} * (len(units.w) - 1 + len(t.w) - 1) AND len(units.w) > 1),
+    asked AS (SELECT DISTINCT r, pos, w FROM near),
+    ug AS ({pairs.format(key="r, pos", of="asked")}),
+    met AS (SELECT n.r, n.pos, n.unit, n.name, n.sizes, 2 * coalesce(sum(least(ug.c, tg.c)) FILTER (WHERE ug.c IS NOT NULL), 0)::BIGINT AS common
+        FROM near n LEFT JOIN tg USING (name) LEFT JOIN ug ON ug.r = n.r AND ug.pos = n.pos AND ug.g = tg.g GROUP BY ALL),
+    best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY r, pos ORDER BY common / sizes DESC, name) = 1),
+    found AS (SELECT * FROM best WHERE 100 * common >= {least} * sizes QUALIFY row_number() OVER (PARTITION BY r, name ORDER BY common / sizes DESC, pos) = 1)
+    SELECT doc_id, name AS license, common, sizes::BIGINT AS sizes, (1000000 * common // sizes)::BIGINT AS dice_ppm, sha256(unit) AS unit_sha256 FROM docs LEFT JOIN found USING (r)"""

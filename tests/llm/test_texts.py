@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lamina.llm import bpe, license_scan, line_dedup, quality_classifier, quality_rules, token_counts
-from lamina.llm.sql import line_dedup_sql, quality_sql
+from lamina.llm.sql import license_sql, line_dedup_sql, quality_sql
 
 SF = "/root/testdata/sf0.001"
 BLANK = " \t\n\x0b\x0c\r"
@@ -179,6 +179,14 @@ def test_licenses(spark, clashing, nothing):
     assert license_scan.scan_licenses(found).first().licenses[0].license == "mit"
 
 
+def test_licenses_follow_their_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = license_scan.op8_license_scan(spark, SF)
+    assert got.columns == [d[0] for d in con.execute(license_sql()).description]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.execute(license_sql()).fetchall(), key=str)
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     rows = quality_classifier.op6_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
