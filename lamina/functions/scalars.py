@@ -10,8 +10,6 @@ ITEM_SIZES = {
     "b1": 1, "i1": 1, "u1": 1, "i2": 2, "u2": 2, "f2": 2, "i4": 4, "u4": 4, "f4": 4, "i8": 8, "u8": 8, "f8": 8, "c8": 8, "c16": 16,
     "V1": 1, "V2": 2, "V4": 4, "V8": 8,
 }
-#: Hosts that accept virtual-host addressing only.
-VIRTUAL_HOSTS = ("cwobject.com", "cwlota.com")
 DEFAULT_REDIS_PORT = 6379
 DAY = 86400
 
@@ -112,8 +110,9 @@ def endpoint_host(endpoint: Column | str) -> Column:
     return F.lower(F.regexp_extract(e, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#]*)", 1))
 
 
-def needs_virtual_host(endpoint: Column | str) -> Column:
-    return endpoint_host(endpoint).isin(*VIRTUAL_HOSTS)
+def needs_virtual_host(endpoint: Column | str, hosts: tuple[str, ...]) -> Column:
+    """Whether an endpoint is one of the hosts, given in lower case, that accept virtual-host addressing only."""
+    return endpoint_host(endpoint).isin(*hosts)
 
 
 def is_accelerated(endpoint: Column | str) -> Column:
