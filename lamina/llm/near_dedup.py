@@ -8,11 +8,11 @@ with a probability equal to their weighted Jaccard similarity. Points are genera
 the time by which all places are almost surely filled; bags for which that fails go on to twice the time.
 
 Classes. Documents with the same words are one node from the start. Nodes that share a band meet in a bucket. In each
-bucket everyone is compared with the bucket's least node; the compared pairs' texts are joined and their multisets of
-shingles compared exactly. While a bucket still holds nodes of different components, pivots from all but its largest
-component are compared with all members of other components, more pivots each round, until every pair of different
-components in a bucket has been compared. Buckets are counted and joined, never gathered, so a bucket may hold any
-number of nodes; pairs inside a component are never made.
+bucket everyone is compared with its leader, the node that meets most others in all its buckets, such as the original
+of many edited copies: the compared pairs' texts are joined and their multisets of shingles compared exactly. Where a
+bucket still holds nodes of different components, the nodes outside its largest component are compared with all others
+by the sets of hashed (shingle, occurrence), which is the same comparison, in blocks of bounded size: no pair is made
+that isn't a link, and no bucket has to fit into a task.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ PLACES, BANDS, ROWS = 128, 25, 5
 LEAST_AGREE = 77
 #: Points made at once while signatures are built.
 BLOCK = 1 << 19
+#: Nodes, and shingles of all nodes, on either side of a block of comparisons, about.
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def signatures(text: np.ndarray, hashes: np.ndarray, n: int, places: int = PLACES) -> np.ndarray:
@@ -164,8 +166,8 @@ def content_classes(docs: DataFrame) -> DataFrame:
     sketched = docs.select("doc_id", node, sketch("text").alias("s"))
     nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("own"), F.min_by("s", F.struct("doc_id")).alias("s")).select("node", "own", "s.bands", "s.names"), "nodes")
     rows = nodes.where("size(bands) > 0").select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    buckets = written(rows.join(shared.select("key", "least"), "key"), "buckets")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = written(rows.join(shared, "key"), "buckets")
     if buckets.isEmpty():
         return nodes.select("node", "own", F.col("own").alias("class_id"))
     wanted = nodes.join(buckets.select("node").distinct(), "node").select(F.col("node").alias("of"), "own")
@@ -181,32 +183,98 @@ def content_classes(docs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return written(near.join(left, "a").join(right, "b").where(similar("text_a", "text_b")).select("a", "b").distinct(), "found")
 
-    tested = written(buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "tested")
-    links, pivots = check(tested), 4
-    while True:
-        labels = components(links)
-        known = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        members = written(known.join(mixed, "key"), "mixed")
-        sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        rest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), (F.sum("n") - F.max("n")).alias("rest"))
-        # A pair of different components has at least one node outside the bucket's largest component: pivots are taken
-        # from those, about as many in each bucket as pivots says, by a hash, so that more pivots include the fewer.
-        share = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 20)) / F.lit(1 << 20)
-        chosen = members.join(rest, "key").where((F.col("component") != F.col("top.component")) & (share * F.col("rest") < pivots)).selectExpr("key", "node AS p", "component AS c")
-        pairs = chosen.join(members, "key").where("c <> component").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if (rest.agg(F.max("rest")).first()[0] or 0) <= pivots:
-                break
-        else:
-            links = written(links.unionByName(check(pairs)), "links")
-            tested = written(tested.unionByName(pairs), "tested")
-        pivots *= 4
+    meets = buckets.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = buckets.join(meets, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("top")).selectExpr("key", "top.node AS a")
+    led = buckets.join(leaders, "key").where("node <> a")
+    links = check(led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    known = written(buckets.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "known")
+    links = links.unionByName(written(_block_links(known, texts), "more"))
+    labels = components(links)
     least = nodes.join(labels, "node").groupBy("component").agg(F.min("own").alias("least"))
     return nodes.join(labels, "node", "left").join(least, "component", "left").select("node", "own", F.coalesce("least", "own").alias("class_id"))
 
 
+@F.arrow_udf(T.BinaryType())
+def elements(texts: pa.Array) -> pa.Array:
+    """The multiset of shingles of each text as a sorted array of 64-bit hashes of (shingle, number of the occurrence)."""
+    out = []
+    for begin, end in portions(texts, 2 << 20):
+        text, hashes = shingle_hashes(*word_hashes(*utf8(texts.slice(begin, end - begin))), SHINGLE)
+        order = np.lexsort((hashes, text))
+        text, hashes = text[order], hashes[order]
+        new = np.concatenate([[True], (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])])[: len(text)]
+        run = np.maximum.accumulate(np.where(new, np.arange(len(text)), 0))
+        own = mix64(hashes + (np.arange(len(text)) - run).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.lexsort((own, text))
+        bounds = np.searchsorted(text, np.arange(end - begin + 1))
+        out += [own[order][a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+    return pa.array(out, pa.binary())
+
+
+def _block_links(known: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of different components that share a bucket of known(key, node, component): for each
+    node outside a bucket's largest component the most similar of the linked nodes of every other component."""
+    mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    size = texts.select(F.col("node").alias("of"), (F.octet_length("text") / 4).cast("bigint").alias("size"))
+    members = written(known.join(mixed, "key").join(size, F.col("node") == F.col("of")).drop("of"), "mixed")
+    sums = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    # Blocks of members and, of those outside the largest component, of nodes that look for links.
+    blocks = lambda n, size: f"CAST(greatest(ceil({n} / {BLOCK_NODES}), ceil({size} / {BLOCK_SHINGLES})) AS INT)"
+    plan = sums.groupBy("key").agg(F.max(F.struct("n", "component", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    plan = plan.selectExpr("key", "top.component AS top", f"{blocks('n', 'size')} AS rows", f"{blocks('(n - top.n)', '(size - top.size)')} AS columns")
+    placed = members.select("key", "node", "component").join(plan, "key").selectExpr(
+        "*", "CAST(pmod(xxhash64(node, key), rows) AS INT) AS r", "CAST(pmod(xxhash64(key, node), columns) AS INT) AS c", "component <> top AS looks", "rows * columns = 1 AS alone"
+    )
+    there = placed.selectExpr("key", "r", "explode(sequence(0, columns - 1)) AS c", "node", "component", "looks AND alone AS looks", "true AS member")
+    asking = placed.where("looks AND NOT alone").selectExpr("key", "explode(sequence(0, rows - 1)) AS r", "c", "node", "component", "looks", "false AS member")
+    loaded = there.unionByName(asking).join(texts.select(F.col("node").alias("of"), elements("text").alias("e")), F.col("node") == F.col("of")).drop("of")
+    dealt = loaded.repartition("key", "r", "c").sortWithinPartitions("key", "r", "c")
+    return dealt.select("key", "r", "c", "node", "component", "looks", "member", "e").mapInArrow(_compare_blocks, "a binary, b binary").distinct()
+
+
+def _compare_blocks(batches):
+    """Rows sorted by block; a block's rows may span batches."""
+    block, rows = None, []
+    for batch in batches:
+        found: list[tuple[bytes, bytes]] = []
+        for key, r, c, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            if (key, r, c) != block:
+                found += _links_in(rows)
+                block, rows = (key, r, c), []
+            rows.append(row)
+        yield _link_batch(found)
+    yield _link_batch(_links_in(rows))
+
+
+def _link_batch(found) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _links_in(rows) -> list[tuple[bytes, bytes]]:
+    members = [r for r in rows if r[3]]
+    if len(members) < 1:
+        return []
+    sets = [np.frombuffer(r[4], np.uint64) for r in members]
+    sizes = np.array([len(x) for x in sets])
+    everything, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    names: dict[bytes, int] = {}
+    component = np.array([names.setdefault(r[1], len(names)) for r in members])
+    out = []
+    for node, own, looks, _, e in rows:
+        mine = np.frombuffer(e, np.uint64)
+        if not looks or not len(mine):
+            continue
+        at = np.minimum(np.searchsorted(mine, everything), len(mine) - 1)
+        common = np.bincount(owner[mine[at] == everything], minlength=len(sets))
+        union = sizes + len(mine) - common
+        good = np.flatnonzero((100 * common >= round(100 * SIMILARITY) * union) & (component != names.get(own, -1)))
+        best: dict[int, int] = {}
+        for k in good[np.argsort(common[good] / union[good], kind="stable")]:
+            best[component[k]] = k
+        out += [(min(node, members[k][0]), max(node, members[k][0])) for k in best.values()]
+    return out
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """docs with two more columns: ``content`` (128 bits of the words) and ``class_id``, the least doc_id of the class;
     columns of these names in docs are replaced.
