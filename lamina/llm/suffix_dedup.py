@@ -17,7 +17,6 @@ Corpus order is (doc_id, text hash, position).
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
@@ -30,11 +29,13 @@ from pyspark.sql import types as T
 from lamina.llm.anchors import GRAM, anchors
 from lamina.llm.repeats import maximal_groups
 from lamina.llm.shingles import prefix_hash, range_hash
-from lamina.llm.util import portions, table, utf8, written
+from lamina.llm.util import discard, portions, table, utf8, written
 
 LENGTH = 100
 #: Most classes of one hash that one task gathers (172 kB of contexts).
 CROWD = 1024
+#: Bytes of text whose hashes a worker holds at once, about: some twenty arrays of eight bytes for each.
+PORTION = 1 << 18
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -47,7 +48,7 @@ def tag(text: str | None) -> int:
 def _anchor_rows(batches, length: int, full: bool):
     for batch in batches:
         docs, texts = batch.column(0), batch.column(1)
-        for begin, end in portions(texts, 2 << 20):
+        for begin, end in portions(texts, PORTION):
             part = texts.slice(begin, end - begin)
             text, at, gram, context, _, _ = anchors(*utf8(part), length)
             columns = {"g": gram.view(np.int64)}
@@ -123,31 +124,28 @@ def _stretches(batches, length: int):
         yield pa.RecordBatch.from_pydict({n: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for n, x in zip(("g", "h", "doc", "at"), out, strict=True)})
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of plans that have been written and forgotten."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs(doc, tag, text, ...) with two more columns: ``whole``, the anchors whose contexts repeat as a whole, and
-    ``parts``, (position, hash, whether the hash is crowded) of those to compare with other contexts; null if none."""
+    """(i_doc, i_tag, whole, parts) for the documents of docs(doc, tag, text) that hold repeats: the positions of the
+    anchors whose contexts repeat as a whole, and (position, hash, whether the hash is crowded) of those to compare with
+    other contexts."""
     lean = docs.select("doc", "text")
-    often = _anchor_table(lean, length, False).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    rows = written(_anchor_table(lean, length, True).join(written(often, "often"), "g"), "anchors")
-    release(docs)
+    often = written(_anchor_table(lean, length, False).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "often")
+    discard(docs)
+    rows = written(_anchor_table(lean, length, True).join(often, "g"), "anchors")
+    discard(often)
     classes = written(rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("first")), "classes")
-    sizes = written(classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "sizes")
+    discard(docs)
+    sizes = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     later = rows.join(classes.where("n > 1").select("g", "c", "first"), ["g", "c"]).where("doc <> first.doc OR at <> first.at").select("doc", "at", F.lit(False).alias("asks"))
     asks = classes.join(sizes, "g").select("first.doc", "first.at", F.lit(True).alias("asks"), "g", (F.col("classes") > CROWD).alias("crowd"))
-    # For each document the anchors whose contexts go, and those whose contexts are compared with others.
     marks = later.select("doc", "at", "asks", F.lit(None).cast("long").alias("g"), F.lit(False).alias("crowd")).unionByName(asks)
     info = marks.selectExpr("doc AS i_doc", "shiftright(at, 32) AS i_tag", "CAST(at & 4294967295 AS INT) AS p", "asks", "g", "crowd").groupBy("i_doc", "i_tag").agg(
         F.collect_list(F.when(~F.col("asks"), F.col("p"))).alias("whole"),
         F.collect_list(F.when(F.col("asks"), F.struct("p", "g", "crowd"))).alias("parts"),
     )
-    met = docs.join(info, (F.col("doc") == F.col("i_doc")) & (F.col("tag") == F.col("i_tag")), "left").drop("i_doc", "i_tag")
-    return met
+    info = written(info, "marks")
+    discard(rows, classes)
+    return info
 
 
 @F.arrow_udf(T.LongType())
@@ -210,16 +208,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> Dat
     gives an empty result. Positions within a text are below 2**31.
     """
     ready = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text").withColumn("tag", tags("text"))
-    met = marked(ready, length)
-    cut = _cutter(length, keep)
-    none = F.lit(None).cast(SPAN)
-    # Documents whose contexts aren't asked for are done; the others wait, with their texts, for what is found.
-    asked = F.coalesce(F.size("parts"), F.lit(0)) > 0
-    stage = written(met.select("doc", "tag", "doc_id", "text", "whole", "parts", asked.alias("asked")), "met")
-    release(docs)
-    waiting = stage.where("asked")
-    piece = waiting.select("doc", F.explode(_pieces(length)("text", "tag", "parts")).alias("x")).select("x.g", "doc", "x.at", "x.left", "x.right", "x.crowd")
-    pieces = written(piece, "contexts")
+    info = marked(ready, length)
+    here = (F.col("doc") == F.col("i_doc")) & (F.col("tag") == F.col("i_tag"))
+    asking = ready.join(info.where("size(parts) > 0").select("i_doc", "i_tag", "parts"), here)
+    pieces = written(asking.select("doc", F.explode(_pieces(length)("text", "tag", "parts")).alias("x")).select("x.g", "doc", "x.at", "x.left", "x.right", "x.crowd"), "contexts")
+    discard(docs)
     columns = ["g", "doc", "at", "left", "right"]
     grouped = pieces.where("NOT crowd").select(*columns).repartition("g").sortWithinPartitions("g")
     found = grouped.mapInArrow(lambda batches: _by_group(batches, length), "doc long, tag long, begin long, end long")
@@ -230,9 +223,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> Dat
     more = found.unionByName(repeats).groupBy(F.col("doc").alias("m_doc"), F.col("tag").alias("m_tag")).agg(
         F.collect_set(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"))).alias("more")
     )
-    late = waiting.join(more, (F.col("doc") == F.col("m_doc")) & (F.col("tag") == F.col("m_tag")), "left").select("doc_id", cut("text", "whole", "more").alias("c"))
-    soon = stage.where("NOT asked").select("doc_id", cut("text", "whole", none).alias("c"))
-    return late.unionByName(soon).select("doc_id", "c.*")
+    all_ = info.select("i_doc", "i_tag", "whole").join(more, (F.col("i_doc") == F.col("m_doc")) & (F.col("i_tag") == F.col("m_tag")), "left")
+    spans = written(all_.select("i_doc", "i_tag", "whole", "more"), "spans")
+    discard(pieces, info)
+    met = ready.join(spans, here, "left")
+    return met.select("doc_id", _cutter(length, keep)("text", "whole", "more").alias("c")).select("doc_id", "c.*")
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
