@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,8 @@ from lamina.llm.shingles import prefix_hash, range_hash
 from lamina.llm.util import discard, portions, table, utf8, written
 
 LENGTH = 100
-#: Most classes of one hash that one task gathers (172 kB of contexts).
-CROWD = 1024
+#: Most classes of one hash that one task gathers (1.4 MB of contexts).
+CROWD = 8192
 #: Bytes of text whose hashes a worker holds at once, about: some twenty arrays of eight bytes for each.
 PORTION = 1 << 18
 #: Stands for a null doc_id.
@@ -47,14 +48,14 @@ def tag(text: str | None) -> int:
 
 def _anchor_rows(batches, length: int, full: bool):
     for batch in batches:
-        docs, texts = batch.column(0), batch.column(1)
+        docs, texts, tags = batch.column(0), batch.column(1), batch.column(2)
         for begin, end in portions(texts, PORTION):
             part = texts.slice(begin, end - begin)
             text, at, gram, context, _, _ = anchors(*utf8(part), length)
             columns = {"g": gram.view(np.int64)}
             if full:
-                tags = np.array([tag(t.as_py()) for t in part], np.int64)
-                columns |= {"c": context.view(np.int64), "doc": docs.to_numpy(zero_copy_only=False)[begin:end][text].astype(np.int64), "at": (tags[text] << 32) + at}
+                own = tags.to_numpy(zero_copy_only=False)[begin:end].astype(np.int64)
+                columns |= {"c": context.view(np.int64), "doc": docs.to_numpy(zero_copy_only=False)[begin:end][text].astype(np.int64), "at": (own[text] << 32) + at}
             yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -63,15 +64,28 @@ def _anchor_table(docs: DataFrame, length: int, full: bool) -> DataFrame:
     return docs.mapInArrow(lambda batches: _anchor_rows(batches, length, full), schema)
 
 
-def _spans(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of intervals, touching ones joined."""
-    out: list[list[int]] = []
-    for a, b in sorted(marks):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def _flat(lists: pa.Array):
+    """(row of each member, members) of a list array; members of structs as arrays by name, as 64-bit numbers."""
+    lengths = np.asarray(pc.list_value_length(lists).fill_null(0).cast(pa.int64()))
+    members, row = lists.flatten(), np.repeat(np.arange(len(lists)), lengths)
+    number = lambda x: np.asarray(x.cast(pa.int64()).to_numpy(zero_copy_only=False), np.int64)
+    if pa.types.is_struct(members.type):
+        return row, {f.name: number(c) for f, c in zip(members.type, members.flatten(), strict=True)}
+    return row, number(members)
+
+
+def _union(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of intervals in each row, touching ones joined, in order."""
+    if not len(row):
+        return row, begin, end
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order], end[order]
+    # Rows are laid out one after another, so that one running maximum serves them all.
+    shift = row * (int(end.max()) + 2)
+    upto = np.maximum.accumulate(end + shift)
+    new = np.concatenate([[True], begin[1:] + shift[1:] > upto[:-1]])
+    at = np.flatnonzero(new)
+    return row[at], begin[at], (upto - shift)[np.append(at[1:], len(row)) - 1]
 
 
 def _context(size: int, at: int, length: int) -> tuple[int, int]:
@@ -87,9 +101,17 @@ def _by_group(batches, length: int):
 
     def close():
         rows.sort(key=lambda r: (r[0], r[1]))
+        reach: dict[int, tuple[int, int]] = {}
         for behind, ahead, members in maximal_groups([r[3] for r in rows], [r[2] for r in rows], length):
-            members = sorted(members)[1:]
-            yield from ((rows[k][0], rows[k][1] >> 32, (rows[k][1] & 0xFFFFFFFF) - behind, (rows[k][1] & 0xFFFFFFFF) + ahead) for k in members)
+            first = min(members)
+            for k in members:
+                if k != first:
+                    # All repeats of a member hold its anchor, so together they are one span.
+                    most = reach.get(k, (0, 0))
+                    reach[k] = (max(behind, most[0]), max(ahead, most[1]))
+        for k, (behind, ahead) in reach.items():
+            doc, at = rows[k][:2]
+            yield doc, at >> 32, (at & 0xFFFFFFFF) - behind, (at & 0xFFFFFFFF) + ahead
 
     out = []
     for batch in batches:
@@ -128,7 +150,7 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(i_doc, i_tag, whole, parts) for the documents of docs(doc, tag, text) that hold repeats: the positions of the
     anchors whose contexts repeat as a whole, and (position, hash, whether the hash is crowded) of those to compare with
     other contexts."""
-    lean = docs.select("doc", "text")
+    lean = docs.select("doc", "text", "tag")
     often = written(_anchor_table(lean, length, False).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "often")
     discard(docs)
     rows = written(_anchor_table(lean, length, True).join(often, "g"), "anchors")
@@ -148,11 +170,6 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return info
 
 
-@F.arrow_udf(T.LongType())
-def tags(texts: pa.Array) -> pa.Array:
-    return pa.array([tag(t.as_py()) for t in texts], pa.int64())
-
-
 PIECE = T.ArrayType(
     T.StructType([T.StructField("g", T.LongType()), T.StructField("at", T.LongType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()), T.StructField("crowd", T.BooleanType())])
 )
@@ -180,11 +197,17 @@ CUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("spans
 def _cutter(length: int, keep: bool):
     @F.arrow_udf(CUT)
     def cut(texts: pa.Array, whole: pa.Array, more: pa.Array) -> pa.Array:
+        raws = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in texts]
+        sizes = np.array([len(r) for r in raws], np.int64)
+        row, place = _flat(whole)
+        more_row, found = _flat(more)
+        begin = np.concatenate([np.maximum(place - (length - GRAM), 0), found["begin"]])
+        end = np.concatenate([np.minimum(place + length, sizes[row]), found["end"]])
+        row, begin, end = _union(np.concatenate([row, more_row]), begin, end)
+        first = np.searchsorted(row, np.arange(len(raws) + 1))
         out = []
-        for text, places, extra in zip(texts, whole.to_pylist(), more.to_pylist(), strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            marks = [_context(len(raw), p, length) for p in places or ()] + [(x["begin"], x["end"]) for x in extra or ()]
-            spans = _spans(marks)
+        for k, raw in enumerate(raws):
+            spans = list(zip(begin[first[k] : first[k + 1]].tolist(), end[first[k] : first[k + 1]].tolist(), strict=True))
             rest, at = [], 0
             for a, b in spans:
                 rest.append(raw[at:a])
@@ -207,7 +230,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> Dat
     that repeat both are one document and lose the same bytes. Texts shorter than length lose nothing. An empty table
     gives an empty result. Positions within a text are below 2**31.
     """
-    ready = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text").withColumn("tag", tags("text"))
+    ready = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text").withColumn("tag", F.expr("shiftright(crc32(CAST(coalesce(text, '') AS BINARY)), 1)"))
     info = marked(ready, length)
     here = (F.col("doc") == F.col("i_doc")) & (F.col("tag") == F.col("i_tag"))
     asking = ready.join(info.where("size(parts) > 0").select("i_doc", "i_tag", "parts"), here)

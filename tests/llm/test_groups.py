@@ -174,7 +174,7 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("crowd", [1024, 1])
+@pytest.mark.parametrize("crowd", [8192, 1])
 def test_repeats(spark, clashing, nothing, monkeypatch, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     r = random.Random(5)
