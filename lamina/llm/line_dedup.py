@@ -8,8 +8,10 @@ positions to drop are gathered per document, which then is reassembled from the
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.llm.util import fresh, table
 
@@ -47,14 +49,25 @@ def drop_shared_lines(docs: DataFrame, least_documents: int = MIN_DOCUMENTS, lea
     gone = hashed.join(shared, "h").where("doc_id <> stays").groupBy(F.col("doc_id").alias(key_id), F.col("of").alias(key_of)).agg(F.collect_set("pos").alias(dropped))
     met = docs.join(gone, (F.col("doc_id") == F.col(key_id)) & (F.xxhash64("text") == F.col(key_of)), "left")
     lines_of = "split(coalesce(text, ''), '\\n', -1)"
-    stay = f"CASE WHEN {dropped} IS NULL THEN coalesce(text, '') ELSE array_join(filter({lines_of}, (l, i) -> NOT array_contains({dropped}, i)), '\\n') END"
-    return met.selectExpr(
-        *(f"`{c}`" if c != "text" else f"{stay} AS text" for c in docs.columns),
-        f"CAST(size({lines_of}) AS BIGINT) AS n_lines",
-        f"CAST(coalesce(size({dropped}), 0) AS BIGINT) AS n_dropped",
+    # Texts that keep all lines don't leave the JVM; the others take time in proportion to their lines.
+    stay = F.coalesce(_reassemble(F.when(F.col(dropped).isNotNull(), F.col("text")), F.col(dropped)), F.col("text"), F.lit(""))
+    return met.select(
+        *(F.col(f"`{c}`") if c != "text" else stay.alias("text") for c in docs.columns),
+        F.expr(f"CAST(size({lines_of}) AS BIGINT)").alias("n_lines"),
+        F.expr(f"CAST(coalesce(size({dropped}), 0) AS BIGINT)").alias("n_dropped"),
     )
 
 
+@F.arrow_udf(T.StringType())
+def _reassemble(texts: pa.Array, dropped: pa.Array) -> pa.Array:
+    """Texts without the lines at the positions dropped; null for a null text."""
+    out = []
+    for text, positions in zip(texts, dropped, strict=True):
+        gone = set(positions.as_py()) if text.is_valid else None
+        out.append(None if gone is None else "\n".join([line for k, line in enumerate(text.as_py().split("\n")) if k not in gone]))
+    return pa.array(out, pa.string())
+
+
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     kept = drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
