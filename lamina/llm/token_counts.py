@@ -16,10 +16,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.util import fresh, table
+from lamina.llm.util import fresh, table, written
 
 #: Distinct pieces whose token count a worker remembers; the memory is emptied when full.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Lengths are summed in runs of this many, so no window runs over all lengths at once.
 RUN = 4096
 
@@ -129,4 +129,5 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    # The histogram is read three times by its sums: it is written once, so that texts are encoded once.
+    return suffix_sums(written(length_histogram(table(spark, sf_dir, "documents")), "lengths"))
