@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from lamina.llm.util import table
 
-#: Distinct words whose ids a worker remembers, and the longest such word; the memory is emptied when full.
-MEMORY, LONGEST_KEPT = 800_000, 64
+#: Distinct words whose ids a worker remembers, in two generations of half as many, and the longest such word.
+MEMORY, LONGEST_KEPT = 250_000, 64
 #: Stands for the end-of-word mark inside the automaton; no byte maps to it.
 END = "\uffff"
 #: Ids are gathered from offset tables in runs of this many, so memory does not follow the text.
@@ -68,7 +68,7 @@ class PairTable:
         key = (left, right)
         ok = self.known.get(key)
         if ok is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > MEMORY:
                 self.known.clear()
             ok = self.known[key] = self._fits(left, right)
         return ok
@@ -131,6 +131,7 @@ class Codec:
         self.split_ascii = re.compile(r"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\x20\x09-\x0da-z0-9]+").findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, token: str, k: int) -> bool:
         """Whether a token encodes to itself: its two parts do, and they may stand side by side until they merge."""
@@ -187,13 +188,14 @@ class Codec:
             pieces = self.pieces_of(part)
             new = set(pieces).difference(known)
             if new:
-                if len(known) + len(new) > MEMORY:
-                    known.clear()
-                    new = set(pieces)
-                long = {x: self._ids_of(x) for x in new if len(x) > LONGEST_KEPT}
+                if len(known) + len(new) > MEMORY // 2:
+                    # The words of late stay at hand: those met again move over, the others go at the next turn.
+                    self.older, self.known = known, {}
+                    known, new = self.known, set(pieces)
+                long = {}
                 for x in new:
-                    if x not in long:
-                        known[x] = self._ids_of(x)
+                    ids = self.older.get(x) or self._ids_of(x)
+                    (known if len(x) <= LONGEST_KEPT else long)[x] = ids
                 if long:
                     out.extend(long[x] if x in long else known[x] for x in pieces)
                     continue

@@ -35,7 +35,7 @@ PLACES, BANDS, ROWS = 128, 25, 5
 #: of 128 places, 102.4 agree in the mean at 0.8, with a deviation of 4.5.
 LEAST_AGREE = 77
 #: Points made at once while signatures are built.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Nodes, and shingles of all nodes, on either side of a block of comparisons, about.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 20
 
@@ -110,7 +110,7 @@ SKETCH_TYPE = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T
 @F.arrow_udf(SKETCH_TYPE)
 def sketch(texts: pa.Array) -> pa.Array:
     bands, names = [], []
-    for begin, end in portions(texts, 2 << 20):
+    for begin, end in portions(texts, 1 << 19):
         blob, off = utf8(texts.slice(begin, end - begin))
         text, hashes = shingle_hashes(*word_hashes(blob, off), SHINGLE)
         signs = signatures(text, hashes, end - begin)
@@ -198,7 +198,7 @@ def content_classes(docs: DataFrame) -> DataFrame:
 def elements(texts: pa.Array) -> pa.Array:
     """The multiset of shingles of each text as a sorted array of 64-bit hashes of (shingle, number of the occurrence)."""
     out = []
-    for begin, end in portions(texts, 2 << 20):
+    for begin, end in portions(texts, 1 << 19):
         text, hashes = shingle_hashes(*word_hashes(*utf8(texts.slice(begin, end - begin))), SHINGLE)
         order = np.lexsort((hashes, text))
         text, hashes = text[order], hashes[order]
