@@ -18,12 +18,17 @@ from lamina.llm.util import fresh, table
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Blanks that trim() takes away, as SQL text.
-_BLANKS = r"' \t\n\u000B\f\r'"
+_BLANKS = r"' \t\n\u000B\u000C\r'"
+
+
+def trimmed(line: str) -> str:
+    """SQL for a line without the blanks at its ends, which is as long as its key."""
+    return f"trim(BOTH {_BLANKS} FROM {line})"
 
 
 def line_key(line: str) -> str:
     """SQL for the key of a line."""
-    return f"translate(trim(BOTH {_BLANKS} FROM {line}), '{_UPPER}', '{_LOWER}')"
+    return f"translate({trimmed(line)}, '{_UPPER}', '{_LOWER}')"
 
 
 def drop_shared_lines(docs: DataFrame, least_documents: int = MIN_DOCUMENTS, least_chars: int = MIN_CHARS) -> DataFrame:
@@ -40,8 +45,9 @@ def drop_shared_lines(docs: DataFrame, least_documents: int = MIN_DOCUMENTS, lea
     names = fresh("id", "of", "drop", taken=docs.columns)
     key_id, key_of, dropped = names
     lines = docs.where("doc_id IS NOT NULL").selectExpr("doc_id", "xxhash64(text) AS of", "posexplode(split(text, '\\n', -1)) AS (pos, line)")
-    keyed = lines.selectExpr("doc_id", "of", "pos", f"{line_key('line')} AS k").where(F.length("k") >= least_chars)
-    hashed = keyed.selectExpr("doc_id", "of", "pos", "unhex(md5(k)) AS h")
+    # Filters and projections evaluate apart: lengths are taken before letters change, so these change once, in long lines only.
+    long = lines.where(F.length(F.expr(trimmed("line"))) >= least_chars)
+    hashed = long.selectExpr("doc_id", "of", "pos", f"unhex(md5({line_key('line')})) AS h")
     shared = (
         hashed.groupBy("h", "doc_id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n"), F.max("doc_id").alias("stays"))
         .where(F.col("n") >= least_documents).select("h", "stays")

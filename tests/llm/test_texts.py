@@ -96,6 +96,15 @@ def test_lines(spark, clashing, nothing):
     assert sorted(map(tuple, line_dedup.op9_line_dedup(spark, SF).collect())) == sorted(con.execute(line_dedup_sql()).fetchall())
 
 
+def test_lines_with_form_feeds_and_f(spark):
+    """A form feed at an end is a blank; the letter f is not."""
+    rows = [(k, f"This line is a shelf\nfrom here to the ends\n{c}A line between form feeds{c}") for k, c in enumerate(["", "\x0c", "\x0c\x0c"])]
+    rows += [(10, "what they were made of"), (11, "what they were made of"), (12, "what they were made o"), (13, "fish are swimming here"), (14, "fish are swimming here"), (15, "ish are swimming here")]
+    got = line_dedup.drop_shared_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == sorted(brute_lines(rows))
+    assert [r.n_dropped for r in sorted(got)] == [3, 3, 0] + [0] * 6
+
+
 def test_token_counts(spark, small, nothing):
     encoding, _, _ = token_counts._counter(token_counts.default_ranks())
     assert isinstance(encoding, tiktoken.Encoding)
