@@ -23,8 +23,9 @@ from lamina.llm.util import WORD_PATTERN, fresh, table, written
 #: Hash buckets of a leaf, by the first hex digits of the hash.
 BUCKET_DIGITS = 3
 
-#: The default tree: domains of the sources by number, and weights; nodes not named weigh 1.
-DOMAIN = "CASE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'reference' ELSE 'forum' END"
+#: The default tree: domains of the sources by number, and weights; nodes not named weigh 1. A source without a number at
+#: its end, or with one beyond INT, is of the last domain.
+DOMAIN = "CASE try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'reference' ELSE 'forum' END"
 WEIGHTS = {("web",): 5, ("reference",): 3, ("forum",): 2, **{(d, lang): w for d in ("web", "reference", "forum") for lang, w in (("en", 6), ("de", 2), ("fr", 2), ("es", 2))}}
 SEED, BUDGET_PERCENT, MOST_EPOCHS = 17, 80, 3
 

@@ -105,6 +105,18 @@ def test_mixing_follows_its_sql(spark):
     assert got == sorted(con.execute(mixing_sql()).fetchall(), key=str)
 
 
+def test_mixing_any_source(spark, tmp_path):
+    """Sources that don't end in a number, or in one too long, fall to the last domain, as in the SQL."""
+    names = ["", "hot", "src1x", "src3", "src4", "src5", f"src{2**31}", "src" + "9" * 40, "src00000000000000000000003", None]
+    rows = [(k, f"{'one two three ' * (k % 7)}{k}", ["en", "de"][k % 2], names[k % len(names)], 0) for k in range(120)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, mixing.op3_mixing(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(mixing_sql()).fetchall(), key=str)
+    assert {r[1] for r in got if r[3] in ("", "hot", f"src{2**31}")} == {"forum"} and {r[1] for r in got if r[3] == "src00000000000000000000003"} == {"web"}
+
+
 def test_budgets_go_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 1000), ("a", "y", "3", 1000), ("b", "x", "4", 1000), ("c", "x", "5", 0)], "domain string, lang string, source string, supply long")
     got = {r.source: r.budget for r in mixing.budgets(leaves, {}, F.lit(900).cast("bigint"), 1).collect()}
