@@ -5,11 +5,16 @@ case words of letters and digits; their similarity is the Dice coefficient of th
 2 |A and B| / (|A| + |B|). As the smaller of two sizes bounds the overlap, a unit of a bigrams can only reach t with
 templates of t a / (2 - t) to (2 - t) a / t bigrams: units outside the sizes of all templates are not even split
 into bigrams.
+
+Notices that don't stand alone in a unit are found by windows over the words of the whole text. A window has at least
+as many bigrams as its template, so that words in the place of the template's count against it (version 3 is not version
+2.0), and at most (2 - t) / t times as many. Only the places of template bigrams are looked at.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -70,15 +75,19 @@ class Scanner:
         #: Fewest and most words of a unit that can reach the least similarity with any template.
         self.fewest = min(sizes, default=0) * self.least / (200 - self.least) + 1
         self.most = max(sizes, default=-1) * (200 - self.least) / self.least + 1
+        self.grams = frozenset(g for _, template, _ in self.templates for g in template)
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, str]]:
         """(licence, 2 * common bigrams, sum of sizes, unit) of the best unit for every licence that is found; a unit is
-        evidence for its most similar template alone, the first by name of equals."""
+        evidence for its most similar template alone, the first by name of equals. A licence without such a unit has its
+        best window instead, if it has one."""
         best: dict[str, tuple[int, int, str]] = {}
-        for unit in units(text or ""):
+        text = text or ""
+        every = _WORD(text.lower())
+        for unit in units(text):
             if len(unit) < 2 * self.fewest - 1:
                 continue
-            words = _WORD(unit.lower())
+            words = every if unit is text else _WORD(unit.lower())
             if not self.fewest <= len(words) <= self.most:
                 continue
             grams, n = Counter(zip(words, words[1:], strict=False)), len(words) - 1
@@ -91,14 +100,62 @@ class Scanner:
                     name, common, sizes = other, both, n + size
             if name and 100 * common >= self.least * sizes and (name not in best or common * best[name][1] > best[name][0] * sizes):
                 best[name] = (common, sizes, unit)
+        found = {name: w for name, *w in self.windows(every) if name not in best}
+        if found:
+            place = _places(text)
+            best |= {name: (common, sizes, text[place[begin][0] : place[end - 1][1]]) for name, (common, sizes, begin, end) in found.items()}
         return [(name, *found) for name, found in sorted(best.items())]
 
+    def windows(self, words: list[str]) -> list[tuple[str, int, int, int, int]]:
+        """(licence, 2 * common bigrams, sum of sizes, first word, last word + 1) of the best window for every licence
+        that is found. Windows are taken from the most similar on, the longer of equals first; one is evidence only if
+        less than half of its words are in windows taken before."""
+        hits = [(k, g) for k, g in enumerate(zip(words, words[1:], strict=False)) if g in self.grams]
+        near = []
+        for name, template, size in self.templates:
+            # Fewest common bigrams and most bigrams of a window that is similar enough.
+            need, longest = max(-(-self.least * size // 100), 1), (200 - self.least) * size // self.least
+            if len(hits) < need or len(words) <= size:
+                continue
+            own = [h for h in hits if h[1] in template]
+            at = [k for k, _ in own]
+            # The best window starts with a bigram of the template, or is as long as the template and ends with the text.
+            for begin in sorted({min(k, len(words) - 1 - size) for k in at}):
+                a = bisect_left(at, begin)
+                if a + need > len(at) or at[a + need - 1] >= begin + longest:
+                    continue
+                met, common, top = Counter(), 0, (0, 1)
+                for x in range(a, len(own)):
+                    k, g = own[x]
+                    n = max(size, k - begin + 1)
+                    if n > longest:
+                        break
+                    met[g] += 1
+                    common += met[g] <= template[g]
+                    if 2 * common * top[1] > top[0] * (n + size):
+                        top = (2 * common, n + size)
+                if 100 * top[0] >= self.least * top[1]:
+                    near.append((-top[0] / top[1], -top[1], name, begin, begin + top[1] - size + 1, top))
+        taken, best = bytearray(len(words) if near else 0), {}
+        for _, _, name, begin, end, top in sorted(near):
+            if 2 * taken.count(1, begin, end) < end - begin:
+                taken[begin:end] = b"\1" * (end - begin)
+                best.setdefault(name, (*top, begin, end))
+        return [(name, *found) for name, found in best.items()]
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    """Begin and end in text of each word of its lower case, which may be longer than text."""
+    low = text.lower()
+    at = range(len(text) + 1) if len(low) == len(text) else [k for k, c in enumerate(text) for _ in c.lower()] + [len(text)]
+    return [(at[m.start()], at[m.end() - 1] + 1) for m in re.finditer(r"[^\W_]+", low)]
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE, into: str = "licenses") -> DataFrame:
     """docs with an array of (license, common, sizes, unit), one for every template that is the best match of
-    some unit of the text, with a Dice coefficient common / sizes of at least ``least``, by name; a column named like into is replaced.
+    some unit or window of the text, with a Dice coefficient common / sizes of at least ``least``, by name; a column named like into is replaced.
 
-    The unit is the best match, the first of equals. Null or empty text has none, like a text of one word. Templates of
+    The unit is the best match, the first of equals; the best window stands for it where no unit matches. Null or empty text has none, like a text of one word. Templates of
     fewer than two words match nothing. Nothing is shuffled.
     """
 

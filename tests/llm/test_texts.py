@@ -188,6 +188,42 @@ def test_licenses(spark, clashing, nothing):
     assert license_scan.scan_licenses(found).first().licenses[0].license == "mit"
 
 
+def test_licenses_in_longer_units(spark):
+    """Notices beside other words on a line, in prose and wrapped over lines of a larger paragraph."""
+    header = license_scan.TEMPLATES["apache-2.0-header"]
+    cases = [
+        ("This project is released under the MIT License.", {"mit": "released under the MIT License"}),
+        ("Copyright 2024 Jane Doe. Licensed under the Apache License, Version 2.0.", {"apache-2.0": "Licensed under the Apache License, Version 2.0"}),
+        ("\u0130 word " * 40 + "Licensed under\nCC BY-NC 4.0, " + "more \u0130 " * 40, {"cc-by-nc-4.0": "Licensed under\nCC BY-NC 4.0"}),
+        ("# Copyright Jane Doe\n# " + header.replace(" ", "\n# ") + "\nimport os" * 20, {"apache-2.0-header": header.rstrip(".").replace(" ", "\n# ")}),
+        ("see here: " + license_scan.TEMPLATES["agpl-3.0"] + " And so on" * 9, {"agpl-3.0": license_scan.TEMPLATES["agpl-3.0"].rstrip(".")}),
+        ("A. " + license_scan.TEMPLATES["agpl-3.0"] + " B. " + license_scan.TEMPLATES["gpl-3.0"] + " C.", {n: license_scan.TEMPLATES[n].rstrip(".") for n in ("agpl-3.0", "gpl-3.0")}),
+        ("This one is licensed under the Apache license version 3 and no other.", {}),
+    ]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: {x.license: x.unit for x in r.licenses} for r in license_scan.scan_licenses(rows).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_license_windows_by_brute_force():
+    r = random.Random(6)
+    for name, template in license_scan.TEMPLATES.items():
+        scanner, own = license_scan.Scanner({name: template}, 0.8), license_scan._WORD(template.lower())
+        n_found = 0
+        for _ in range(60):
+            edited = [w if r.random() > 0.06 else r.choice(["", "other", f"{w} {w}"]) for w in own]
+            words_ = " ".join(r.choices(own + ["x", "y"], k=r.randint(0, 12)) + edited + r.choices(own + ["x", "y"], k=r.randint(0, 12))).split()
+            want = 0.0
+            for k in range(len(own), len(words_) + 1):
+                for begin in range(len(words_) - k + 1):
+                    common, total = brute_dice(" ".join(words_[begin : begin + k]), template)
+                    want = max(want, common / total if 100 * common >= 80 * total else 0)
+            got = [(c / s, brute_dice(" ".join(words_[b:e]), template) == (c, s)) for _, c, s, b, e in scanner.windows(words_)]
+            assert got == ([(want, True)] if want else [])
+            n_found += bool(want)
+        assert n_found > 10
+
+
 def test_licenses_follow_their_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
