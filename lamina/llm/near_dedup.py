@@ -160,8 +160,8 @@ CONTENT = r"unhex(md5(trim(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D
 
 
 def content_classes(docs: DataFrame) -> DataFrame:
-    """(node, own, class_id): for every distinct content of docs(doc_id, text) the least doc_id that has it and the
-    least doc_id of its class. Works as near_classes describes."""
+    """(node, own, class_id, first): for every distinct content of docs(doc_id, text) the least doc_id that has it, the
+    least doc_id of its class and the least content of its class. Works as near_classes describes."""
     node = F.expr(CONTENT).alias("node")
     sketched = docs.select("doc_id", node, sketch("text").alias("s"))
     nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("own"), F.min_by("s", F.struct("doc_id")).alias("s")).select("node", "own", "s.bands", "s.names"), "nodes")
@@ -169,7 +169,7 @@ def content_classes(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(rows.join(shared, "key"), "buckets")
     if buckets.isEmpty():
-        return nodes.select("node", "own", F.col("own").alias("class_id"))
+        return nodes.select("node", "own", F.col("own").alias("class_id"), F.col("node").alias("first"))
     wanted = nodes.join(buckets.select("node").distinct(), "node").select(F.col("node").alias("of"), "own")
     texts = docs.select("doc_id", node, "text").join(wanted, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("own")))
     # Repeated rows of a document only repeat its pairs, which are made distinct below.
@@ -190,8 +190,9 @@ def content_classes(docs: DataFrame) -> DataFrame:
     known = written(buckets.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "known")
     links = links.unionByName(written(_block_links(known, texts), "more"))
     labels = components(links)
-    least = nodes.join(labels, "node").groupBy("component").agg(F.min("own").alias("least"))
-    return nodes.join(labels, "node", "left").join(least, "component", "left").select("node", "own", F.coalesce("least", "own").alias("class_id"))
+    least = nodes.join(labels, "node").groupBy("component").agg(F.min("own").alias("least"), F.min("node").alias("least_node"))
+    classes = nodes.join(labels, "node", "left").join(least, "component", "left")
+    return classes.select("node", "own", F.coalesce("least", "own").alias("class_id"), F.coalesce("least_node", "node").alias("first"))
 
 
 @F.arrow_udf(T.BinaryType())
@@ -292,10 +293,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The document of least doc_id of each class, with its own columns; rows that repeat it all stay."""
-    content, of, class_id, least = fresh("content", "of", "class", "least", taken=docs.columns)
-    classes = content_classes(docs.select("doc_id", "text")).select(F.col("node").alias(of), F.col("class_id").alias(least))
-    return docs.withColumn(content, F.expr(CONTENT)).join(classes, (F.col(content) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(least))).select(*docs.columns)
+    """The document of least doc_id of each class, with its own columns; rows that repeat it all stay. Of a class whose
+    rows all lack doc_id one row stays: of least content, then first by its JSON."""
+    content, of, least, first, row = fresh("content", "of", "least", "first", "row", taken=docs.columns)
+    classes = content_classes(docs.select("doc_id", "text")).select(F.col("node").alias(of), F.col("class_id").alias(least), F.col("first").alias(first))
+    keyed, same = docs.withColumn(content, F.expr(CONTENT)), F.col(content) == F.col(of)
+    kept = keyed.join(classes, same & (F.col("doc_id") == F.col(least))).select(*docs.columns)
+    unnamed = keyed.where("doc_id IS NULL").join(classes.where(F.col(least).isNull() & (F.col(of) == F.col(first))), same)
+    whole = F.struct(*docs.columns)
+    return kept.unionByName(unnamed.groupBy(content).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*"))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

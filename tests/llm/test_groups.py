@@ -46,6 +46,19 @@ def test_near_classes(clashing, nothing):
     assert kept.columns == clashing.columns and kept.where("doc_id IN (20, 21)").count() == 0 and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id = 7").count() == 2
 
 
+def test_near_copies_without_ids(spark):
+    """Of a class without ids one row stays; with an id among them, that one; a document of its own stays."""
+    words = [f"w{k}" for k in range(100)]
+    near, other, alone = " ".join(words[:-1] + ["x"]), " ".join(f"v{k}" for k in range(60)), " ".join(f"u{k}" for k in range(60))
+    rows = [(None, " ".join(words), c) for c in "aabb"] + [(None, near, "c"), (None, near, "d"), (None, other, "e"), (5, other, "f"), (None, other, "g"), (None, alone, "h"), (9, alone + " t" * 200, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [(r.doc_id, r.lang) for r in near_dedup.drop_near_duplicates(docs).collect()]
+    again = [(r.doc_id, r.lang) for r in near_dedup.drop_near_duplicates(docs.repartition(7, "lang")).collect()]
+    assert sorted(kept, key=str) == sorted(again, key=str) and len(kept) == 4 and {(5, "f"), (9, "i"), (None, "h")} < set(kept) and {x[1] for x in kept} & set("abcd")
+    same = near_dedup.drop_near_duplicates(docs.where("lang IN ('a', 'b')")).collect()
+    assert [(r.doc_id, r.lang) for r in same] == [(None, "a")]
+
+
 def test_near_chain_and_crowd(spark):
     """A chain of edits links its ends; a crowd of near copies is one class; documents half alike stay apart."""
     r = random.Random(2)
