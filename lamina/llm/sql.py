@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-from lamina.llm import license_scan, line_dedup, mixing, quality_rules
+from lamina.llm import license_scan
 
 _BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def quality_sql(docs: str = "documents", result: str | None = None) -> str:
+def quality_sql(docs: str = "documents", result: str | None = None, least: int = 200) -> str:
     """The columns of op1, or those that result names, over the table docs."""
-    rules, least = quality_rules.RULES, quality_rules.LEAST_DOCUMENTS
-    ratios = {r: f"CASE WHEN {bottom} > 0 THEN ({scale} * {top}) // {bottom} ELSE 0 END" for r, (top, bottom, scale, _, _) in rules.items()}
     shift = "greatest(length(bin(v)) - 6, 0)"
-    values = " UNION ALL ".join(f"SELECT '{r}' AS rule, lang, source, {x} AS v FROM base WHERE NOT base_failed" for r, x in ratios.items())
-    fences = "CASE rule " + " ".join(f"WHEN '{r}' THEN greatest({floor}, upper_q + {factor} * (upper_q - lower_q))" for r, (_, _, _, factor, floor) in rules.items()) + " END"
+    result = result or "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"
 
-    def quartiles(name: str, level: list[str]) -> str:
+    def limits(name: str, level: list[str]) -> str:
         keys = ", ".join(["rule", *level])
         return f"""{name}_sums AS (SELECT {keys}, b, sum(n)::BIGINT AS n FROM sketch GROUP BY ALL),
         {name}_upto AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM {name}_sums),
-        {name} AS (SELECT {keys}, min(b) FILTER (WHERE 4 * upto >= total) AS lower_q, min(b) FILTER (WHERE 4 * upto >= 3 * total) AS upper_q, max(total) AS total FROM {name}_upto GROUP BY {keys})"""
+        {name}_q AS (SELECT {keys}, min(b) FILTER (WHERE 4 * upto >= total) AS q1, min(b) FILTER (WHERE 4 * upto >= 2 * total) AS q2,
+            min(b) FILTER (WHERE 4 * upto >= 3 * total) AS q3, max(total) AS total FROM {name}_upto GROUP BY {keys}),
+        {name} AS (SELECT q.*, q3 + factor * greatest(q3 - q2, grain) AS high, greatest(q1 - factor * greatest(q2 - q1, grain), 0) AS low FROM {name}_q q JOIN rules USING (rule))"""
 
-    limits = ", ".join(f"max(CASE WHEN rule = '{r}' THEN fence END) AS limit_{r}" for r in rules)
-    passes = " AND ".join(f"{x} <= limit_{r}" for r, x in ratios.items())
-    result = result or "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"
     return f"""
     WITH numbered AS (SELECT row_number() OVER () AS r, * FROM {docs}),
     texts AS (SELECT r, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
@@ -36,20 +32,26 @@ def quality_sql(docs: str = "documents", result: str | None = None) -> str:
     base AS (SELECT n.*, len(w)::BIGINT AS n_words, length(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
         (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
-        len(w) < {quality_rules.MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {quality_rules.MOST_REPEATED_PERCENT} * len(w) AS base_failed
+        len(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(w) AS base_failed
         FROM numbered n JOIN texts USING (r) LEFT JOIN covered USING (r)),
-    vals AS ({values}),
+    ratios AS (SELECT *, coalesce((1000 * n_symbols) // nullif(n_words, 0), 0) AS symbols, coalesce((1000 * word_chars) // nullif(n_words, 0), 0) AS word_length,
+        coalesce((1000 * n_dup_lines) // nullif(n_lines, 0), 0) AS dup_lines, coalesce((1000 * n_repeat_words) // nullif(n_words, 0), 0) AS repeats FROM base),
+    rules AS (SELECT * FROM (VALUES ('symbols', 6, 10), ('word_length', 12, 100), ('dup_lines', 6, 60), ('repeats', 6, 25)) v(rule, factor, grain)),
+    vals AS (SELECT rule, lang, source, CASE rule WHEN 'symbols' THEN symbols WHEN 'word_length' THEN word_length WHEN 'dup_lines' THEN dup_lines ELSE repeats END AS v
+        FROM ratios, rules WHERE NOT base_failed),
     sketch AS (SELECT rule, lang, source, (v >> {shift}) << {shift} AS b, count(*) AS n FROM vals GROUP BY ALL),
-    {quartiles("g", ["lang", "source"])},
-    {quartiles("l", ["lang"])},
-    {quartiles("c", [])},
-    picked AS (SELECT g.rule, g.lang, g.source,
-        CASE WHEN g.total >= {least} THEN g.lower_q WHEN l.total >= {least} THEN l.lower_q ELSE c.lower_q END AS lower_q,
-        CASE WHEN g.total >= {least} THEN g.upper_q WHEN l.total >= {least} THEN l.upper_q ELSE c.upper_q END AS upper_q
-        FROM g JOIN l ON g.rule = l.rule AND g.lang IS NOT DISTINCT FROM l.lang JOIN c ON g.rule = c.rule),
-    fences AS (SELECT lang, source, {limits} FROM (SELECT *, {fences} AS fence FROM picked) GROUP BY lang, source),
-    rated AS (SELECT base.*, NOT base_failed AND coalesce({passes}, false) AS kept
-        FROM base LEFT JOIN fences f ON base.lang IS NOT DISTINCT FROM f.lang AND base.source IS NOT DISTINCT FROM f.source)
+    {limits("c", [])},
+    {limits("l", ["lang"])},
+    {limits("g", ["lang", "source"])},
+    languages AS (SELECT l.rule, l.lang, CASE WHEN l.total >= {least} THEN least(l.high, 2 * c.high) ELSE c.high END AS high,
+        CASE WHEN l.total >= {least} THEN greatest(l.low, c.low // 2) ELSE c.low END AS low FROM l JOIN c USING (rule)),
+    groups AS (SELECT g.rule, g.lang, g.source, CASE WHEN g.total >= {least} THEN least(g.high, 2 * l.high) ELSE l.high END AS high,
+        CASE WHEN g.total >= {least} THEN greatest(g.low, l.low // 2) ELSE l.low END AS low FROM g JOIN languages l ON g.rule = l.rule AND g.lang IS NOT DISTINCT FROM l.lang),
+    limits AS (SELECT lang, source, max(high) FILTER (WHERE rule = 'symbols') AS most_symbols, max(high) FILTER (WHERE rule = 'word_length') AS most_length,
+        max(low) FILTER (WHERE rule = 'word_length') AS least_length, max(high) FILTER (WHERE rule = 'dup_lines') AS most_lines, max(high) FILTER (WHERE rule = 'repeats') AS most_repeats
+        FROM groups GROUP BY lang, source),
+    rated AS (SELECT r.*, NOT base_failed AND coalesce(symbols <= most_symbols AND word_length BETWEEN least_length AND most_length AND dup_lines <= most_lines AND repeats <= most_repeats, false) AS kept
+        FROM ratios r LEFT JOIN limits f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source)
     SELECT {result} FROM rated"""
 
 
@@ -59,7 +61,7 @@ def line_dedup_sql(docs: str = "documents") -> str:
     WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM {docs}),
     lines AS (SELECT r, doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line FROM split),
     keyed AS (SELECT *, translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
-    shared AS (SELECT k, max(doc_id) AS stays FROM keyed WHERE length(k) >= {line_dedup.MIN_CHARS} AND doc_id IS NOT NULL GROUP BY k HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCUMENTS}),
+    shared AS (SELECT k, max(doc_id) AS stays FROM keyed WHERE length(k) >= 20 AND doc_id IS NOT NULL GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
     marked AS (SELECT keyed.*, coalesce(doc_id <> stays, false) AS gone FROM keyed LEFT JOIN shared USING (k))
     SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
@@ -68,32 +70,34 @@ def line_dedup_sql(docs: str = "documents") -> str:
 
 def mixing_sql(docs: str = "documents", result: str | None = None) -> str:
     """The columns of op3, or those that result names."""
-    m = mixing
-    domain = m.DOMAIN.replace("CAST(regexp_extract", "TRY_CAST(regexp_extract")
+    domain = "CASE coalesce(TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INT), 2) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'reference' ELSE 'forum' END"
+    weights = [
+        "CASE n.domain WHEN 'web' THEN 5 WHEN 'reference' THEN 3 WHEN 'forum' THEN 2 ELSE 1 END",
+        "CASE n.lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END",
+        "1",
+    ]
     levels, above = [], "tops"
-    for depth, level in enumerate(m.LEVELS, 1):
-        names = list(m.LEVELS[:depth])
-        named = [(path, w) for path, w in m.WEIGHTS.items() if len(path) == depth]
-        weight = "CASE " + " ".join("WHEN " + " AND ".join(f"n.{n} = '{v}'" for n, v in zip(names, path)) + f" THEN {w}" for path, w in named) + " ELSE 1 END" if named else "1"
+    for depth, weight in enumerate(weights, 1):
+        names = ["domain", "lang", "source"][:depth]
         part = f"PARTITION BY {', '.join(names[:-1])}" if depth > 1 else ""
         on = " AND ".join(f"a.{n} IS NOT DISTINCT FROM n.{n}" for n in names[:-1]) or "true"
         levels.append(f"""
-        n{depth} AS (SELECT n.*, {weight} AS weight, a.budget FROM (SELECT {', '.join(names)}, sum(supply)::HUGEINT * {m.MOST_EPOCHS} AS most FROM leaves GROUP BY {', '.join(names)}) n JOIN {above} a ON {on}),
+        n{depth} AS (SELECT n.*, {weight} AS weight, a.budget FROM (SELECT {', '.join(names)}, sum(supply)::HUGEINT * 3 AS most FROM leaves GROUP BY {', '.join(names)}) n JOIN {above} a ON {on}),
         o{depth} AS (SELECT *, coalesce(sum(most) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS used,
-            (sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS weights FROM n{depth} WINDOW w AS ({part} ORDER BY most / weight, {level} NULLS FIRST)),
+            (sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS weights FROM n{depth} WINDOW w AS ({part} ORDER BY most // weight, (most % weight) / weight, {names[-1]} NULLS FIRST)),
         f{depth} AS (SELECT *, most * weights <= (budget - used) * weight AS is_full FROM o{depth}),
         s{depth} AS (SELECT {', '.join(names)}, CASE WHEN is_full THEN most ELSE ((budget - coalesce((sum(most) FILTER (WHERE is_full) OVER ({part})), 0))::HUGEINT * weight) // ((sum(weight) FILTER (WHERE NOT is_full) OVER ({part}))::HUGEINT) END AS budget FROM f{depth})""")
         above = f"s{depth}"
-    key = lambda epoch: f"md5('{m.SEED}:' || {epoch} || ':' || coalesce(doc_id::VARCHAR, ''))"
     result = result or "doc_id, domain, lang, source, n_tokens, epoch"
     return f"""
     WITH ready AS (SELECT *, {domain} AS domain, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens FROM {docs}),
     leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS supply FROM ready GROUP BY ALL),
-    tops AS (SELECT (sum(supply) * {m.BUDGET_PERCENT} // 100)::HUGEINT AS budget FROM leaves),
+    tops AS (SELECT (sum(supply) * 80 // 100)::HUGEINT AS budget FROM leaves),
     {','.join(levels)},
     plan AS (SELECT l.*, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS whole, CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS rest
-        FROM leaves l JOIN {above} s ON l.domain IS NOT DISTINCT FROM s.domain AND l.lang IS NOT DISTINCT FROM s.lang AND l.source IS NOT DISTINCT FROM s.source),
-    hashed AS (SELECT r.*, whole, rest, {key('whole')} AS h FROM ready r JOIN plan p ON r.domain IS NOT DISTINCT FROM p.domain AND r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source),
+        FROM leaves l JOIN s3 s ON l.domain IS NOT DISTINCT FROM s.domain AND l.lang IS NOT DISTINCT FROM s.lang AND l.source IS NOT DISTINCT FROM s.source),
+    hashed AS (SELECT r.*, whole, rest, md5('17:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS h
+        FROM ready r JOIN plan p ON r.domain IS NOT DISTINCT FROM p.domain AND r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source),
     placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM hashed),
     counted AS (SELECT *, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS copies FROM placed),
     chosen AS (SELECT *, unnest(range(copies::BIGINT)) AS epoch FROM counted)

@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, which separates words everywhere in this subpackage.
@@ -32,6 +32,11 @@ def fresh(*stems: str, taken: list[str]) -> list[str]:
     return out
 
 
+def quoted(name: str) -> Column:
+    """The column of a name, whatever its letters."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a folder of one's own only where the session names none, as in tests."""
     sc = spark.sparkContext
