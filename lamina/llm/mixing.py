@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.util import WORD_PATTERN, fresh, table, written
+from lamina.llm.util import WORD_PATTERN, fresh, quoted, table, written
 
 #: Hash buckets of a leaf, by the first hex digits of the hash.
 BUCKET_DIGITS = 3
@@ -39,9 +39,10 @@ def _same(names, prefix: str, of: str = "") -> Column:
 
 def _share(children: DataFrame, parent: list[str], node: str) -> DataFrame:
     """children(parent..., node, weight, most, budget) with budget replaced by each child's own: filled in the order of
-    most / weight, children are full while most * (weights not yet full) <= (budget left) * weight."""
+    most / weight, children are full while most * (weights not yet full) <= (budget left) * weight. The order is exact for
+    weights below 10**9: quotients of such weights that differ do so within the 19 decimals of the division."""
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    order = Window.partitionBy(*parent).orderBy(F.col("most") / F.col("weight"), F.col(node))
+    order = Window.partitionBy(*parent).orderBy(wide("most") / wide("weight"), F.col(node))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     ranked = children.withColumn("used", F.coalesce(F.sum("most").over(before), F.lit(0)).cast("bigint")).withColumn("weights", F.sum("weight").over(onward))
@@ -78,51 +79,62 @@ def budgets(leaves: DataFrame, weights: dict[tuple, int], budget: Column, most_e
     return known.drop("total")
 
 
-def mix(docs: DataFrame, domain: str = DOMAIN, weights: dict[tuple, int] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, most_epochs: int = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of docs chosen, one for each epoch in which a document is read, with columns ``n_tokens`` (words of the
-    text, the unit of budgets) and ``epoch`` (from 0); columns of these names in docs are replaced.
+def mix(
+    docs: DataFrame, domain: str = DOMAIN, weights: dict[tuple, int] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, most_epochs: int = MOST_EPOCHS, seed: int = SEED, tokens: str | None = None
+) -> DataFrame:
+    """The rows of docs chosen, one for each epoch in which a document is read, with columns ``n_tokens`` (the unit of
+    budgets) and ``epoch`` (from 0); columns of these names in docs are replaced, all others pass through, whatever
+    their names.
 
-    Needs doc_id, text, lang and source. domain is SQL over the columns of docs. Null domain, lang or source are nodes
-    like any value; null text has no tokens and is chosen whenever its place in the order comes within the budget; a
-    null doc_id is hashed as an empty string. Rows with the same doc_id, or hash, in a leaf are in or out together.
-    An empty table gives an empty result.
+    Needs doc_id, text, lang and source. domain is SQL over the columns of docs, and so is tokens, a count for each row
+    such as one that token_counts adds; by default words are counted, which SQL can. Null domain, lang or source are
+    nodes like any value; null or empty text has no tokens and is chosen whenever its place in the order comes within
+    the budget; a null doc_id is hashed as an empty string. Rows with the same doc_id, or hash, in a leaf are in or out
+    together. A text longer than what is left of a budget ends its prefix. An empty table gives an empty result. Plans
+    have one row for each leaf; beyond Spark's broadcast threshold they are joined by shuffle, and AQE splits hot leaves.
     """
-    docs = docs.drop("n_tokens", "epoch")
-    tag, h, bucket, at, cut, copies = fresh("leaf", "hash", "bucket", "at", "cut", "copies", taken=docs.columns)
-    ready = docs.withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")).withColumn(tag, F.struct(F.expr(domain).alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source")))
-    lean = written(ready.select("doc_id", "n_tokens", tag), "mix")
-    leaves = lean.groupBy(tag).agg(F.sum("n_tokens").alias("supply")).select(f"{tag}.*", "supply")
+    tag, units, h, bucket, at, cut, copies, turn = fresh("leaf", "units", "hash", "bucket", "at", "cut", "copies", "turn", taken=[*docs.columns, "n_tokens", "epoch"])
+    counted = F.coalesce(F.expr(tokens) if tokens else F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
+    ready = docs.withColumn(tag, F.struct(F.expr(domain).alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source")))
+    lean = written(ready.select("doc_id", counted.alias(units), tag), "mix")
+    leaves = lean.groupBy(tag).agg(F.sum(units).alias("supply")).select(f"{tag}.*", "supply")
     shares = written(budgets(leaves, weights, F.expr(f"CAST(total * {int(budget_percent)} / 100 AS BIGINT)"), most_epochs), "shares")
     plan = shares.selectExpr(
-        "domain AS p_domain", "lang AS p_lang", "source AS p_source", "CASE WHEN supply > 0 THEN budget div supply ELSE 0 END AS whole",
-        "CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS rest",
+        "domain AS p_domain", "lang AS p_lang", "source AS p_source", "CASE WHEN supply > 0 THEN budget div supply ELSE 0 END AS p_whole",
+        "CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS p_rest",
     )
-    here = _same(LEVELS, "p_", tag)
+    p = dict(zip(plan.columns, fresh(*plan.columns, taken=[*docs.columns, tag, units, h, bucket, at, cut, copies, turn, "n_tokens", "epoch"]), strict=True))
+    plan, whole, rest = plan.withColumnsRenamed(p), p["p_whole"], p["p_rest"]
+    leaf = [p[f"p_{n}"] for n in LEVELS]
+    here = reduce(lambda x, y: x & y, (F.col(f"{tag}.{n}").eqNullSafe(F.col(c)) for n, c in zip(LEVELS, leaf, strict=True)))
 
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(whole).cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     place = lean.join(plan, here).withColumn(h, order).withColumn(bucket, F.substring(h, 1, BUCKET_DIGITS))
-    by_bucket = place.groupBy("p_domain", "p_lang", "p_source", bucket).agg(F.sum("n_tokens").alias("tokens"), F.max("rest").alias("rest"))
-    running = Window.partitionBy("p_domain", "p_lang", "p_source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_bucket = place.groupBy(*leaf, bucket).agg(F.sum(units).alias("tokens"), F.max(rest).alias("rest"))
+    running = Window.partitionBy(*leaf).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The bucket in which a leaf's budget ends, and what is left for it; none if all buckets fit.
     ends = (
-        by_bucket.withColumn("upto", F.sum("tokens").over(running)).where("upto > rest").groupBy("p_domain", "p_lang", "p_source")
+        by_bucket.withColumn("upto", F.sum("tokens").over(running)).where("upto > rest").groupBy(*leaf)
         .agg(F.min(F.struct(F.col(bucket).alias("b"), (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))).alias("e"))
-        .selectExpr(*(f"p_{n} AS e_{n}" for n in LEVELS), "e.b AS b", "e.left AS left")
+        .select(*(F.col(c).alias(f"e_{n}") for n, c in zip(LEVELS, leaf, strict=True)), "e.b", "e.left")
     )
     last = place.join(ends, _same(LEVELS, "e_", tag) & (F.col(bucket) == F.col("b")))
     inside = Window.partitionBy(tag).orderBy(h).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # For each leaf the last hash that is still in: everything with a smaller or equal hash is read once more.
     limits = (
-        last.withColumn(at, F.sum("n_tokens").over(inside)).groupBy(tag)
+        last.withColumn(at, F.sum(units).over(inside)).groupBy(tag)
         .agg(F.max(F.when(F.col(at) <= F.col("left"), F.col(h))).alias("in_bucket"), F.max("b").alias("b"))
-        .select(*(F.col(f"{tag}.{n}").alias(f"c_{n}") for n in LEVELS), F.coalesce("in_bucket", "b").alias(cut))
+        .select(*(F.col(f"{tag}.{n}").alias(f"c_{n}") for n in LEVELS), F.coalesce("in_bucket", "b").alias("c_cut"))
     )
-    full = plan.withColumns({n: F.col(f"p_{n}") for n in LEVELS}).join(limits, _same(LEVELS, "c_"), "left").select(*(f"p_{n}" for n in LEVELS), "whole", F.coalesce(cut, F.lit("g")).alias(cut))
-    hashed = ready.join(full, here).withColumn(h, order)
-    counted = hashed.withColumn(copies, F.col("whole") + F.when(F.col(h) <= F.col(cut), 1).otherwise(0)).where(F.col(copies) > 0)
-    return counted.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1))).select(*docs.columns, "n_tokens", "epoch")
+    in_limits = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"c_{n}")) for n, c in zip(LEVELS, leaf, strict=True)))
+    full = plan.join(limits, in_limits, "left").select(*leaf, whole, F.coalesce("c_cut", F.lit("g")).alias(cut))
+    chosen = ready.join(full, here).withColumn(copies, F.col(whole) + F.when(order <= F.col(cut), 1).otherwise(0)).where(F.col(copies) > 0)
+    read = chosen.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1)))
+    # Tokens are counted again only in the rows chosen.
+    return read.select(*(quoted(c) for c in docs.columns if c.lower() not in ("n_tokens", "epoch")), counted.alias("n_tokens"), F.col(turn).alias("epoch"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
+    """The chosen rows of documents without their texts, in the cases of mix."""
     docs = table(spark, sf_dir, "documents")
     return mix(docs).select("doc_id", F.expr(DOMAIN).alias("domain"), "lang", "source", "n_tokens", "epoch")
