@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.util import fresh, portions, quoted, table, written
+from lamina.llm.util import fresh, keyed_join, portions, quoted, table, written
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
 _BLANKS = " \t\n\x0b\x0c\r"
-#: A hash with more than one in so many rows is hot; there are fewer hot hashes than this, whatever the table.
-HOT = 2000
 
 KEYED = "doc_id {kind}, of bigint, pos int, h binary"
 
@@ -66,8 +64,7 @@ def drop_shared_lines(docs: DataFrame, least_documents: int = MIN_DOCUMENTS, lea
     hashed = written(asked.mapInArrow(lambda batches: _hashed(batches, least_chars), KEYED.format(kind=docs.schema["doc_id"].dataType.simpleString())), "lines")
     seen = hashed.groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("rows")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("stays"), F.sum("rows").alias("rows"))
     shared = written(seen.where(F.col("n") >= least_documents).select("h", "stays", "rows"), "shared")
-    much = hashed.count() // HOT
-    gone = reduced(hashed, shared.where(F.col("rows") > much), True).unionByName(reduced(hashed, shared.where(F.col("rows") <= much), False))
+    gone = keyed_join(hashed, shared, ["h"], "rows", hashed.count()).where("doc_id <> stays")
     gone = gone.groupBy(F.col("doc_id").alias(key_id), F.col("of").alias(key_of)).agg(F.collect_set("pos").alias(dropped))
     met = docs.join(gone, (F.col("doc_id") == F.col(key_id)) & (F.xxhash64("text") == F.col(key_of)), "left")
     # Texts that keep all lines don't leave the JVM; the others take time in proportion to their lines.
@@ -79,12 +76,6 @@ def drop_shared_lines(docs: DataFrame, least_documents: int = MIN_DOCUMENTS, lea
     )
 
 
-def reduced(hashed: DataFrame, shared: DataFrame, hot: bool) -> DataFrame:
-    """The rows of hashed to drop, by hashes of shared(h, stays): hot ones, of which there are fewer than HOT, are
-    broadcast, so that their rows stay where they are."""
-    return hashed.join(F.broadcast(shared) if hot else shared, "h").where("doc_id <> stays").select("doc_id", "of", "pos")
-
-
 @F.arrow_udf(T.StringType())
 def _reassemble(texts: pa.Array, dropped: pa.Array) -> pa.Array:
     """Texts without the lines at the positions dropped; null for a null text."""

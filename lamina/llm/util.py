@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, which separates words everywhere in this subpackage.
 BLANK = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: A key with more than one in so many rows is hot; there are fewer hot keys than this, whatever the table.
+HOT = 2000
 _ids = itertools.count()
 
 
@@ -69,6 +71,14 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with keys, which has one row for each key and in n how many of the total rows have it. Hot keys, of
+    which there are fewer than HOT, are broadcast, so that their rows stay where they are; the others meet by shuffle."""
+    much = max(1, total // HOT)
+    hot = F.broadcast(keys.where(F.col(n) > much))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col(n) <= much), on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,12 +92,12 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return blob[off[0] : off[-1]], off - off[0]
 
 
-def portions(texts: pa.Array, most_bytes: int = 4 << 20):
-    """Consecutive (begin, end) runs of rows of at most about most_bytes of text each, one row at least."""
+def portions(texts: pa.Array, most_bytes: int = 4 << 20, most_rows: int = 1 << 14):
+    """Consecutive (begin, end) runs of rows of at most about most_bytes of text and most_rows each, one row at least."""
     lengths = np.asarray(pc.binary_length(texts).fill_null(0).cast(pa.int64()))
     begin, total = 0, 0
     for k, n in enumerate(lengths):
-        if k > begin and total + n > most_bytes:
+        if k > begin and (total + n > most_bytes or k - begin >= most_rows):
             yield begin, k
             begin, total = k, 0
         total += int(n)
