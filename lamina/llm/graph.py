@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.util import written
+from lamina.llm.util import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,11 +16,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = written(links.select("a", "b").unionByName(links.selectExpr("b AS a", "a AS b")).where("a <> b").distinct(), "links")
     labels = written(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    table = labels
     while True:
         seen = pairs.join(labels, pairs["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         jump = labels.selectExpr("node AS via", "component AS beyond")
         moved = labels.join(seen, labels["node"] == seen["a"]).join(jump, F.col("component") == F.col("via"))
-        moved = written(moved.select("node", "component", F.least("component", "near", "beyond").alias("less")), "labels")
-        labels = moved.selectExpr("node", "less AS component")
-        if moved.where("less <> component").isEmpty():
+        moved = written(moved.select("node", F.col("component").alias("before"), F.least("component", "near", "beyond").alias("component")), "labels")
+        discard(table)
+        table, labels = moved, moved.select("node", "component")
+        if moved.where("component <> before").isEmpty():
+            discard(pairs)
+            labels.written_at = moved.written_at
             return labels

@@ -9,14 +9,15 @@ the time by which all places are almost surely filled; bags for which that fails
 
 Classes. Documents with the same words are one node from the start. Nodes that share a band meet in a bucket. In each
 bucket everyone is compared with its leader, the node that meets most others in all its buckets, such as the original
-of many edited copies: the compared pairs' texts are joined and their multisets of shingles compared exactly. Where a
-bucket still holds nodes of different components, the nodes outside its largest component are compared with all others
-by the sets of hashed (shingle, occurrence), which is the same comparison, in blocks of bounded size: no pair is made
-that isn't a link, and no bucket has to fit into a task.
+of many edited copies. Multisets of shingles are compared exactly, as sorted 64-bit hashes of (shingle, occurrence),
+which are made once for each node that meets another. Where a bucket still holds nodes of different components, the
+nodes outside its largest component are compared with all others in blocks of bounded size: no pair is made that isn't a
+link, and no bucket has to fit into a task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -27,13 +28,13 @@ from pyspark.sql import types as T
 
 from lamina.llm.graph import components
 from lamina.llm.shingles import shingle_hashes, word_hashes
-from lamina.llm.util import fresh, mix64, portions, table, utf8, written
+from lamina.llm.util import discard, fresh, keyed_join, mix64, portions, quoted, table, utf8, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 PLACES, BANDS, ROWS = 128, 25, 5
-#: A pair whose signatures agree in fewer places can't be as similar as SIMILARITY but with a probability of 1e-8:
-#: of 128 places, 102.4 agree in the mean at 0.8, with a deviation of 4.5.
-LEAST_AGREE = 77
+#: Pairs whose signatures agree in fewer places are not compared: of 128 places 102.4 agree in the mean at 0.8, with a
+#: deviation of 4.5, so a link is lost here with a probability below 1e-15, and by the bands with 5e-5.
+LEAST_AGREE = 64
 #: Points made at once while signatures are built.
 BLOCK = 1 << 18
 #: Nodes, and shingles of all nodes, on either side of a block of comparisons, about.
@@ -76,15 +77,15 @@ def signatures(text: np.ndarray, hashes: np.ndarray, n: int, places: int = PLACE
 
 
 def _fill(active, owner, seed, width, bound, until, when, names, places) -> None:
-    time, number = np.zeros(len(active)), 0
+    time, number, shift = np.zeros(len(active)), 0, (48 - np.log2(width).astype(np.int64)).astype(np.uint64)
     while len(active):
         step = int(np.clip(BLOCK // len(active), 1, 256))
         draw = mix64(seed[active][:, None] + (np.arange(number, number + step, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(1)))
         gaps = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[active][:, None]
         times = time[:, None] + np.cumsum(gaps, axis=1)
         more = mix64(draw ^ np.uint64(0xE7037ED1A0B428DB))
-        # Halving a piece of width 2**k takes the first k of 20 bits.
-        level = ((more >> np.uint64(44)).astype(np.int64) * np.minimum(width[active], 1 << 20)[:, None]) >> 20
+        # Halving a piece of width 2**k takes the first k of 48 bits; the other 16 choose the place.
+        level = (more >> np.uint64(16) >> shift[active][:, None]).astype(np.int64)
         counts = (times <= until[owner[active]][:, None]) & (level < bound[active][:, None])
         slot = (owner[active][:, None] * places + (more & np.uint64(0xFFFF)).astype(np.int64) % places)[counts]
         t, name = times[counts], (draw[counts] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -104,21 +105,25 @@ def bands_of(names: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-SKETCH_TYPE = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("names", T.BinaryType())])
+SKETCH_TYPE = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("names", T.BinaryType())])
 
 
 @F.arrow_udf(SKETCH_TYPE)
 def sketch(texts: pa.Array) -> pa.Array:
-    bands, names = [], []
+    """128 bits of the words of each text, as CONTENT gives them, and its bands and signature."""
+    nodes, bands, names = [], [], []
     for begin, end in portions(texts, 1 << 19):
-        blob, off = utf8(texts.slice(begin, end - begin))
+        part = texts.slice(begin, end - begin)
+        blob, off = utf8(part)
+        raw = memoryview(blob)
+        nodes += [hashlib.md5(b" ".join(bytes(raw[a:b]).split())).digest() for a, b in zip(off, off[1:], strict=False)]
         text, hashes = shingle_hashes(*word_hashes(blob, off), SHINGLE)
-        signs = signatures(text, hashes, end - begin)
         some = np.bincount(text, minlength=end - begin) > 0
+        signs = signatures(text, hashes, end - begin)
         keys = bands_of(signs)
         bands += [keys[k] if some[k] else [] for k in range(end - begin)]
         names += [row.astype(np.uint16).tobytes() for row in signs]
-    return pa.StructArray.from_arrays([pa.array(bands, pa.list_(pa.int64())), pa.array(names, pa.binary())], ["bands", "names"])
+    return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(names, pa.binary())], ["node", "bands", "names"])
 
 
 @F.arrow_udf(T.IntegerType())
@@ -145,13 +150,13 @@ def overlap(a: Counter, b: Counter) -> tuple[int, int]:
 
 @F.arrow_udf(T.BooleanType())
 def similar(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Whether the multisets of shingles of two texts have a Jaccard similarity of SIMILARITY or more."""
-    out, last, left = [], None, None
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        if x != last:
-            last, left = x, bag(x)
-        common, union = overlap(left, bag(y))
-        out.append(100 * common >= round(100 * SIMILARITY) * union)
+    """Whether two multisets of shingles, as elements() gives them, have a Jaccard similarity of SIMILARITY or more."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        common = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) if len(y) else 0
+        out.append(100 * common >= round(100 * SIMILARITY) * (len(x) + len(y) - common))
     return pa.array(out, pa.bool_())
 
 
@@ -159,40 +164,47 @@ def similar(a: pa.Array, b: pa.Array) -> pa.Array:
 CONTENT = r"unhex(md5(trim(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' '))))"
 
 
-def content_classes(docs: DataFrame) -> DataFrame:
-    """(node, own, class_id, first): for every distinct content of docs(doc_id, text) the least doc_id that has it, the
-    least doc_id of its class and the least content of its class. Works as near_classes describes."""
-    node = F.expr(CONTENT).alias("node")
-    sketched = docs.select("doc_id", node, sketch("text").alias("s"))
-    nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("own"), F.min_by("s", F.struct("doc_id")).alias("s")).select("node", "own", "s.bands", "s.names"), "nodes")
-    rows = nodes.where("size(bands) > 0").select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = written(rows.join(shared, "key"), "buckets")
+def content_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (doc_id, node) of every row of docs(doc_id, text), and (node, own, class_id, first): for every
+    distinct content the least doc_id that has it, the least doc_id of its class and the least content of its class.
+    Works as near_classes describes."""
+    rows = written(docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.node", "s.bands", "s.names"), "sketches")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("own"), F.min_by(F.struct("bands", "names"), F.struct("doc_id")).alias("s"))
+    nodes = written(nodes.select("node", "own", "s.bands", "s.names"), "nodes")
+    of_rows = rows.select("doc_id", "node")
+    keys = nodes.where("size(bands) > 0").select("node", F.explode("bands").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    buckets = written(keyed_join(keys, shared, ["key"], "n", nodes.count() * BANDS), "buckets")
     if buckets.isEmpty():
-        return nodes.select("node", "own", F.col("own").alias("class_id"), F.col("node").alias("first"))
+        classes = written(nodes.select("node", "own", F.col("own").alias("class_id"), F.col("node").alias("first")), "classes")
+        discard(nodes, shared, buckets)
+        return of_rows, classes
     wanted = nodes.join(buckets.select("node").distinct(), "node").select(F.col("node").alias("of"), "own")
-    texts = docs.select("doc_id", node, "text").join(wanted, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("own")))
+    texts = docs.select("doc_id", F.expr(CONTENT).alias("node"), "text").join(wanted, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("own")))
     # Repeated rows of a document only repeat its pairs, which are made distinct below.
-    texts = written(texts.select("node", F.coalesce("text", F.lit("")).alias("text")), "texts")
+    bags = written(texts.select("node", elements("text").alias("e")), "bags")
 
     def check(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) with agree: links are those that hold exactly."""
+        """Those of pairs(a, b) that are links."""
         left, right = (nodes.select(F.col("node").alias(x), F.col("names").alias(f"names_{x}")) for x in "ab")
-        near = pairs.join(left, "a").join(right, "b").where(agreeing("names_a", "names_b") >= LEAST_AGREE).select("a", "b")
-        near = written(near, "near")
-        left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return written(near.join(left, "a").join(right, "b").where(similar("text_a", "text_b")).select("a", "b").distinct(), "found")
+        near = written(pairs.join(left, "a").join(right, "b").where(agreeing("names_a", "names_b") >= LEAST_AGREE).select("a", "b"), "near")
+        left, right = (bags.select(F.col("node").alias(x), F.col("e").alias(f"e_{x}")) for x in "ab")
+        found = written(near.join(left, "a").join(right, "b").where(similar("e_a", "e_b")).select("a", "b").distinct(), "found")
+        discard(near)
+        return found
 
     meets = buckets.groupBy("node").agg(F.sum("n").alias("met"))
-    leaders = buckets.join(meets, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("top")).selectExpr("key", "top.node AS a")
-    led = buckets.join(leaders, "key").where("node <> a")
+    leaders = buckets.join(meets, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("top"), F.max("n").alias("many")).selectExpr("key", "top.node AS a", "many")
+    led = keyed_join(buckets, written(leaders, "leaders"), ["key"], "many", buckets.count()).where("node <> a")
     links = check(led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
     known = written(buckets.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "known")
-    links = links.unionByName(written(_block_links(known, texts), "more"))
-    labels = components(links)
+    more = written(_block_links(known, bags), "more")
+    labels = components(links.unionByName(more))
     least = nodes.join(labels, "node").groupBy("component").agg(F.min("own").alias("least"), F.min("node").alias("least_node"))
     classes = nodes.join(labels, "node", "left").join(least, "component", "left")
-    return classes.select("node", "own", F.coalesce("least", "own").alias("class_id"), F.coalesce("least_node", "node").alias("first"))
+    classes = written(classes.select("node", "own", F.coalesce("least", "own").alias("class_id"), F.coalesce("least_node", "node").alias("first")), "classes")
+    discard(nodes, shared, buckets, bags, links, known, more, labels)
+    return of_rows, classes
 
 
 @F.arrow_udf(T.BinaryType())
@@ -212,11 +224,11 @@ def elements(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def _block_links(known: DataFrame, texts: DataFrame) -> DataFrame:
+def _block_links(known: DataFrame, bags: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of different components that share a bucket of known(key, node, component): for each
     node outside a bucket's largest component the most similar of the linked nodes of every other component."""
     mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    size = texts.select(F.col("node").alias("of"), (F.octet_length("text") / 4).cast("bigint").alias("size"))
+    size = bags.select(F.col("node").alias("of"), F.expr("CAST(octet_length(e) div 8 AS BIGINT)").alias("size"))
     members = written(known.join(mixed, "key").join(size, F.col("node") == F.col("of")).drop("of"), "mixed")
     sums = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     # Blocks of members and, of those outside the largest component, of nodes that look for links.
@@ -228,7 +240,7 @@ def _block_links(known: DataFrame, texts: DataFrame) -> DataFrame:
     )
     there = placed.selectExpr("key", "r", "explode(sequence(0, columns - 1)) AS c", "node", "component", "looks AND alone AS looks", "true AS member")
     asking = placed.where("looks AND NOT alone").selectExpr("key", "explode(sequence(0, rows - 1)) AS r", "c", "node", "component", "looks", "false AS member")
-    loaded = there.unionByName(asking).join(texts.select(F.col("node").alias("of"), elements("text").alias("e")), F.col("node") == F.col("of")).drop("of")
+    loaded = there.unionByName(asking).join(bags.select(F.col("node").alias("of"), "e"), F.col("node") == F.col("of")).drop("of")
     dealt = loaded.repartition("key", "r", "c").sortWithinPartitions("key", "r", "c")
     return dealt.select("key", "r", "c", "node", "component", "looks", "member", "e").mapInArrow(_compare_blocks, "a binary, b binary").distinct()
 
@@ -284,25 +296,37 @@ def near_classes(docs: DataFrame) -> DataFrame:
     of one to four words is one shingle; texts without words (null, empty) are copies of one another. Classes are the
     connected components. Words are compared as they are. Rows that repeat a doc_id are classed by their own text.
     Null doc_ids are no class's least unless it has no other; then class_id is null. An empty table gives an empty
-    result. Pairs of similarity 0.8 share a band with probability 0.99995, more similar ones almost surely.
+    result; very long texts are hashed whole, in steps, and compared like others. Ties among signatures don't matter, as all
+    comparisons are exact. Pairs of similarity 0.8 share a band with probability 0.99995, more similar ones almost surely.
     """
     docs = docs.drop("content", "class_id")
     (of,) = fresh("of", taken=docs.columns)
-    classes = content_classes(docs.select("doc_id", "text")).select(F.col("node").alias(of), "class_id")
+    classes = content_classes(docs.select("doc_id", "text"))[1].select(F.col("node").alias(of), "class_id")
     return docs.withColumn("content", F.expr(CONTENT)).join(classes, F.col("content") == F.col(of), "left").drop(of)
 
 
+def row_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, content) of every row of docs(doc_id, text), as near_classes gives them, without reading the
+    texts once more."""
+    of_rows, classes = content_classes(docs)
+    return of_rows.join(classes, "node").select("doc_id", "class_id", F.col("node").alias("content"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The document of least doc_id of each class, with its own columns; rows that repeat it all stay. Of a class whose
-    rows all lack doc_id one row stays: of least content, then first by its JSON."""
+    """The document of least doc_id of each class, with its own columns, whatever their names; rows that repeat it all
+    stay. Of a class whose rows all lack doc_id one row stays: of least content, then first by its JSON. See near_classes
+    for all other cases."""
     content, of, least, first, row = fresh("content", "of", "least", "first", "row", taken=docs.columns)
-    classes = content_classes(docs.select("doc_id", "text")).select(F.col("node").alias(of), F.col("class_id").alias(least), F.col("first").alias(first))
+    classes = content_classes(docs.select("doc_id", "text"))[1].select(F.col("node").alias(of), F.col("class_id").alias(least), F.col("first").alias(first))
     keyed, same = docs.withColumn(content, F.expr(CONTENT)), F.col(content) == F.col(of)
-    kept = keyed.join(classes, same & (F.col("doc_id") == F.col(least))).select(*docs.columns)
+    columns = [quoted(c) for c in docs.columns]
+    kept = keyed.join(classes, same & (F.col("doc_id") == F.col(least))).select(*columns)
     unnamed = keyed.where("doc_id IS NULL").join(classes.where(F.col(least).isNull() & (F.col(of) == F.col(first))), same)
-    whole = F.struct(*docs.columns)
-    return kept.unionByName(unnamed.groupBy(content).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*"))
+    whole = F.struct(*columns)
+    chosen = unnamed.groupBy(content).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return kept.unionByName(chosen.select(*(F.col(row).getField(c).alias(c) for c in docs.columns)))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", F.hex("content").alias("content"))
+    """One row for each row of documents with its class, in the cases of near_classes."""
+    return row_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", F.hex("content").alias("content"))

@@ -11,6 +11,8 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[list(BLANK)] = True
 _powers: dict[int, np.ndarray] = {}
+#: Bytes hashed at once, about.
+STEP = 1 << 20
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -32,8 +34,11 @@ def prefix_hash(blob: np.ndarray) -> np.ndarray:
 
 def range_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes begin <= k < end, the same wherever they stand."""
-    moved = (prefix[end] - prefix[begin]) * powers(_BACK, len(prefix))[begin]
-    return mix64(moved + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return _finished((prefix[end] - prefix[begin]) * powers(_BACK, len(prefix))[begin], end - begin)
+
+
+def _finished(moved: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return mix64(moved + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words(blob: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,10 +56,31 @@ def words(blob: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return begin, end, np.searchsorted(begin, off)
 
 
+def run_hashes(blob: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """range_hash() of the runs of bytes begin <= k < end, sorted by begin and not overlapping, in steps of about STEP bytes,
+    so that memory doesn't follow the length of a text."""
+    out = np.zeros(len(begin), np.uint64)
+    k = 0
+    while k < len(begin):
+        to = max(k + 1, int(np.searchsorted(end, begin[k] + STEP, "right")))
+        a, b = int(begin[k]), int(end[to - 1])
+        if b - a <= 2 * STEP:
+            out[k:to] = range_hash(prefix_hash(blob[a:b]), begin[k:to] - a, end[k:to] - a)
+        else:
+            total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            for x in range(a, b, STEP):
+                part = prefix_hash(blob[x : min(x + STEP, b)])
+                total += part[-1:] * scale
+                scale = scale * powers(_BASE, STEP)[-1:] * _BASE
+            out[k] = _finished(total, np.array([b - a]))[0]
+        k = to
+    return out
+
+
 def word_hashes(blob: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and for each text the index of its first word (one more at the end)."""
     begin, end, first = words(blob, off)
-    return range_hash(prefix_hash(blob), begin, end), first
+    return run_hashes(blob, begin, end), first
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
