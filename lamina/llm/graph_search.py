@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product on robust-pruned directed graphs.
 
-Vectors are dealt to shards by a hash; each shard is one graph, built by one task and stored as one row. Points enter
-the graph in growing batches: a greedy beam search from a fixed start proposes neighbours of each new point, and
+Vectors are dealt to shards by their length, so that no shard holds vectors more than twice as long as others, and then
+by a hash; each shard is one graph, built by one task and stored as one row. Shards grow with the table, so that the
+beams, not the number of shards, carry most of its growth. A graph is built over directions, the vectors at length one:
+points enter in growing batches; a greedy beam search from a fixed start proposes neighbours of each new point, and
 relaxed distance pruning keeps those that no kept neighbour is closer to by the factor ALPHA, so that edges stay short
-and diverse; the reversed edges are added and pruned alike. A query runs a beam search in every shard; the best of all
-shards are ranked by their exact inner products. Inner products become distances by one more coordinate, which gives
-all points of a shard the same length.
+and diverse; the reversed edges are added and pruned alike. A query runs a beam search in every shard, in the order of
+inner products; the best of all shards are ranked by their exact inner products.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 
 from lamina.llm.util import table, written
 
-#: Most distinct vectors of a shard, about; neighbours of a point; beam widths while building and searching; the factor of pruning.
-SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 8192, 40, 64, 160, 1.15
-#: Results of a query; queries of a block and blocks that meet a shard in one task.
-TOP, BLOCK, BLOCKS = 20, 512, 16
+#: Distinct vectors of a shard, about: the least, the most, and the number of shards of one length beyond which they grow
+#: from the least to the most. Degree; beam widths while building and searching; the factor of pruning.
+SHARD, LARGEST, SHARDS = 8192, 65536, 64
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 40, 64, 160, 1.15
+#: Results of a query; queries that meet a shard in one task.
+TOP, GROUP = 20, 32768
 #: Queries whose beams run side by side, nodes expanded at once, and the largest batch of new points.
 ABREAST, EXPAND, BATCH = 256, 4, 512
 
@@ -32,6 +35,13 @@ class Graph:
         self.points, self.edges, self.start = points, edges, start
         self.norms = np.einsum("nd,nd->n", points, points)
 
+    def by_product(self, points: np.ndarray) -> Graph:
+        """The same graph over other points, searched for the largest inner products: its distances are -2 times these,
+        but for a number that only depends on the query."""
+        other = Graph(points, self.edges, self.start)
+        other.norms = np.zeros(len(points), points.dtype)
+        return other
+
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances), each (queries, beam), nearest first; -1 and infinity where fewer were reached."""
         n, q = len(self.points), len(queries)
@@ -149,18 +159,23 @@ def build(points: np.ndarray, alpha: float = ALPHA) -> Graph:
     return graph
 
 
-def level(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with one more coordinate that makes them equally long, so the nearest has the largest inner product."""
-    norms = np.einsum("nd,nd->n", vectors, vectors)
-    return np.concatenate([vectors, np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))[:, None]], axis=1).astype(np.float32)
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Vectors at length one; scaled first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
+
+
+def reduced(vectors: np.ndarray) -> np.ndarray:
+    """Vectors over their largest component, in single precision, for beams."""
+    return (vectors / np.abs(vectors).max(initial=1e-300)).astype(np.float32)
 
 
-INDEX = "dim int, shard long, vectors binary, edges binary, start long, ids binary, first binary"
+INDEX = "dim int, band int, shard long, vectors binary, edges binary, start long, ids binary, first binary"
 
 
 def _index(key, rows):
-    """One row for a shard, from rows (dim, shard, vec_id, embedding): equal vectors are one point with several ids."""
-    dim, shard = key[0].as_py(), key[1].as_py()
+    """One row for a shard, from rows (dim, band, shard, vec_id, embedding): equal vectors are one point with several ids."""
+    dim, band, shard = (k.as_py() for k in key)
     ids = rows["vec_id"].to_numpy()
     vectors = np.asarray(rows["embedding"].combine_chunks().flatten(), np.float64).reshape(-1, dim)
     order = np.argsort(ids, kind="stable")
@@ -170,12 +185,11 @@ def _index(key, rows):
     ids, first = ids[by], np.searchsorted(at[by], np.arange(len(points) + 1))
     # A fixed shuffle: points must not enter in sorted order.
     mix = np.random.default_rng(5).permutation(len(points))
-    scale = np.abs(points).max()
-    graph = build(level(points[mix] / scale))
+    graph = build(directions(points[mix]))
     edges = np.full((len(points), DEGREE), -1, np.int32)
     edges[mix] = np.where(graph.edges >= 0, mix[np.maximum(graph.edges, 0)], -1)
-    row = {"dim": dim, "shard": shard, "vectors": points.tobytes(), "edges": edges.tobytes(), "start": int(mix[graph.start]), "ids": ids.tobytes(), "first": first.astype(np.int64).tobytes()}
-    return pa.table({k: pa.array([v], {"dim": pa.int32(), "shard": pa.int64(), "start": pa.int64()}.get(k, pa.binary())) for k, v in row.items()})
+    row = {"dim": dim, "band": band, "shard": shard, "vectors": points.tobytes(), "edges": edges.tobytes(), "start": int(mix[graph.start]), "ids": ids.tobytes(), "first": first.astype(np.int64).tobytes()}
+    return pa.table({k: pa.array([v], {"dim": pa.int32(), "band": pa.int32(), "shard": pa.int64(), "start": pa.int64()}.get(k, pa.binary())) for k, v in row.items()})
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -184,16 +198,26 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def build_index(rows: DataFrame, shard: int = SHARD, keep: int = TOP + 1) -> DataFrame:
-    """One row for every shard, all rows of rows(vec_id, embedding) that take part indexed. Of equal vectors the
-    keep smallest ids are stored: no larger one can be among the first keep - 1 results that are not the query itself.
-    That choice is made before rows are dealt to shards, so a vector that many rows share doesn't crowd its shard."""
-    ready = usable(rows)
-    shards = max(1, -(-ready.count() // shard))
+def _band(embedding: str) -> str:
+    """SQL for the power of two below the length of a vector, scaled first so that no square overflows or vanishes."""
+    most = f"array_max(transform({embedding}, x -> abs(x)))"
+    return f"CAST(floor(log2({most}) + log2(aggregate(transform({embedding}, x -> x / {most}), CAST(0 AS DOUBLE), (a, x) -> a + x * x)) / 2) AS INT)"
+
+
+def build_index(rows: DataFrame, shard: int = SHARD, keep: int = TOP + 1, largest: int = LARGEST) -> DataFrame:
+    """One row for every shard, all rows of rows(vec_id, embedding) that take part indexed: those whose id isn't null and
+    whose vector is neither null, empty nor zero and has only finite components. Of equal vectors the keep smallest ids
+    are stored: no larger one can be among the first keep - 1 results that are not the query itself. That choice is made
+    before rows are dealt to shards, so a vector that many rows share doesn't crowd its shard. Vectors of different sizes
+    are indexed apart. Repeated rows count once; an empty table gives an empty index."""
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    few = ready.distinct().withColumn("turn", F.row_number().over(same)).where(F.col("turn") <= keep).drop("turn")
-    dealt = few.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).alias("shard"), "vec_id", "embedding")
-    return written(dealt.groupBy("dim", "shard").applyInArrow(_index, INDEX), "index")
+    few = usable(rows).distinct().withColumn("turn", F.row_number().over(same)).where(F.col("turn") <= keep).drop("turn")
+    banded = written(few.select(F.size("embedding").alias("dim"), F.expr(_band("embedding")).alias("band"), "vec_id", "embedding"), "vectors")
+    size = F.greatest(F.lit(shard), F.least(F.lit(max(shard, largest)), F.ceil(F.col("n") / SHARDS)))
+    shards = banded.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n")).select(F.col("dim").alias("s_dim"), F.col("band").alias("s_band"), F.ceil(F.col("n") / size).alias("shards"))
+    met = banded.join(shards, (F.col("dim") == F.col("s_dim")) & (F.col("band") == F.col("s_band")))
+    dealt = met.select("dim", "band", F.pmod(F.xxhash64("embedding"), F.col("shards")).alias("shard"), "vec_id", "embedding")
+    return written(dealt.groupBy("dim", "band", "shard").applyInArrow(_index, INDEX), "index")
 
 
 FOUND = "query_id long, query_hash long, vec_id long, score double"
@@ -206,10 +230,11 @@ def _search(top: int, beam: int):
             row = {k: v[0] for k, v in index.to_pydict().items()}
             vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
             ids, first = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64)
-            graph = Graph(level(vectors / np.abs(vectors).max()), np.frombuffer(row["edges"], np.int32).reshape(-1, DEGREE), row["start"])
+            graph = Graph(reduced(vectors), np.frombuffer(row["edges"], np.int32).reshape(-1, DEGREE), row["start"])
+            graph = graph.by_product(graph.points)
             asked, hashes = blocks["query_id"].to_numpy(), blocks["query_hash"].to_numpy()
             queries = np.asarray(blocks["query"].combine_chunks().flatten(), np.float64).reshape(-1, row["dim"])
-            scaled = np.concatenate([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+            scaled = directions(queries)
             for a in range(0, len(queries), ABREAST):
                 near, _ = graph.search(scaled[a : a + ABREAST], min(beam, max(2 * top + 2, len(vectors))))
                 for k, found in enumerate(near):
@@ -238,22 +263,24 @@ def search_index(index: DataFrame, queries: DataFrame, top: int = TOP, beam: int
     """(query_id, rank, vec_id, score): the top nearest found in index for each of queries(vec_id, embedding), ranked by
     exact inner product, ties by smaller vec_id; the query's own id is left out.
 
-    Queries are dealt to groups of at most about BLOCK * BLOCKS; each group meets each shard of its dimension in a task
-    of its own, which holds one shard and one group. Queries that repeat an id with another vector are ranked apart.
-    Without queries, or rows, the result is empty.
+    Queries take part like the rows of an index. They are dealt to groups of about GROUP; each group meets each shard of
+    its dimension in a task of its own, which holds one shard and one group. Queries that repeat an id with another
+    vector are ranked apart. Fewer candidates than top give fewer rows. Without queries, or rows, the result is empty.
     """
     asked = usable(queries).distinct().select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("query_hash"))
-    groups = max(1, -(-asked.count() // (BLOCK * BLOCKS)))
+    groups = max(1, -(-asked.count() // GROUP))
     parts = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    key = ["dim", "band", "shard"]
     left = index.withColumn("part", parts)
-    shards = index.select(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard")).withColumn("q_part", parts)
+    shards = index.select(*(F.col(c).alias(f"q_{c}") for c in key)).withColumn("q_part", parts)
     dealt = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    right = dealt.join(shards, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part"))).select("q_dim", "q_shard", "q_part", "query_id", "query_hash", "query")
-    met = left.groupBy("dim", "shard", "part").cogroup(right.groupBy("q_dim", "q_shard", "q_part")).applyInArrow(_search(top, beam), FOUND)
+    right = dealt.join(shards, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part"))).select("q_dim", "q_band", "q_shard", "q_part", "query_id", "query_hash", "query")
+    met = left.groupBy(*key, "part").cogroup(right.groupBy("q_dim", "q_band", "q_shard", "q_part")).applyInArrow(_search(top, beam), FOUND)
     best = Window.partitionBy("query_id", "query_hash").orderBy(F.col("score").desc(), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_graph_search(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every query (vec_id divisible by 20) among all rows of embeddings, in the cases of search_index."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search_index(build_index(rows), rows.where("vec_id % 20 = 0"))

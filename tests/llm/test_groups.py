@@ -159,7 +159,7 @@ def vectors(spark):
 
 def test_graph_search(vectors):
     index = graph_search.build_index(vectors, shard=500)
-    assert index.count() > 2
+    assert index.count() > 2 and index.select("band").distinct().count() > 1
     got = defaultdict(list)
     for r in graph_search.search_index(index, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r)
@@ -180,6 +180,31 @@ def test_graph_search(vectors):
     assert graph_search.search_index(graph_search.build_index(vectors.where("false")), vectors.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["one", "gauss", "uniform", "lognormal", "junk"])
+def test_recall_on_whole_shards(lengths):
+    """Recall on graphs of full size, whatever the lengths of vectors: random directions have no clusters to help."""
+    r = np.random.default_rng(1)
+    n, d = 9000, 64
+    x = r.standard_normal((n, d))
+    size = {"one": np.ones(n), "gauss": np.linalg.norm(x, axis=1), "uniform": r.uniform(0.1, 2, n), "lognormal": r.lognormal(0, 1, n), "junk": np.exp(r.uniform(-300, 300, n))}[lengths]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * size[:, None]
+    queries = np.concatenate([x[:60], r.standard_normal((60, d))])
+    unit = graph_search.directions(queries)
+    found, scores = [], []
+    for band in np.unique(np.floor(np.log2(size))):
+        at = np.flatnonzero(np.floor(np.log2(size)) == band)
+        graph_ = graph_search.build(graph_search.directions(x[at]))
+        ids, _ = graph_.by_product(graph_search.reduced(x[at])).search(unit, min(graph_search.SEARCH_BEAM, max(42, len(at))))
+        ids = np.where(ids >= 0, at[np.maximum(ids, 0)], -1)
+        found.append(ids)
+        scores.append(np.where(ids >= 0, np.einsum("qkd,qd->qk", x[ids], unit.astype(float)), -np.inf))
+    found, scores = np.concatenate(found, axis=1), np.concatenate(scores, axis=1)
+    got = np.take_along_axis(found, np.argsort(-scores, axis=1)[:, :20], axis=1)
+    best = np.argsort(-(unit.astype(float) @ x.T), axis=1)[:, :20]
+    hits = [len({*a} & {*b}) / 20 for a, b in zip(got, best)]
+    assert np.mean(hits) > 0.97 and min(hits) >= 0.7
+
+
 def brute_repeats(rows, length):
     seen, out = {}, []
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, suffix_dedup.tag(r[1]))):
