@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 from lamina.llm.util import table
 
 #: Distinct words whose ids a worker remembers, in two generations of half as many, and the longest such word.
-MEMORY, LONGEST_KEPT = 250_000, 64
+MEMORY, LONGEST_KEPT = 200_000, 64
+#: Words of a text encoded at once, so that one text with many different words doesn't outgrow the memory.
+WORDS = 1 << 15
 #: Stands for the end-of-word mark inside the automaton; no byte maps to it.
 END = "\uffff"
 #: Ids are gathered from offset tables in runs of this many, so memory does not follow the text.
@@ -185,21 +187,23 @@ class Codec:
             if k % 2:
                 out.append(array(self.code, [self.special[part]]).tobytes())
                 continue
-            pieces = self.pieces_of(part)
-            new = set(pieces).difference(known)
-            if new:
-                if len(known) + len(new) > MEMORY // 2:
-                    # The words of late stay at hand: those met again move over, the others go at the next turn.
-                    self.older, self.known = known, {}
-                    known, new = self.known, set(pieces)
-                long = {}
-                for x in new:
-                    ids = self.older.get(x) or self._ids_of(x)
-                    (known if len(x) <= LONGEST_KEPT else long)[x] = ids
-                if long:
-                    out.extend(long[x] if x in long else known[x] for x in pieces)
-                    continue
-            out.extend(map(known.__getitem__, pieces))
+            every = self.pieces_of(part)
+            for begin in range(0, len(every), WORDS):
+                pieces = every[begin : begin + WORDS] if len(every) > WORDS else every
+                new = set(pieces).difference(known)
+                if new:
+                    if len(known) + len(new) > MEMORY // 2:
+                        # The words of late stay at hand: those met again move over, the others go at the next turn.
+                        self.older, self.known = known, {}
+                        known, new = self.known, set(pieces)
+                    long = {}
+                    for x in new:
+                        ids = self.older.get(x) or self._ids_of(x)
+                        (known if len(x) <= LONGEST_KEPT else long)[x] = ids
+                    if long:
+                        out.append(b"".join(long[x] if x in long else known[x] for x in pieces))
+                        continue
+                out.append(b"".join(map(known.__getitem__, pieces)))
         return np.frombuffer(b"".join(out), self.width)
 
     def pieces_of(self, part: str) -> list[str]:
@@ -254,20 +258,27 @@ def default_vocabulary() -> str:
 
 
 def encode_texts(docs: DataFrame, into: str = "ids", path: str | None = None) -> DataFrame:
-    """docs with an array of token ids (a column named like into is replaced). Null or empty text has no ids; special
-    tokens in a text keep their ids; other columns pass through. Nothing is shuffled."""
+    """docs with an array of token ids (a column named like into is replaced, all others pass through). Null or empty
+    text has no ids; special tokens in a text keep their ids; very long texts are encoded whole, one at a time. Repeated
+    rows get equal ids; an empty table gives an empty one. Nothing is shuffled."""
     path = path or default_vocabulary()
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        return pa.array([c.encode(t.as_py() or "").astype(np.int32) for t in texts], pa.list_(pa.int32()))
+        return _lists([c.encode(t.as_py() or "") for t in texts])
 
     return docs.withColumn(into, encode(F.col("text")))
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))
+
+
 def decode_ids(docs: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:
-    """docs with the decoded text of an array of token ids; null or no ids decode to an empty text."""
+    """docs with the decoded text of an array of token ids (a column named like into is replaced, all others pass
+    through); null or no ids decode to an empty text, long arrays in runs. Repeated rows get equal texts; an empty table
+    gives an empty one. Nothing is shuffled."""
     path = path or default_vocabulary()
 
     @F.arrow_udf(T.StringType())
@@ -278,12 +289,28 @@ def decode_ids(docs: DataFrame, ids: str = "ids", into: str = "decoded", path: s
     return docs.withColumn(into, decode(F.col(ids)))
 
 
+PAIR_TYPE = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+
+def with_round_trip(docs: DataFrame, into: str = "bpe", path: str | None = None) -> DataFrame:
+    """docs with a struct (ids, decoded), what encode_texts and decode_ids give in the same cases, made by one worker."""
+    path = path or default_vocabulary()
+
+    @F.arrow_udf(PAIR_TYPE)
+    def both(texts: pa.Array) -> pa.Array:
+        c = codec(path)
+        ids = [c.encode(t.as_py() or "") for t in texts]
+        return pa.StructArray.from_arrays([_lists(ids), pa.array([c.decode(x).decode() if len(x) else "" for x in ids], pa.string())], ["ids", "decoded"])
+
+    return docs.withColumn(into, both(F.col("text")))
+
+
 DIGEST_TYPE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
 def with_digests(docs: DataFrame, into: str = "bpe", path: str | None = None) -> DataFrame:
     """docs with a struct (n_tokens, ids_sha256, decoded_sha256): text encoded, ids decoded, both digested where they
-    are made, so neither leaves the worker. Null text counts as empty."""
+    are made, so neither leaves the worker. Null text counts as empty; see encode_texts for all other cases."""
     path = path or default_vocabulary()
 
     @F.arrow_udf(DIGEST_TYPE)
@@ -310,4 +337,5 @@ def _digest(runs) -> str:
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, in the cases of with_digests."""
     return with_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
