@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.shingles import prefix_hash, range_hash, words
+from lamina.llm.shingles import run_hashes, words
 from lamina.llm.util import fresh, portions, table, utf8
 
 #: Hashed terms: words, endings of words, shapes.
@@ -26,8 +26,10 @@ TERMS = WORDS + ENDINGS + SHAPES
 SAMPLE_EACH, LATENT = 2048, 48
 NEIGHBOURS, SHARPNESS = 24, 8
 THRESHOLD, FOLDS = 0.3, 5
-_PUNCTUATION = np.zeros(256, np.int64)
-_PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = 1
+#: Texts, and bytes of texts, whose counts a worker holds at once, about: a text has TERMS counts of four bytes.
+ROWS, BYTES = 512, 1 << 20
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
 def counts(texts: pa.Array) -> np.ndarray:
@@ -35,20 +37,19 @@ def counts(texts: pa.Array) -> np.ndarray:
     blob, off = utf8(texts)
     n = len(off) - 1
     begin, end, first = words(blob, off)
-    prefix = prefix_hash(blob)
     sizes = np.diff(first)
     text = np.repeat(np.arange(n), sizes)
     out = np.zeros((n, TERMS), np.float32)
     flat = out.reshape(-1)
-    word = (range_hash(prefix, begin, end) % np.uint64(WORDS)).astype(np.int64)
-    ending = WORDS + (range_hash(prefix, np.maximum(begin, end - 3), end) % np.uint64(ENDINGS)).astype(np.int64)
+    word = (run_hashes(blob, begin, end) % np.uint64(WORDS)).astype(np.int64)
+    ending = WORDS + (run_hashes(blob, np.maximum(begin, end - 3), end) % np.uint64(ENDINGS)).astype(np.int64)
     for term in (word, ending):
         flat += np.bincount(text * TERMS + term, minlength=n * TERMS).astype(np.float32)
     different = (out[:, :WORDS] > 0).sum(axis=1)
     length = np.minimum(np.log2(sizes + 1).astype(int), 15)
     variety = np.minimum(8 * different // np.maximum(np.minimum(sizes, WORDS), 1), 7)
-    marks = np.concatenate([[0], np.cumsum(_PUNCTUATION[blob])])
-    share = np.minimum(np.sqrt((marks[off[1:]] - marks[off[:-1]]) / np.maximum(off[1:] - off[:-1], 1)) * 32, 31).astype(int)
+    marks = np.diff(np.searchsorted(np.flatnonzero(_PUNCTUATION[blob]), off))
+    share = np.minimum(np.sqrt(marks / np.maximum(off[1:] - off[:-1], 1)) * 32, 31).astype(int)
     at = np.arange(n)
     out[at, WORDS + ENDINGS + length * 8 + variety] = 1
     out[at, WORDS + ENDINGS + 128 + share] = 1
@@ -71,13 +72,15 @@ class Model:
         return _unit(weighted(rows, self.weights) @ self.basis)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the most similar labelled texts, weighted by similarity."""
+        """Share of label 1 among the most similar labelled texts, weighted by similarity. Similarities count in steps of
+        1e-9, and of equal ones the first in the model, so that a score doesn't depend on the block of a text."""
         if not len(self.labels):
             return np.full(len(rows), 0.5)
-        near = self.latent(rows) @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6).astype(np.float64) ** SHARPNESS
+        steps = np.rint(self.latent(rows).astype(np.float64) @ self.vectors.T.astype(np.float64) * 1e9).astype(np.int64)
+        k, n = min(NEIGHBOURS, steps.shape[1]), steps.shape[1]
+        key = steps * n - np.arange(n)
+        top = np.sort(np.argpartition(-key, k - 1, axis=1)[:, :k], axis=1)
+        weight = np.maximum(np.take_along_axis(steps, top, axis=1) * 1e-9, 1e-6) ** SHARPNESS
         return np.clip((weight * self.labels[top]).sum(axis=1) / weight.sum(axis=1), 0, 1)
 
 
@@ -110,7 +113,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, latent: int = LATENT) -> Model:
 def packed_counts(texts: pa.Array) -> pa.Array:
     """Counts of each text as pairs of term and count."""
     out = []
-    for begin, end in portions(texts, 1 << 20):
+    for begin, end in portions(texts, BYTES, ROWS):
         for row in counts(texts.slice(begin, end - begin)):
             at = np.flatnonzero(row)
             out.append(np.stack([at.astype(np.float32), row[at]]).tobytes())
@@ -124,7 +127,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Model:
     """A model learned from labelled documents that are not held out: for each label the each documents of least hash
-    of the id. Only counts and labels of these reach the driver."""
+    of the id. Only counts and labels of these reach the driver. Rows without id, or of a label other than 0 and 1, are
+    left out; of rows that repeat an id the least label, and the least counts, stand for it."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~F.coalesce(held_out(), F.lit(True))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ranked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for q in (0, 1)]
     chosen = F.broadcast(ranked[0].unionByName(ranked[1]).withColumnRenamed("doc_id", "of"))
@@ -138,19 +142,22 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Model:
 
 
 def with_quality_score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1, higher where label 1 is likelier; a column named like into is replaced. Null and
-    empty texts are scored by their shape. With a model of no labels every score is 0.5. Nothing is shuffled."""
+    """docs with a score from 0 to 1, higher where label 1 is likelier; a column named like into is replaced, all others
+    pass through. Null and empty texts are scored by their shape; very long ones whole, one at a time. Repeated rows get
+    equal scores; of equally similar neighbours the first in the model count. With a model of no labels every score is
+    0.5; an empty table gives an empty one. Nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        own = [shared.value.score(counts(texts.slice(a, b - a))) for a, b in portions(texts, 1 << 20)]
+        own = [shared.value.score(counts(texts.slice(a, b - a))) for a, b in portions(texts, BYTES, ROWS)]
         return pa.array(np.concatenate([np.zeros(0), *own]), pa.float64())
 
     return docs.withColumn(into, score(F.col("text")))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, in the cases of with_quality_score. A row without id counts as held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     (score,) = fresh("score", taken=docs.columns)
     scored = with_quality_score(docs, train(docs, table(spark, sf_dir, "labels")), score)
