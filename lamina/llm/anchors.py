@@ -25,6 +25,16 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(run[: len(values) - width + 1], run[width - have : width - have + len(values) - width + 1])
 
 
+def text_anchors(blob: np.ndarray, length: int, step: int):
+    """What anchors() gives for one text, in parts: about step bytes at a time, with as many bytes around them as decide
+    which of their runs are anchors and what stands around these, so that memory doesn't follow the text."""
+    for core in range(0, len(blob), step):
+        a, b = max(0, core - length), min(len(blob), core + step + length)
+        text, at, gram, context, begin, end = anchors(blob[a:b], np.array([0, b - a]), length)
+        own = (at + a >= core) & (at + a < core + step)
+        yield text[own], at[own] + a, gram[own], context[own], begin[own] + a, end[own] + a
+
+
 def anchors(blob: np.ndarray, off: np.ndarray, length: int):
     """(text, position in the text, hash of the run, hash of the context, begin and end of the context in the text) of
     every anchor of texts that lie end to end."""

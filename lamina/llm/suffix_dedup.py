@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.anchors import GRAM, anchors
+from lamina.llm.anchors import GRAM, anchors, text_anchors
 from lamina.llm.repeats import maximal_groups
 from lamina.llm.shingles import prefix_hash, range_hash
-from lamina.llm.util import discard, portions, table, utf8, written
+from lamina.llm.util import discard, keyed_join, portions, salted_join, table, utf8, written
 
 LENGTH = 100
 #: Most classes of one hash that one task gathers (1.4 MB of contexts).
@@ -50,13 +50,14 @@ def _anchor_rows(batches, length: int, full: bool):
     for batch in batches:
         docs, texts, tags = batch.column(0), batch.column(1), batch.column(2)
         for begin, end in portions(texts, PORTION):
-            part = texts.slice(begin, end - begin)
-            text, at, gram, context, _, _ = anchors(*utf8(part), length)
-            columns = {"g": gram.view(np.int64)}
-            if full:
-                own = tags.to_numpy(zero_copy_only=False)[begin:end].astype(np.int64)
-                columns |= {"c": context.view(np.int64), "doc": docs.to_numpy(zero_copy_only=False)[begin:end][text].astype(np.int64), "at": (own[text] << 32) + at}
-            yield pa.RecordBatch.from_pydict(columns)
+            blob, off = utf8(texts.slice(begin, end - begin))
+            parts = text_anchors(blob, length, PORTION) if end - begin == 1 else [anchors(blob, off, length)]
+            own = tags.to_numpy(zero_copy_only=False)[begin:end].astype(np.int64) if full else None
+            for text, at, gram, context, _, _ in parts:
+                columns = {"g": gram.view(np.int64)}
+                if full:
+                    columns |= {"c": context.view(np.int64), "doc": docs.to_numpy(zero_copy_only=False)[begin:end][text].astype(np.int64), "at": (own[text] << 32) + at}
+                yield pa.RecordBatch.from_pydict(columns)
 
 
 def _anchor_table(docs: DataFrame, length: int, full: bool) -> DataFrame:
@@ -151,15 +152,16 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     anchors whose contexts repeat as a whole, and (position, hash, whether the hash is crowded) of those to compare with
     other contexts."""
     lean = docs.select("doc", "text", "tag")
-    often = written(_anchor_table(lean, length, False).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "often")
+    often = written(_anchor_table(lean, length, False).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     discard(docs)
-    rows = written(_anchor_table(lean, length, True).join(often, "g"), "anchors")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    rows = written(salted_join(_anchor_table(lean, length, True), often, ["g"], "n", total).select("g", "c", "doc", "at"), "anchors")
     discard(often)
     classes = written(rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("first")), "classes")
     discard(docs)
     sizes = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    later = rows.join(classes.where("n > 1").select("g", "c", "first"), ["g", "c"]).where("doc <> first.doc OR at <> first.at").select("doc", "at", F.lit(False).alias("asks"))
-    asks = classes.join(sizes, "g").select("first.doc", "first.at", F.lit(True).alias("asks"), "g", (F.col("classes") > CROWD).alias("crowd"))
+    later = keyed_join(rows, classes.where("n > 1").select("g", "c", "first", "n"), ["g", "c"], "n", total).where("doc <> first.doc OR at <> first.at").select("doc", "at", F.lit(False).alias("asks"))
+    asks = keyed_join(classes.select("g", "first"), sizes, ["g"], "classes", classes.count()).select("first.doc", "first.at", F.lit(True).alias("asks"), "g", (F.col("classes") > CROWD).alias("crowd"))
     marks = later.select("doc", "at", "asks", F.lit(None).cast("long").alias("g"), F.lit(False).alias("crowd")).unionByName(asks)
     info = marks.selectExpr("doc AS i_doc", "shiftright(at, 32) AS i_tag", "CAST(at & 4294967295 AS INT) AS p", "asks", "g", "crowd").groupBy("i_doc", "i_tag").agg(
         F.collect_list(F.when(~F.col("asks"), F.col("p"))).alias("whole"),
@@ -228,7 +230,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> Dat
     same document. Strings are judged on the input and never cross documents. Null text is empty. A null doc_id comes
     before all others. Rows that repeat a doc_id with another text come in the order of a hash of their texts; rows
     that repeat both are one document and lose the same bytes. Texts shorter than length lose nothing. An empty table
-    gives an empty result. Positions within a text are below 2**31.
+    gives an empty result. Very long texts are hashed in steps. Positions within a text are below 2**31.
     """
     ready = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text").withColumn("tag", F.expr("shiftright(crc32(CAST(coalesce(text, '') AS BINARY)), 1)"))
     info = marked(ready, length)
@@ -240,15 +242,15 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> Dat
     grouped = pieces.where("NOT crowd").select(*columns).repartition("g").sortWithinPartitions("g")
     found = grouped.mapInArrow(lambda batches: _by_group(batches, length), "doc long, tag long, begin long, end long")
     crowded = pieces.where("crowd").select(*columns).mapInArrow(lambda batches: _stretches(batches, length), "g long, h long, doc long, at long")
-    firsts = crowded.groupBy("g", "h").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "h", "first")
-    repeats = crowded.join(firsts, ["g", "h"]).where("doc <> first.doc OR at <> first.at")
+    firsts = written(crowded.groupBy("g", "h").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    repeats = salted_join(crowded, firsts, ["g", "h"], "n", firsts.agg(F.sum("n")).first()[0] or 0).where("doc <> first.doc OR at <> first.at")
     repeats = repeats.selectExpr("doc", "shiftright(at, 32) AS tag", "at & 4294967295 AS begin", f"(at & 4294967295) + {length} AS end")
     more = found.unionByName(repeats).groupBy(F.col("doc").alias("m_doc"), F.col("tag").alias("m_tag")).agg(
         F.collect_set(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"))).alias("more")
     )
     all_ = info.select("i_doc", "i_tag", "whole").join(more, (F.col("i_doc") == F.col("m_doc")) & (F.col("i_tag") == F.col("m_tag")), "left")
     spans = written(all_.select("i_doc", "i_tag", "whole", "more"), "spans")
-    discard(pieces, info)
+    discard(pieces, info, firsts)
     met = ready.join(spans, here, "left")
     return met.select("doc_id", _cutter(length, keep)("text", "whole", "more").alias("c")).select("doc_id", "c.*")
 
@@ -259,6 +261,7 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, in the cases of cut_repeats."""
     cut = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

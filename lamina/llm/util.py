@@ -79,6 +79,17 @@ def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: i
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col(n) <= much), on))
 
 
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int, salts: int = 64) -> DataFrame:
+    """What keyed_join gives, for rows that are dear to make: they are made once. Rows of hot keys are dealt to as many
+    tasks as there are salts, and the hot keys, fewer than HOT, to each of them."""
+    salt, hot = fresh("salt", "hot", taken=[*rows.columns, *keys.columns])
+    much = max(1, total // HOT)
+    few = F.broadcast(keys.where(F.col(n) > much).select(*on, F.lit(True).alias(hot)))
+    dealt = rows.join(few, on, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0)).drop(hot)
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col(n) > much, salts - 1).otherwise(0).cast("bigint")))
+    return dealt.join(keys.withColumn(salt, every), [*on, salt]).drop(salt)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
