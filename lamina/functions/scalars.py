@@ -18,24 +18,29 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-
-def human_bytes(count: str, decimal: bool = True) -> Column:
-    """'12.3 MB' (steps of 1000) or '11.7 MiB' (steps of 1024), up to PB, of a SQL expression for a count of bytes. The
-    unit is chosen before rounding; tenths are rounded half up in whole numbers."""
-    return F.expr(human_bytes_sql(count, decimal, "div"))
-
-
-def human_bytes_sql(n: str, decimal: bool = True, div: str = "//") -> str:
-    step = 1000 if decimal else 1024
-    units = ("B", "KB", "MB", "GB", "TB", "PB") if decimal else ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
-    cases = []
-    for k, unit in enumerate(units):
-        size = step**k
-        # Whole units, then tenths of the rest, so that nothing exceeds 64 bits.
-        tenths = f"(({n} {div} {size}) * 10 + (({n} % {size}) * 10 + {size // 2}) {div} {size})"
-        text = f"concat(CAST({tenths} {div} 10 AS STRING), '.', CAST({tenths} % 10 AS STRING), ' {unit}')"
-        cases.append(f"WHEN abs({n}) < {step ** (k + 1)} THEN {text}" if k < len(units) - 1 else f"ELSE {text}")
-    return f"CASE {' '.join(cases)} END"
+def human_bytes(count: Column | str, decimal: bool = True) -> Column:
+    """'12.3 MB' (steps of 1000) or '11.7 MiB' (steps of 1024), 'bytes' below the first step, up to PB. The unit is chosen
+    before rounding. Quotients are doubles, one division for each unit, and are rounded as these are, halves to even."""
+    step = 1000.0 if decimal else 1024.0
+    units = ("bytes", "KB", "MB", "GB", "TB", "PB") if decimal else ("bytes", "KiB", "MiB", "GiB", "TiB", "PiB")
+    values = [_col(count).cast("double")]
+    for _ in units[1:]:
+        values.append(values[-1] / step)
+    out = None
+    for value, unit in reversed(list(zip(values, units, strict=True))):
+        text = F.concat(_tenths(value), F.lit(f" {unit}"))
+        out = text if out is None else F.when(value < step, text).otherwise(out)
+    return out
+
+
+def _tenths(value: Column) -> Column:
+    """A double with one digit after the point: the number of halves of a tenth below its fraction, compared exactly, as
+    twenty times the fraction is sixteen times plus four times, and neither of these is rounded."""
+    whole = F.floor(value).cast("bigint")
+    rest = value - F.floor(value).cast("double")
+    above = lambda m: (rest * 16 - m > -rest * 4) | ((rest * 16 - m == -rest * 4) & (m.isin(3, 7, 11, 15, 19)))
+    tenths = F.size(F.filter(F.array(*(F.lit(float(m)) for m in range(1, 20, 2))), above))
+    return F.concat((whole + F.floor(tenths / 10)).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def element_count(shape: Column | str) -> Column:

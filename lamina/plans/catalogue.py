@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import scalars as fn
@@ -215,8 +215,18 @@ def payload_sha256(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", verify.sha256(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query("""WITH RECURSIVE bits AS (SELECT b, 0 AS k, b::BIGINT AS c FROM (SELECT unnest(range(256)) AS b)
+        UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+    lookup AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8)
+    SELECT c_custkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c_name) + 1), lambda i: ascii(c_name[i])::BIGINT)),
+        lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS digest FROM customer, lookup""")
 def payload_crc32(spark, sf_dir):
+    """CRC-32 of names, which are plain ASCII; the SQL runs its table of 256 remainders over their bytes."""
+    return table(spark, sf_dir, "customer").select("c_custkey", verify.crc32(F.col("c_name").cast("binary")).alias("digest"))
+
+
+@query()
+def payload_crc32_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", verify.crc32(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -356,12 +366,16 @@ def cast_dtype(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("float").cast("double").alias("price"), F.col("l_quantity").cast("int").alias("quantity"))
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, i - 1 AS flat_index, embedding[i]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+    e AS (SELECT *, CASE WHEN v = 0 THEN 0 WHEN abs(v) / 2.0 ** floor(log2(abs(v))) < 1 THEN floor(log2(abs(v))) - 1
+        WHEN abs(v) / 2.0 ** floor(log2(abs(v))) >= 2 THEN floor(log2(abs(v))) + 1 ELSE floor(log2(abs(v))) END AS k FROM x)
+    SELECT vec_id, flat_index, CASE WHEN v = 0 THEN v ELSE sign(v) * floor(abs(v) / 2.0 ** (greatest(k, -126) - 7)) * 2.0 ** (greatest(k, -126) - 7) END AS value FROM e""")
 def bf16_truncate(spark, sf_dir):
-    """Vectors cut to bfloat16 by their upper 16 bits."""
+    """Vectors cut to bfloat16 by their upper 16 bits: towards zero at the eighth binary digit, as the SQL reckons."""
     from lamina.operators.dtype import bfloat16_values
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.inline(F.arrays_zip(bfloat16_values("embedding").alias("value"))))
+    cut = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(bfloat16_values("embedding")).alias("flat_index", "value"))
+    return cut.select("vec_id", F.col("flat_index").cast("bigint").alias("flat_index"), F.col("value").cast("double").alias("value"))
 
 
 @query("""SELECT n_nationkey, coalesce(c.n, 0) AS elements, CASE WHEN c.n IS NULL THEN [0.0::DOUBLE, 0.0, 0.0, 0.0] ELSE c.v END AS value
@@ -389,9 +403,14 @@ def nonce_reuse(spark, sf_dir):
 # Scalars
 
 
-@query(f"SELECT doc_id, {fn.human_bytes_sql('(n_chars * n_chars)')} AS decimal_size, {fn.human_bytes_sql('(n_chars * n_chars)', False)} AS binary_size FROM documents")
+@query("""WITH n AS (SELECT doc_id, (n_chars * n_chars * 53)::DOUBLE AS n FROM documents)
+    SELECT doc_id, CASE WHEN n < 1000 THEN printf('%3.1f bytes', n) WHEN n / 1000 < 1000 THEN printf('%3.1f KB', n / 1000) WHEN n / 1000 / 1000 < 1000 THEN printf('%3.1f MB', n / 1000 / 1000)
+        WHEN n / 1000 / 1000 / 1000 < 1000 THEN printf('%3.1f GB', n / 1000 / 1000 / 1000) ELSE printf('%3.1f TB', n / 1000 / 1000 / 1000 / 1000) END AS decimal_size,
+    CASE WHEN n < 1024 THEN printf('%3.1f bytes', n) WHEN n / 1024 < 1024 THEN printf('%3.1f KiB', n / 1024) WHEN n / 1024 / 1024 < 1024 THEN printf('%3.1f MiB', n / 1024 / 1024)
+        WHEN n / 1024 / 1024 / 1024 < 1024 THEN printf('%3.1f GiB', n / 1024 / 1024 / 1024) ELSE printf('%3.1f TiB', n / 1024 / 1024 / 1024 / 1024) END AS binary_size FROM n""")
 def human_bytes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", fn.human_bytes("(n_chars * n_chars)").alias("decimal_size"), fn.human_bytes("(n_chars * n_chars)", False).alias("binary_size"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * F.col("n_chars") * 53).alias("n"))
+    return sized.select("doc_id", fn.human_bytes("n").alias("decimal_size"), fn.human_bytes("n", False).alias("binary_size"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, 6379 AS port, regexp_extract(url, '^[a-z]+://[^/?#]*/*([^?#]*)', 1) AS prefix FROM pages""")
@@ -509,37 +528,101 @@ def scheme_and_peer(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share; a temporary one where the session names none."""
-    named = (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).removeprefix("file:")
-    out = f"{named if not named.startswith('//') else named[2:]}/{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share. Archives are files that tasks and driver open by name,
+    so it must be on a file system that all nodes mount; a temporary one serves only where the session names none and all
+    runs in one process."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp()
+    out = f"{archive.local_path(named)}/{uuid.uuid4().hex}"
     os.makedirs(out)
     return out
 
 
-@query("SELECT 'vec.' || vec_id AS name, i - 1 AS flat_index, embedding[i]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+_ELEMENTS = "SELECT 'vec.' || vec_id AS name, i - 1 AS flat_index, embedding[i]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"
+
+
+@query(_ELEMENTS)
 def archive_roundtrip(spark, sf_dir):
     """Vectors written as one archive, read again as elements, digests checked on the way."""
     path = f"{scratch(spark)}/vectors.arr"
-    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), path, indexBytes=1 << 24)
+    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), path)
     return archive.read(spark, path, "elements", verify="true").select("name", "flat_index", "value")
 
 
+@query(_ELEMENTS)
+def archive_parts(spark, sf_dir):
+    """Vectors written as a folder of archives, one from each task, and read as elements of them all."""
+    path = f"{scratch(spark)}/vectors"
+    archive.write(pack.vectors(table(spark, sf_dir, "embeddings").repartition(4, "vec_id"), "vec_id", "embedding"), path, parts="true")
+    return archive.read(spark, path, "elements", verify="true").select("name", "flat_index", "value")
+
+
+@query("SELECT 1 AS version, false AS encrypted, sum(4 * len(embedding))::BIGINT AS tensor_bytes, count(*) AS tensor_count FROM embeddings")
+def archive_info(spark, sf_dir):
+    """The file header of an archive of vectors."""
+    path = f"{scratch(spark)}/vectors.arr"
+    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), path)
+    return archive.read(spark, path, "archive_info").select("version", "encrypted", "tensor_bytes", "tensor_count")
+
+
+@query("""SELECT (row_number() OVER (ORDER BY doc_id) - 1)::INTEGER AS ordinal, 'text.' || doc_id AS name, '["text.' || doc_id || '"]' AS path_json, '|u1' AS numpy_dtype,
+    strlen(text) AS numel, 1 AS itemsize, strlen(text) AS data_length, strlen(text) AS deserialized_length,
+    (coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS bytes_before FROM documents""")
+def archive_catalog(spark, sf_dir):
+    """The index of an archive of texts: payloads lie in the order of ids, each after all before it and their headers."""
+    path = f"{scratch(spark)}/texts.arr"
+    archive.write(pack.texts(table(spark, sf_dir, "documents"), "doc_id", "text"), path)
+    head = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = archive.read(spark, path, "catalog")
+    start = F.min("header_offset").over(Window.partitionBy("archive"))
+    before = F.col("data_offset") - start - F.sum(F.col("data_offset") - F.col("header_offset")).over(head)
+    return rows.select("ordinal", "name", "path_json", "numpy_dtype", "numel", "itemsize", "data_length", "deserialized_length", before.cast("bigint").alias("bytes_before"))
+
+
+@query("SELECT 'vec.' || vec_id AS name, 4 * len(embedding)::BIGINT AS data_length FROM embeddings WHERE 'vec.' || vec_id IN ('vec.3', 'vec.44') OR starts_with('vec.' || vec_id, 'vec.1')")
+def archive_filters(spark, sf_dir):
+    """Names chosen by value, by set and by prefix, before any payload is read where the session pushes predicates."""
+    path = f"{scratch(spark)}/vectors.arr"
+    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), path)
+    rows = archive.read(spark, path, "catalog").select("name", "data_length")
+    return rows.where(F.col("name").isin("vec.3", "vec.44")).unionByName(select.name_prefix(rows, "name", "vec.1")).distinct()
+
+
 @query("SELECT 'text.' || doc_id AS name, strlen(text) AS data_length, true AS intact FROM documents")
 def headers_verify(spark, sf_dir):
     """Texts written as one archive; the stored digests against those that expressions compute from header and payload."""
     path = f"{scratch(spark)}/texts.arr"
-    archive.write(pack.texts(table(spark, sf_dir, "documents"), "doc_id", "text"), path, indexBytes=1 << 24)
+    archive.write(pack.texts(table(spark, sf_dir, "documents"), "doc_id", "text"), path)
     chunks = archive.read(spark, path, "chunks", chunkBytes=1 << 30).select("name", "data")
     both = archive.read(spark, path, "headers").join(chunks, "name", "left").withColumn("data", F.coalesce("data", F.lit(b"")))
     whole = (F.col("header_zeroed"), F.col("data"))
     return both.select("name", "data_length", ((verify.sha256(*whole) == F.col("sha256")) & (verify.crc32(*whole) == F.col("crc32"))).alias("intact"))
 
 
-@query()
-def encrypt_roundtrip(spark, sf_dir):
-    """Vectors written as an encrypted archive and read with the key, which a file holds."""
+def _keyed(spark) -> tuple[str, str]:
+    """A new folder and a file in it that holds a random key."""
     folder = scratch(spark)
     with open(f"{folder}/key", "wb") as file:
         file.write(crypto.random_key())
-    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), f"{folder}/vectors.arr", encrypt="true", keyFile=f"{folder}/key", indexBytes=1 << 24)
-    return archive.read(spark, f"{folder}/vectors.arr", "chunks", keyFile=f"{folder}/key", verify="true").select("name", F.sha2("data", 256).alias("digest"))
+    return folder, f"{folder}/key"
+
+
+@query(_ELEMENTS)
+def encrypt_roundtrip(spark, sf_dir):
+    """Vectors written as an encrypted archive and read with the key, which a file holds."""
+    folder, key = _keyed(spark)
+    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), f"{folder}/vectors.arr", encrypt="true", keyFile=key)
+    return archive.read(spark, f"{folder}/vectors.arr", "elements", keyFile=key, verify="true").select("name", "flat_index", "value")
+
+
+@query(_ELEMENTS)
+def encrypt_copy(spark, sf_dir):
+    """A plain archive of vectors copied to an encrypted one, that to a plain one, and this read."""
+    folder, key = _keyed(spark)
+    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), f"{folder}/plain.arr")
+    archive.copy(spark, f"{folder}/plain.arr", f"{folder}/sealed.arr", new_key_file=key)
+    archive.copy(spark, f"{folder}/sealed.arr", f"{folder}/again.arr", key_file=key)
+    return archive.read(spark, f"{folder}/again.arr", "elements", verify="true").select("name", "flat_index", "value")

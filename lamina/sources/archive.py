@@ -1,12 +1,17 @@
 """A Spark data source of archives: ``spark.read.format("array_archive").option("relation", ...).load(path)``.
 
 Relations: archive_info and catalog read headers and indexes only; headers reads record headers; chunks reads payloads
-in pieces; elements decodes them. Predicates on names reach the index before any payload is read. Payload relations
-are cut into byte-balanced contiguous ranges, one to a task.
+in pieces; elements decodes them, in Arrow batches. Predicates on names reach the index before any payload is read where
+the session pushes them to Python sources, and are applied by Spark where it doesn't. Payload relations are cut into
+byte-balanced contiguous ranges, one to a task.
 
 Options: path (several divided by commas, local globs allowed), nameRegex, readers (ranges to an archive, by default one
 for each 64 MiB), chunkBytes, verify (check digests while reading payloads), keyFile (a file with the raw key or, with
-keyKind=passphrase, the passphrase of encrypted archives), indexBytes, encrypt (writing, with keyFile).
+keyKind=passphrase, the passphrase of encrypted archives), pushdown (whether the session pushes predicates; read() sets
+it). Writing: encrypt (with keyFile), indexBytes (by default as many as the index needs), parts (a folder with one
+archive from each task instead of one archive, whose payloads the commit would copy).
+
+Paths are of file systems that all nodes mount, or HTTP addresses; archives in object stores are read by decode_files().
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import glob
 import io
 import itertools
+import json
 import os
 import re
 import shutil
@@ -25,7 +31,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from lamina import schema as schemas
 from lamina.operators import crypto, dtype
@@ -35,6 +44,8 @@ from lamina.sources.streams import open_stream
 
 FORMAT = "array_archive"
 CHUNK, RANGE = 2 << 20, 64 << 20
+#: Rows of a batch of elements, and of metadata.
+BATCH = 1 << 16
 
 
 def name_of(path: tuple) -> str:
@@ -46,8 +57,6 @@ def path_row(path: tuple) -> list[tuple]:
 
 
 def path_json(path: tuple) -> str:
-    import json
-
     return json.dumps(list(path), separators=(",", ":"), ensure_ascii=False)
 
 
@@ -101,7 +110,7 @@ def payload(file, header: codec.FileHeader, entry: codec.Entry, secret=None, ver
 
 
 def rows_of(relation: str, archive: str, file, header: codec.FileHeader, chosen: list[tuple[int, codec.Entry]], secret=None, verify=False, chunk: int = CHUNK) -> Iterator[tuple]:
-    """Rows of a relation for chosen (ordinal, entry) pairs."""
+    """Rows of a relation other than elements for chosen (ordinal, entry) pairs."""
     if relation == "archive_info":
         yield archive, header.version, header.encrypted, header.tensor_bytes, header.tensor_count
         return
@@ -113,14 +122,55 @@ def rows_of(relation: str, archive: str, file, header: codec.FileHeader, chosen:
             yield header_row(archive, ordinal, e, codec.read_record(file, header.has_crypt, e))
         else:
             _, body = payload(file, header, e, secret, verify)
-            if relation == "chunks":
-                for k in range(0, len(body), chunk):
-                    yield archive, ordinal, name_of(e.path), k // chunk, k, body[k : k + chunk]
-            else:
-                values = dtype.as_doubles(dtype.decode(body, *codec.split_dtype(e.dtype)))
-                strides = np.cumprod([1, *e.shape[:0:-1]], dtype=np.int64)[::-1]
-                for k, v in enumerate(values.tolist()):
-                    yield archive, ordinal, name_of(e.path), k, [int(k // s % d) for s, d in zip(strides, e.shape, strict=True)] if e.shape else [], v
+            for k in range(0, len(body), chunk):
+                yield archive, ordinal, name_of(e.path), k // chunk, k, body[k : k + chunk]
+
+
+def element_batches(archive: str, ordinal: int, e: codec.Entry, body: bytes, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The elements of one array with their coordinates, BATCH at a time."""
+    values = dtype.as_doubles(dtype.decode(body, *codec.split_dtype(e.dtype)))
+    dims = np.array(e.shape, np.int64)
+    strides = np.cumprod([1, *e.shape[:0:-1]], dtype=np.int64)[::-1][: len(dims)]
+    for begin in range(0, len(values), BATCH):
+        part = values[begin : begin + BATCH]
+        at = np.arange(begin, begin + len(part), dtype=np.int64)
+        coord = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(dims)), pa.array((at[:, None] // strides % dims).ravel() if len(dims) else np.zeros(0, np.int64)))
+        same = lambda x, kind: pa.array([x], kind).take(pa.array(np.zeros(len(part), np.int8)))  # noqa: E731, B023
+        columns = [same(archive, pa.string()), same(ordinal, pa.int32()), same(name_of(e.path), pa.string()), pa.array(at), coord, pa.array(part)]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def batches_of(
+    schema: pa.Schema, relation: str, archive: str, file, header: codec.FileHeader, chosen: list[tuple[int, codec.Entry]], secret=None, verify=False, chunk: int = CHUNK
+) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of a relation for chosen (ordinal, entry) pairs; a batch holds at most about one payload range."""
+    if relation == "elements":
+        for ordinal, e in chosen:
+            yield from element_batches(archive, ordinal, e, payload(file, header, e, secret, verify)[1], schema)
+        return
+    rows, size = [], 0
+    for row in rows_of(relation, archive, file, header, chosen, secret, verify, chunk):
+        rows.append(row)
+        size += len(row[-1]) if relation == "chunks" else 0
+        if len(rows) >= BATCH or size >= RANGE // 4:
+            yield _row_batch(rows, schema)
+            rows, size = [], 0
+    if rows:
+        yield _row_batch(rows, schema)
+
+
+def _row_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([_named(v, f.type) for v in c], f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _named(value, kind: pa.DataType):
+    """A value with its tuples that stand for structs as dicts."""
+    if pa.types.is_struct(kind) and value is not None:
+        values = value if isinstance(value, tuple | list) else [getattr(value, f.name) for f in kind]
+        return {f.name: _named(v, f.type) for f, v in zip(kind, values, strict=True)}
+    if pa.types.is_list(kind) and value is not None:
+        return [_named(v, kind.value_type) for v in value]
+    return value
 
 
 @dataclass
@@ -130,21 +180,14 @@ class Slice(InputPartition):
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, relation: str, options: dict):
-        self.relation, self.options, self.wanted = relation, options, []
+    def __init__(self, relation: str, options: dict, schema: pa.Schema):
+        self.relation, self.options, self.schema, self.wanted = relation, options, schema, []
         self.files = [f for part in options["path"].split(",") for f in (sorted(glob.glob(part)) if any(c in part for c in "*?[") else self._inside(part))]
 
     @staticmethod
     def _inside(path: str) -> list[str]:
         return sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith((".", "_"))) if os.path.isdir(path) else [path]
 
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            if self.relation != "archive_info" and isinstance(f, EqualTo | In | StringStartsWith) and f.attribute == ("name",):
-                self.wanted.append(f)
-            else:
-                yield f
-
     def _keeps(self, name: str) -> bool:
         pattern = self.options.get("nameregex")
         if pattern and not re.match(pattern, name):
@@ -190,7 +233,18 @@ class ArchiveReader(DataSourceReader):
             begin, end = partition.ordinals
             chosen = [(k, e) for k, e in enumerate(entries[begin:end], begin) if self._keeps(name_of(e.path))]
             verify = self.options.get("verify", "false").lower() == "true"
-            yield from rows_of(self.relation, partition.archive, file, header, chosen, self._secret(), verify, int(self.options.get("chunkbytes", CHUNK)))
+            yield from batches_of(self.schema, self.relation, partition.archive, file, header, chosen, self._secret(), verify, int(self.options.get("chunkbytes", CHUNK)))
+
+
+class PushingReader(ArchiveReader):
+    """The reader for sessions that push predicates to Python sources; in others Spark refuses one that takes them."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            if self.relation != "archive_info" and isinstance(f, EqualTo | In | StringStartsWith) and f.attribute == ("name",):
+                self.wanted.append(f)
+            else:
+                yield f
 
 
 @dataclass
@@ -200,13 +254,14 @@ class Part(WriterCommitMessage):
     records: list
 
 
-class ArchiveWriter(DataSourceWriter):
+class ArchiveWriter(DataSourceArrowWriter):
     """Tasks encode records, digests and all, into part files; the commit sums their lengths in the order of ordinal
-    into offsets, and writes header, index and records under a temporary name that becomes the archive at the end."""
+    into offsets, and writes header, index and records under a temporary name that becomes the archive at the end. With
+    the option parts each task's records become an archive of their own, and the commit only renames the folder."""
 
-    def __init__(self, options: dict, fields: list[str], overwrite: bool):
-        self.options, self.fields, self.overwrite = options, fields, overwrite
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool):
+        self.options, self.overwrite = options, overwrite
+        self.path = local_path(options["path"])
         self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
 
     def write(self, iterator):
@@ -220,54 +275,76 @@ class ArchiveWriter(DataSourceWriter):
         os.makedirs(self.parts, exist_ok=True)
         path, records, at = f"{self.parts}/{uuid.uuid4().hex}", [], 0
         with open(path, "wb") as out:
-            for row in iterator:
-                r = row.asDict() if hasattr(row, "asDict") else dict(zip(self.fields, row, strict=True))
-                import json
-
+            for r in (r for batch in iterator for r in batch.to_pylist()):
                 steps = tuple(json.loads(r["path_json"])) if r.get("path_json") else (r["name"],)
                 kind = r["numpy_dtype"] + (f"\0{r['torch_dtype']}" if r.get("torch_dtype") else "")
-                shape, data = tuple(r["shape"] or ()), r["data"]
-                plain = bytes(data) if data is not None else b""
+                shape, plain = tuple(r["shape"] or ()), r["data"] or b""
                 size = codec.itemsize(r["numpy_dtype"])
                 for d in shape:
                     size *= d
-                if data is not None and len(plain) != size:
+                if r["data"] is not None and len(plain) != size:
                     raise codec.FormatError(f"{steps}: {len(plain)} bytes don't fill {shape} of {kind!r}")
                 body, crypt = (seal(plain) if plain else (b"", codec.Crypt())) if seal else (plain, None)
                 header, head = codec.pack_record(steps, r["tensor_type"] or 0, r.get("module_idx") or 0, kind, shape, body, crypt, plain)
                 out.write(header)
                 out.write(body)
                 nonces = (crypt.nonce, len(crypt.macs)) if crypt and crypt.scheme else None
-                records.append((r["ordinal"], steps, r["tensor_type"] or 0, kind, shape, at, head, len(body), data is None and size > 0, nonces))
+                records.append((r["ordinal"], steps, r["tensor_type"] or 0, kind, shape, at, head, len(body), r["data"] is None and size > 0, nonces))
                 at += head + len(body)
-        return Part(path, records)
+        if not self._in_parts():
+            return Part(path, records)
+        if records:
+            self._assemble([(path, *r) for r in records], f"{path}.arr")
+        os.remove(path)
+        return Part("", [(0, ("nonces",), 0, "", (), 0, 0, 0, False, r[9]) for r in records if r[9]])
+
+    def _in_parts(self) -> bool:
+        return self.options.get("parts", "false").lower() == "true"
 
     def commit(self, messages) -> None:
-        parts = [m for m in messages if m is not None]
-        rows = sorted(((m.path, *r) for m in parts for r in m.records), key=lambda r: r[1])
-        if len({r[1] for r in rows}) != len(rows):
-            raise codec.FormatError("ordinals repeat")
+        found = [m for m in messages if m is not None]
+        rows = [(m.path, *r) for m in found for r in m.records]
         spans = sorted((int.from_bytes(r[10][0], "little"), r[10][1]) for r in rows if r[10])
         if any(a + n > b for (a, n), (b, _) in itertools.pairwise(spans)):
             raise crypto.CryptographyError("a nonce would be used twice")
-        space = int(self.options.get("indexbytes", codec.INDEX_SPACE))
+        os.makedirs(self.parts, exist_ok=True)
+        if self._in_parts():
+            if os.path.isdir(self.path):
+                shutil.rmtree(self.path)
+            os.replace(self.parts, self.path)
+            return
+        made = f"{self.parts}/archive"
+        self._assemble(rows, made)
+        os.replace(made, self.path)
+        shutil.rmtree(self.parts)
+
+    def _assemble(self, rows: list[tuple], made: str) -> None:
+        """An archive of the records (part file, *record), at the path made."""
+        rows = sorted(rows, key=lambda r: r[1])
+        if len({r[1] for r in rows}) != len(rows):
+            raise codec.FormatError("ordinals repeat")
         encrypted = self.options.get("encrypt", "false").lower() == "true"
-        at, entries = len(codec.MAGIC) + 60 + 8 + space, []
-        for _, _, steps, kind, dt, shape, _, head, length, _, _ in rows:
-            entries.append(codec.Entry(steps, kind, dt, shape, at, at + head, length))
-            at += head + length
+
+        def entries(begin: int) -> list[codec.Entry]:
+            out = []
+            for _, _, steps, kind, dt, shape, _, head, length, _, _ in rows:
+                out.append(codec.Entry(steps, kind, dt, shape, begin, begin + head, length))
+                begin += head + length
+            return out
+
+        # An index is as long for one begin of the records as for another.
+        needed = sum(len(e.pack()) for e in entries(0))
+        space = int(self.options.get("indexbytes", max(codec.INDEX_SPACE, needed)))
+        if needed > space:
+            raise codec.FormatError(f"metadata overflow: the index takes {needed} bytes of {space}")
+        placed = entries(len(codec.MAGIC) + 60 + 8 + space)
         from lamina.operators.tree import check_paths
 
-        check_paths([e.path for e in entries])
-        version = codec.needed_version(any("\0" in e.dtype for e in entries), encrypted, any(r[9] for r in rows))
-        index = b"".join(e.pack() for e in entries)
-        if len(index) > space:
-            raise codec.FormatError(f"metadata overflow: the index takes {len(index)} bytes of {space}")
-        made = f"{self.parts}/archive"
-        os.makedirs(self.parts, exist_ok=True)
+        check_paths([e.path for e in placed])
+        version = codec.needed_version(any("\0" in e.dtype for e in placed), encrypted, any(r[9] for r in rows))
         with open(made, "wb") as out:
-            out.write(codec.FileHeader(version, encrypted, sum(e.data_length for e in entries), len(entries)).pack())
-            out.write(struct.pack("<Q", space) + index.ljust(space, b"\0"))
+            out.write(codec.FileHeader(version, encrypted, sum(e.data_length for e in placed), len(placed)).pack())
+            out.write(struct.pack("<Q", space) + b"".join(e.pack() for e in placed).ljust(space, b"\0"))
             files = {p: open(p, "rb") for p in {r[0] for r in rows}}  # noqa: SIM115
             try:
                 for path, *_, begin, head, length, _, _ in rows:
@@ -277,13 +354,19 @@ class ArchiveWriter(DataSourceWriter):
                 for f in files.values():
                     f.close()
             out.write(bytes(8))
-        os.replace(made, self.path)
-        shutil.rmtree(self.parts)
 
     def abort(self, messages) -> None:
         shutil.rmtree(self.parts, ignore_errors=True)
 
 
+def local_path(path: str) -> str:
+    """A path that open() understands; an error for stores that only Spark reads."""
+    path = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"archives are written to mounted file systems only, not to {path}")
+    return path
+
+
 def _copy(source, target, n: int) -> None:
     while n:
         got = source.read(min(n, 8 << 20))
@@ -313,10 +396,11 @@ class ArchiveSource(DataSource):
         return schemas.RELATIONS[relation]
 
     def reader(self, schema):
-        return ArchiveReader(self.options.get("relation", "catalog"), self._options())
+        options = self._options()
+        return (PushingReader if options.get("pushdown", "false").lower() == "true" else ArchiveReader)(self.options.get("relation", "catalog"), options, to_arrow_schema(schema))
 
     def writer(self, schema, overwrite):
-        return ArchiveWriter(self._options(), schema.names, overwrite)
+        return ArchiveWriter(self._options(), overwrite)
 
 
 def register(spark: SparkSession) -> SparkSession:
@@ -325,6 +409,7 @@ def register(spark: SparkSession) -> SparkSession:
 
 
 def read(spark: SparkSession, path: str, relation: str = "catalog", **options) -> DataFrame:
+    options = {"pushdown": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")} | options
     return register(spark).read.format(FORMAT).options(relation=relation, **{k: str(v) for k, v in options.items()}).load(path)
 
 
@@ -341,19 +426,28 @@ def write(arrays: DataFrame, path: str, force: bool = True, **options) -> bool:
 def decode_files(files: DataFrame, relation: str = "catalog", chunk: int = CHUNK, verify: bool = False) -> DataFrame:
     """A relation of archives that Spark's own file systems read: files has path and content, as format binaryFile and
     its stream give them. Archives of up to 2 GiB, one to a row."""
-    kinds = schemas.RELATIONS[relation]
+    schema = to_arrow_schema(_parse_datatype_string(schemas.RELATIONS[relation]))
 
     def decode(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = io.BytesIO(content)
                 header, entries = open_archive(file)
-                rows = list(rows_of(relation, path, file, header, list(enumerate(entries)), None, verify, chunk))
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(kinds))
-    return files.select("path", "content").mapInArrow(decode, kinds)
+                yield from batches_of(schema, relation, path, file, header, list(enumerate(entries)), None, verify, chunk)
+
+    return files.select("path", "content").mapInArrow(decode, schemas.RELATIONS[relation])
+
+
+def copy(spark: SparkSession, source: str, target: str, key_file: str | None = None, new_key_file: str | None = None, **options) -> DataFrame:
+    """Writes an archive again with another key, or with one or none where it had none or one, payloads read, verified
+    and written by tasks; the catalog of the copy. Names, order, types and kinds stay; arrays without data stay so."""
+    keyed = {"keyFile": key_file} if key_file else {}
+    head = read(spark, source, "headers")
+    whole = read(spark, source, "chunks", verify="true", chunkBytes=1 << 30, **keyed).select(F.col("ordinal").alias("at"), "data")
+    met = head.join(whole, F.col("ordinal") == F.col("at"), "left")
+    plain = F.when(F.col("is_meta"), F.lit(None).cast("binary")).otherwise(F.coalesce("data", F.lit(b"")))
+    arrays = met.select(
+        "ordinal", "name", "path_json", F.col("tensor_type").cast("int").alias("tensor_type"), "module_idx", "numpy_dtype", "torch_dtype", "shape", plain.alias("data")
+    )
+    write(arrays, target, **options, **({"encrypt": "true", "keyFile": new_key_file} if new_key_file else {}))
+    return read(spark, target)
