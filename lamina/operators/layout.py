@@ -108,6 +108,44 @@ def best_parts(df: DataFrame, weight: str, order: str, by: str, parts: int) -> D
     return kept.groupBy(by).applyInPandas(cut, schema)
 
 
+#: The estimated cost of the exact cut beyond which the greedy one is taken, and the estimate's terms.
+COST_LIMIT, COST_SCALE, COST_POWERS, COST_FACTOR = 100, 5000, (1.6565, 0.617), 1.75e-4
+
+
+def exact_is_cheap(n: int, parts: int, limit: int = COST_LIMIT) -> bool:
+    """Whether n weights are cut exactly: into three parts or more, at an estimated cost within the limit."""
+    parts = min(n, parts)
+    return parts > 2 and round(max(parts * n / COST_SCALE, n ** COST_POWERS[0] * parts ** COST_POWERS[1] * COST_FACTOR)) <= limit
+
+
+def greedy_cuts(weights: list[int], parts: int) -> list[int]:
+    """The part of each item as greedy_parts gives it, for short lists."""
+    total, k = sum(weights), min(len(weights), parts)
+    out, upto, slack = [], 0, None
+    for i, w in enumerate(weights):
+        upto += w
+        middle = max(0, -(-k * (2 * upto - w) // (2 * total)) - 1) if total else 0
+        slack = middle - i if slack is None else min(slack, middle - i)
+        out.append(0 if not total or k <= 1 else min(i + 1, i + slack, k - 1))
+    return out
+
+
+def cuts_by_cost(weights: list[int], parts: int, limit: int = COST_LIMIT) -> list[int]:
+    return (best_cuts if exact_is_cheap(len(weights), parts, limit) else greedy_cuts)(weights, parts)
+
+
+def balanced_parts(df: DataFrame, weight: str, order: str, by: str, parts: int, limit: int = COST_LIMIT) -> DataFrame:
+    """(by, order, weight, part): each group cut exactly where that is estimated to be cheap, greedily elsewhere. The
+    estimate bounds what one task gathers to a few thousand rows."""
+    kept = df.select(by, order, weight)
+    sized = kept.groupBy(F.col(by).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    k = F.least("__n", F.lit(parts))
+    cost = F.round(F.greatest(k * F.col("__n") / COST_SCALE, F.pow("__n", F.lit(COST_POWERS[0])) * F.pow(k, F.lit(COST_POWERS[1])) * COST_FACTOR))
+    judged = kept.join(sized.withColumn("__exact", (k > 2) & (cost <= limit)), F.col(by).eqNullSafe(F.col("__of")))
+    exact = best_parts(judged.where("__exact").select(by, order, weight), weight, order, by, parts)
+    return exact.unionByName(greedy_parts(judged.where("NOT __exact").select(by, order, weight), weight, order, [by], parts))
+
+
 def chunk_plan(df: DataFrame, length: str, chunk: int) -> DataFrame:
     """df with a row for each chunk: chunk_idx, chunk_offset, chunk_length; none for length 0."""
     if chunk < 1:

@@ -33,6 +33,11 @@ def present_nodes(info: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return info.join(rows.select(key).distinct(), key, "left_semi")
 
 
+def complete_rows(df: DataFrame, subset: list[str], kinds: dict[str, str]) -> DataFrame:
+    """Rows without nulls in the subset, with columns cast to the types that kinds names."""
+    return df.na.drop(subset=subset).withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 

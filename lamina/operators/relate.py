@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators import layout
+
 PARAM, BUFFER, STATE_DICT = 0, 1, 2
 
 
@@ -20,6 +22,18 @@ def load_route(catalog: DataFrame, modules: DataFrame, name: str, module: str, k
     return routed.join(modules, F.col("module_path") == F.col(module))
 
 
+def module_order(arrays: DataFrame, module: str, is_buffer: str, position: str, persistent: Column, all_buffers: bool = False) -> DataFrame:
+    """arrays with the ordinal at which each is written: modules in their order, of each the parameters before the
+    buffers, each in the order of position; buffers that are not persistent are left out unless all_buffers. Counts of
+    modules are summed first and then rows are numbered within each, so no task sorts all arrays."""
+    kept = arrays if all_buffers else arrays.where(~F.col(is_buffer) | persistent)
+    sizes = kept.groupBy(F.col(module).alias("__module")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(0))
+    bases = layout.offsets(sizes, "__n", "__module", ["__all"], into="__base", run=4096).select("__module", "__base")
+    turn = F.row_number().over(Window.partitionBy(module).orderBy(is_buffer, position))
+    numbered = kept.withColumn("__turn", turn).join(bases, F.col(module) == F.col("__module"))
+    return numbered.withColumn("ordinal", (F.col("__base") + F.col("__turn") - 1).cast("bigint")).drop("__module", "__base", "__turn")
+
+
 def persistent_only(rows: DataFrame, is_buffer: Column, persistent: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that are no buffers, or buffers that the persistent set holds."""
     kept = persistent.select(*keys).distinct().withColumn("__kept", F.lit(True))

@@ -112,6 +112,13 @@ def conflicts(df: DataFrame, path: str) -> DataFrame:
     return repeated_paths(df, path).unionByName(branch_leaves(df, path)).unionByName(mixed_layers(df, path))
 
 
+def below(df: DataFrame, path: str, prefix: list[Column]) -> DataFrame:
+    """Rows whose path begins with the steps of prefix, with these taken off; a leaf at the prefix has an empty path."""
+    n = len(prefix)
+    steps = F.array(*prefix).cast(PATH) if n else F.array().cast(PATH)
+    return df.where(F.slice(path, 1, max(n, 1)) == steps if n else F.lit(True)).withColumn(path, F.slice(path, n + 1, F.greatest(F.size(path) - n, F.lit(0))))
+
+
 def gather_list(df: DataFrame, parent: list[str], index: str, value: Column) -> DataFrame:
     """(parent..., items): the values of each parent's indexed children in the order of their indexes, gaps closed."""
     pair = F.struct(F.col(index).alias("i"), value.alias("v"))

@@ -6,16 +6,21 @@ is a float32 array of its length, a row of documents an array of bytes.
 
 from __future__ import annotations
 
+import io
+import json
 import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import scalars as fn
 from lamina.operators import crypto, dedupe, layout, logs, relate, select, tree, verify
-from lamina.sources import archive, pack
+from lamina.sources import archive, model_proto, npy, pack
+from lamina.sources import format as codec
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,6 +111,17 @@ def exact_partition(spark, sf_dir):
     return parts.groupBy("p_size", "part").agg(F.sum("weight").alias("total")).groupBy("p_size").agg(F.max("total").alias("largest"))
 
 
+@query("""WITH a AS (SELECT p_size, p_partkey, p_size * (p_partkey % 7 + 1) AS w FROM part),
+    b AS (SELECT p_size, sum(w) OVER (PARTITION BY p_size ORDER BY p_partkey) AS upto, sum(w) OVER (PARTITION BY p_size) AS total FROM a)
+    SELECT x.p_size, min(greatest(x.upto, y.upto - x.upto, x.total - y.upto))::BIGINT AS largest FROM b x JOIN b y ON x.p_size = y.p_size AND x.upto < y.upto AND y.upto < y.total GROUP BY x.p_size""")
+def balanced_partition(spark, sf_dir):
+    """The least largest of three contiguous parts, by group; where the exact cut would cost too much, the greedy one."""
+    weighted = table(spark, sf_dir, "part").select("p_size", "p_partkey", (F.col("p_size") * (F.col("p_partkey") % 7 + 1)).alias("weight"))
+    weighted = weighted.join(weighted.groupBy("p_size").count().where("count >= 3").select("p_size"), "p_size", "left_semi")
+    parts = layout.balanced_parts(weighted, "weight", "p_partkey", "p_size", 3)
+    return parts.groupBy("p_size", "part").agg(F.sum("weight").alias("total")).groupBy("p_size").agg(F.max("total").alias("largest"))
+
+
 @query("""SELECT doc_id, n_bytes, k AS chunk_idx, 2048 * k AS chunk_offset, least(2048, n_bytes - 2048 * k) AS chunk_length FROM (
     SELECT doc_id, n_bytes, unnest(range((n_bytes + 2047) // 2048)) AS k FROM (SELECT doc_id, strlen(text) AS n_bytes FROM documents))""")
 def chunk_plan(spark, sf_dir):
@@ -153,8 +169,30 @@ def _odd_end(name: str) -> bool:
 def subtree_filter(spark, sf_dir):
     """Pages below the first host, addresses seen as paths."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.split("url", "/").alias("path"))
-    first = table(spark, sf_dir, "pages").agg(F.min("url").alias("u")).select(F.slice(F.split("u", "/"), 1, 3).alias("prefix"))
-    return pages.join(F.broadcast(first), F.slice("path", 1, 3) == F.col("prefix"), "left_semi")
+    first = table(spark, sf_dir, "pages").agg(F.min("url")).first()[0] or ""
+    return select.subtree(pages, "path", first.split("/")[:3])
+
+
+@query("""SELECT '[' || turn || ',"' || role || '"]' AS path_json, strlen(text) AS n_bytes FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)""")
+def tree_below(spark, sf_dir):
+    """What lies below one conversation, its own step taken off the paths."""
+    path = F.array(tree.key_step(F.col("conv_id")), tree.index_step(F.col("turn")), tree.key_step(F.col("role")))
+    rows = table(spark, sf_dir, "conversations").select(path.alias("path"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+    first = table(spark, sf_dir, "conversations").agg(F.min("conv_id")).first()[0]
+    return tree.below(rows, "path", [tree.key_step(F.lit(first))]).select(tree.path_text("path").alias("path_json"), "n_bytes")
+
+
+@query("""SELECT doc_id, '["' || lang || '",' || doc_id || ',"' || source || '"]' AS path_json, 3 AS depth FROM documents""")
+def path_codec(spark, sf_dir):
+    """Paths written as structured names and parsed again."""
+
+    @F.arrow_udf("array<string>")
+    def coded(langs: pa.Array, ids: pa.Array, sources: pa.Array) -> pa.Array:
+        paths = [codec.decode_path(codec.encode_path(p)) for p in zip(langs.to_pylist(), ids.to_pylist(), sources.to_pylist(), strict=True)]
+        return pa.array([[json.dumps(list(p), separators=(",", ":")), str(len(p))] for p in paths], pa.list_(pa.string()))
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", coded("lang", "doc_id", "source").alias("x"))
+    return rows.select("doc_id", F.col("x")[0].alias("path_json"), F.col("x")[1].cast("int").alias("depth"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100")
@@ -285,6 +323,13 @@ def skip_existing(spark, sf_dir):
     return relate.skip_existing(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), existing, ["c_custkey"])
 
 
+@query("""SELECT c_nationkey, c_custkey, (row_number() OVER (ORDER BY c_nationkey, c_custkey % 3 = 0, c_custkey) - 1)::BIGINT AS ordinal FROM customer WHERE c_custkey % 3 <> 0 OR c_acctbal > 0""")
+def module_order(spark, sf_dir):
+    """The order in which a tree of modules is written: of each its parameters, then its persistent buffers."""
+    arrays = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", (F.col("c_custkey") % 3 == 0).alias("is_buffer"), (F.col("c_acctbal") > 0).alias("persistent"))
+    return relate.module_order(arrays, "c_nationkey", "is_buffer", "c_custkey", F.col("persistent")).select("c_nationkey", "c_custkey", "ordinal")
+
+
 @query("""WITH b AS (SELECT doc_id, strlen(text) AS len, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM documents),
     p AS (SELECT o_orderkey, o_custkey * 997 AS position FROM orders)
     SELECT o_orderkey, position, doc_id, position - begin_at AS within FROM p ASOF JOIN b ON p.position >= b.begin_at WHERE position < begin_at + len""")
@@ -420,6 +465,25 @@ def uri_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), store).select("page_id", "scheme", "u.*")
 
 
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '<V2' ELSE '<f4' END AS numpy_dtype, CASE WHEN p_size % 3 = 0 THEN 'bfloat16' END AS named, p_size % 3 = 0 AS opaque,
+    CASE WHEN p_size % 3 = 0 THEN '<i2' ELSE '<f4' END AS decoder, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 4 END AS itemsize FROM part""")
+def type_strings(spark, sf_dir):
+    """Stored type strings taken apart: numpy type, type name, whether opaque, the type that decodes it, item size."""
+    stored = F.when(F.col("p_size") % 3 == 0, F.lit("<V2\0torch.bfloat16")).otherwise(F.lit("<f4"))
+    first, second = fn.split_dtype("stored")
+    rows = table(spark, sf_dir, "part").select("p_partkey", stored.alias("stored")).select("p_partkey", first.alias("numpy_dtype"), second.alias("torch_dtype"))
+    return rows.select("p_partkey", "numpy_dtype", fn.named_dtype("torch_dtype").alias("named"), fn.is_opaque("numpy_dtype").alias("opaque"), fn.decoder_dtype("numpy_dtype").alias("decoder"), fn.item_size("numpy_dtype").alias("itemsize"))
+
+
+@query("""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM pages)
+    SELECT page_id, host, host = (SELECT min(host) FROM h) AS virtual, list_contains(string_split(host, '.'), 'accel') AS accelerated FROM h""")
+def endpoint_classes(spark, sf_dir):
+    """Hosts of addresses, and whether they call for virtual addressing or the older signature."""
+    pages = table(spark, sf_dir, "pages")
+    first = pages.agg(F.min(fn.endpoint_host("url"))).first()[0] or ""
+    return pages.select("page_id", fn.endpoint_host("url").alias("host"), fn.needs_virtual_host("url", (first,)).alias("virtual"), fn.is_accelerated("url").alias("accelerated"))
+
+
 @query("SELECT event_id, epoch(ts)::BIGINT - epoch(ts)::BIGINT % 86400 + 172800 AS expiry FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
 def aligned_expiry(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", fn.aligned_expiry(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("expiry"))
@@ -440,10 +504,32 @@ def nicknames(spark, sf_dir):
 # Logs
 
 
-@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+@query("SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL")
 def log_parse(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").alias("row"))
-    return rows.select("event_id", "row.k")
+    """Lines of a log parsed by an explicit schema; lines that are no objects fall out."""
+    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("  "), "props").alias("value"))
+    noise = lines.limit(3).select(F.lit("# no object").alias("value"))
+    return logs.parse_lines(lines.unionByName(noise), schema="k bigint").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def present_nodes(spark, sf_dir):
+    """Rows of a table of nodes that a log mentions."""
+    seen = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    return logs.present_nodes(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), seen, "n_nationkey")
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 4 <> 0 THEN user_id END, 0)::INTEGER AS plaid FROM events")
+def zero_filled(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("plaid"))
+    return rows.select("event_id", logs.zero_filled("plaid").alias("plaid"))
+
+
+@query("SELECT event_id, user_id::INTEGER AS user_id, (CASE WHEN event_id % 5 <> 0 THEN event_id END)::DOUBLE AS size FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
+def complete_rows(spark, sf_dir):
+    """Rows without nulls in two columns, cast; nulls elsewhere don't matter."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("size"))
+    return logs.complete_rows(rows, ["user_id", "size"], {"user_id": "int", "size": "double"})
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -626,3 +712,49 @@ def encrypt_copy(spark, sf_dir):
     archive.copy(spark, f"{folder}/plain.arr", f"{folder}/sealed.arr", new_key_file=key)
     archive.copy(spark, f"{folder}/sealed.arr", f"{folder}/again.arr", key_file=key)
     return archive.read(spark, f"{folder}/again.arr", "elements", verify="true").select("name", "flat_index", "value")
+
+
+@query("SELECT sum(4 * len(embedding))::BIGINT AS bytes, count(*) AS arrays, true AS timed FROM embeddings")
+def archive_reads(spark, sf_dir):
+    """What tasks counted while they read the payloads of an archive."""
+    path = f"{scratch(spark)}/vectors.arr"
+    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), path)
+    reads = archive.read(spark, path, "reads", readers=3)
+    return reads.agg(F.sum("bytes").alias("bytes"), F.sum("arrays").alias("arrays"), F.bool_and(F.col("seconds") > 0).alias("timed"))
+
+
+@query("SELECT label, 'layer.v' || vec_id AS name, 'float32' AS dtype, len(embedding) AS n, 'parameter' AS kind, round(list_sum(embedding::DOUBLE[]), 6) AS digest FROM embeddings")
+def model_roundtrip(spark, sf_dir):
+    """Vectors of each label written as one model message, and the arrays of all messages."""
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+
+    def encode(group: pa.Table) -> pa.Table:
+        arrays = [(f"v{k}", model_proto.Tensor("float32", (len(v),), np.asarray(v, "<f4").tobytes(), 0)) for k, v in zip(group["vec_id"].to_pylist(), group["embedding"].to_pylist(), strict=True)]
+        root = model_proto.Module("", [], [("", model_proto.Module("", [], [("layer", model_proto.Module("", [], arrays))]))])
+        return pa.table({"path": [str(group["label"][0].as_py())], "content": pa.array([model_proto.encode_module(root)], pa.binary())})
+
+    read = model_proto.read_models(rows.groupBy("label").applyInArrow(encode, "path string, content binary"))
+    found = read.select(F.col("path").cast("int").alias("label"), "name", "dtype", F.col("shape")[0].alias("n"), "kind", _floats("data").alias("x"))
+    total = F.aggregate("x", F.lit(0.0).cast("double"), lambda a, v: a + v)
+    return found.select("label", "name", "dtype", "n", "kind", F.round(total, 6).alias("digest"))
+
+
+@F.arrow_udf("array<double>")
+def _floats(payloads: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(x, "<f4").astype(float) for x in payloads.to_pylist()], pa.list_(pa.float64()))
+
+
+@query("SELECT 'v' || vec_id AS path, '<f4' AS dtype, i - 1 AS flat_index, embedding[i]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def npy_roundtrip(spark, sf_dir):
+    """Vectors as single-array files, and their elements."""
+
+    @F.arrow_udf("binary")
+    def saved(vectors: pa.Array) -> pa.Array:
+        out = []
+        for v in vectors:
+            np.save(file := io.BytesIO(), np.asarray(v.values, "<f4"))
+            out.append(file.getvalue())
+        return pa.array(out, pa.binary())
+
+    files = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("path"), saved("embedding").alias("content"))
+    return npy.read_arrays(files).select("path", "dtype", "flat_index", "value")

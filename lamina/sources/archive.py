@@ -1,7 +1,7 @@
 """A Spark data source of archives: ``spark.read.format("array_archive").option("relation", ...).load(path)``.
 
-Relations: archive_info and catalog read headers and indexes only; headers reads record headers; chunks reads payloads
-in pieces; elements decodes them, in Arrow batches. Predicates on names reach the index before any payload is read where
+Relations: archive_info and catalog read headers and indexes only; headers reads record headers; reads tells what each
+task's range of payloads took; chunks reads payloads in pieces; elements decodes them, in Arrow batches. Predicates on names reach the index before any payload is read where
 the session pushes them to Python sources, and are applied by Spark where it doesn't. Payload relations are cut into
 byte-balanced contiguous ranges, one to a task.
 
@@ -24,6 +24,7 @@ import os
 import re
 import shutil
 import struct
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +39,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from lamina import schema as schemas
 from lamina.operators import crypto, dtype
-from lamina.operators.layout import best_cuts
+from lamina.operators.layout import cuts_by_cost
 from lamina.sources import format as codec
 from lamina.sources.streams import open_stream
 
@@ -117,6 +118,13 @@ def rows_of(relation: str, archive: str, file, header: codec.FileHeader, chosen:
     for ordinal, e in chosen:
         if relation == "catalog":
             yield catalog_row(archive, ordinal, e)
+        elif relation == "reads":
+            began, size = time.perf_counter(), 0
+            for _, x in chosen:
+                size += len(payload(file, header, x, secret, verify)[1])
+            status = getattr(getattr(file, "raw", file), "cache_status", None)
+            yield archive, chosen[0][0], chosen[-1][0], len(chosen), size, time.perf_counter() - began, status
+            return
         elif relation == "headers":
             file.seek(e.header_offset)
             yield header_row(archive, ordinal, e, codec.read_record(file, header.has_crypt, e))
@@ -220,7 +228,7 @@ class ArchiveReader(DataSourceReader):
                 continue
             sizes = [e.full_length + 512 for _, e in chosen]
             parts = int(self.options.get("readers", 0)) or max(1, sum(sizes) // RANGE)
-            for _, group in itertools.groupby(zip(chosen, best_cuts(sizes, parts), strict=True), key=lambda x: x[1]):
+            for _, group in itertools.groupby(zip(chosen, cuts_by_cost(sizes, parts), strict=True), key=lambda x: x[1]):
                 ordinals = [k for (k, _), _ in group]
                 out.append(Slice(archive, (ordinals[0], ordinals[-1] + 1)))
         return out or [Slice("", (0, 0))]

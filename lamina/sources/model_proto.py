@@ -185,8 +185,9 @@ def tensors(m: Module, prefix: str = "") -> list[tuple[str, Tensor]]:
     """(dotted name, array) of a module and all below it, in order."""
     out = []
     for name, value in m.attributes:
-        full = f"{prefix}{name}"
-        out += tensors(value, f"{full}.") if isinstance(value, Module) else [(full, value)] if isinstance(value, Tensor) else []
+        # A root module is an attribute without a name.
+        full = ".".join(x for x in (prefix, name) if x)
+        out += tensors(value, full) if isinstance(value, Module) else [(full, value)] if isinstance(value, Tensor) else []
     return out
 
 

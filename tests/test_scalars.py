@@ -10,10 +10,20 @@ def one(spark, *columns):
 
 
 def test_sizes(spark):
-    n = [0, 999, 1000, 1250, 999_949, 999_950, 10**15, 5 * 10**18]
-    rows = spark.createDataFrame([(x,) for x in n], "n long").select(fn.human_bytes("n").alias("a"), fn.human_bytes("n", False).alias("b")).collect()
-    assert [r.a for r in rows] == ["0.0 B", "999.0 B", "1.0 KB", "1.3 KB", "999.9 KB", "1000.0 KB", "1.0 PB", "5000.0 PB"]
-    assert rows[3].b == "1.2 KiB" and rows[2].b == "1000.0 B"
+    """Against C-style formatting of the same divisions, halves and near halves of tenths among them."""
+    n = [0, 999, 1000, 1250, 12250, 12350, 12450, 999_949, 999_950, 999_999, 10**15, 5 * 10**18, 1088, 11_264_000 // 10 * 11] + [50 + 100 * k for k in range(10, 60)] + [k * 1024 + 512 // (k % 9 + 1) for k in range(1, 40)]
+
+    def said(x, step, units):
+        x = float(x)
+        for unit in units[:-1]:
+            if x < step:
+                return f"{x:3.1f} {unit}"
+            x /= step
+        return f"{x:3.1f} {units[-1]}"
+
+    rows = spark.createDataFrame([(x,) for x in n], "n long").select("n", fn.human_bytes("n").alias("a"), fn.human_bytes("n", False).alias("b")).collect()
+    for r in rows:
+        assert r.a == said(r.n, 1000.0, ["bytes", "KB", "MB", "GB", "TB", "PB"]) and r.b == said(r.n, 1024.0, ["bytes", "KiB", "MiB", "GiB", "TiB", "PiB"])
 
 
 def test_types(spark):

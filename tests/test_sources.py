@@ -70,6 +70,38 @@ def test_encrypted_copy(spark, vectors, tmp_path):
         archive.read(spark, out, "chunks").count()
 
 
+def test_sessions_that_do_not_push(spark, path):
+    """Where predicates aren't pushed the reader takes none, and Spark applies them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        assert archive.read(spark, path, "chunks").where("name = 'vec.7'").count() == 1
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert spark.read.format("array_archive").load(path).where("name = 'vec.7'").count() == 1
+
+
+def test_folders_and_copies(spark, vectors, path, tmp_path):
+    folder = str(tmp_path / "parts")
+    for _ in range(2):
+        archive.write(pack.vectors(vectors.repartition(5, "vec_id"), "vec_id", "embedding"), folder, parts="true")
+    assert len(os.listdir(folder)) == 5 and archive.read(spark, folder, "elements").count() == 120
+    odd = spark.createDataFrame([(0, "b", None, 1, 3, "<V2", "torch.bfloat16", [2], bytearray(b"abcd")), (1, "m", None, 0, 4, "<f4", None, [3], None), (2, "e", None, 0, 4, "<f4", None, [0], bytearray())],
+                                "ordinal int, name string, path_json string, tensor_type int, module_idx int, numpy_dtype string, torch_dtype string, shape array<bigint>, data binary")
+    archive.write(odd, str(tmp_path / "odd.arr"))
+    copied = archive.copy(spark, str(tmp_path / "odd.arr"), str(tmp_path / "copy.arr"))
+    assert sorted(map(str, copied.drop("archive").collect())) == sorted(map(str, archive.read(spark, str(tmp_path / "odd.arr")).drop("archive").collect()))
+    with pytest.raises(Exception, match="mounted"):
+        archive.write(odd, "hdfs://store/x.arr")
+
+
+def test_cuts_by_cost():
+    from lamina.operators import layout
+
+    weights = [2, 8, 10, 5, 5]
+    assert layout.cuts_by_cost(weights, 3) == [0, 0, 1, 2, 2] and layout.exact_is_cheap(5, 3) and not layout.exact_is_cheap(5, 2) and not layout.exact_is_cheap(100_000, 8)
+    assert layout.greedy_cuts(weights, 2) == layout.cuts_by_cost(weights, 2) and sorted(set(layout.cuts_by_cost([1] * 100_000, 8))) == list(range(8))
+
+
 def test_writer_errors(spark, vectors, tmp_path):
     wrong = pack.vectors(vectors, "vec_id", "embedding")
     with pytest.raises(Exception, match="overflow"):
@@ -160,6 +192,8 @@ def test_model_messages(spark, tmp_path):
     (tmp_path / "m.pb").write_bytes(model_proto.encode_module(m))
     rows = model_proto.read_models(spark.read.format("binaryFile").load(str(tmp_path / "m.pb"))).orderBy("ordinal").collect()
     assert [(r.name, r.dtype, r.kind) for r in rows] == [("w", "float32", "parameter"), ("sub.b", "bfloat16", "buffer")]
+    rooted = model_proto.Module("", [], [("", model_proto.Module("", [], [("weight", t), ("sub", model_proto.Module("", [], [("bias", t)]))]))])
+    assert [n for n, _ in model_proto.tensors(rooted)] == ["weight", "sub.bias"]
     with pytest.raises(ValueError):
         model_proto.decode_module(b"\x0a\x05ab")
     with pytest.raises(NotImplementedError):
