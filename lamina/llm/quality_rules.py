@@ -78,7 +78,8 @@ def _stats(texts: pa.Array) -> pa.Array:
 def quality_stats(docs: DataFrame, into: str) -> DataFrame:
     """docs with a struct column of the counts; a null or empty text has counts of 0, a very long one is counted whole.
     Repeated rows have the same counts; an empty table gives an empty one."""
-    return docs.withColumn(into, _stats(F.col("text")))
+    # Called once for each row: as what it gives can't be known beforehand, Spark evaluates it in one place.
+    return docs.withColumn(into, _stats.asNondeterministic()(F.col("text")))
 
 
 def ratio(rule: str, stats: str):
@@ -169,10 +170,15 @@ def _rated(docs: DataFrame) -> DataFrame:
     return quality_stats(docs.drop("quality", "base_failed", "kept"), "quality").withColumn("base_failed", base_failed("quality"))
 
 
+def _limits(rated: DataFrame, least: int) -> DataFrame:
+    # Three levels read the sketch: it is written, so that texts are counted once.
+    return written(fences(written(ratio_sketch(rated, "quality", ~F.col("base_failed")), "sketch"), least), "limits")
+
+
 def quality_limits(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """The written table of fences() for docs(text, lang, source). Only bucket counts are shuffled."""
     rated = _rated(docs.select("text", "lang", "source"))
-    return written(fences(ratio_sketch(rated, "quality", ~F.col("base_failed")), least), "limits")
+    return _limits(rated, least)
 
 
 def quality_verdicts(docs: DataFrame, least: int = LEAST_DOCUMENTS, keep_text: bool = True) -> DataFrame:
@@ -189,7 +195,7 @@ def quality_verdicts(docs: DataFrame, least: int = LEAST_DOCUMENTS, keep_text: b
     if keep_text:
         return _judged(_rated(docs), quality_limits(docs, least))
     rated = written(_rated(docs).drop("text"), "quality")
-    return _judged(rated, written(fences(ratio_sketch(rated, "quality", ~F.col("base_failed")), least), "limits"))
+    return _judged(rated, _limits(rated, least))
 
 
 def quality_filter(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import itertools
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, which separates words everywhere in this subpackage.
 BLANK = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch of documents.
+BATCH_BYTES = 4 << 20
 #: A key with more than one in so many rows is hot; there are fewer hot keys than this, whatever the table.
 HOT = 2000
 _ids = itertools.count()
@@ -40,10 +43,13 @@ def quoted(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of one's own only where the session names none, as in tests."""
+    """The folder that driver and executors share; a temporary one serves only where the session names none and all runs in
+    one process, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lamina-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -90,7 +96,15 @@ def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total:
     return dealt.join(keys.withColumn(salt, every), [*on, salt]).drop(salt)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session to Arrow batches of BATCH_BYTES at most, a row at least. Batches are held several times over, as
+    text, Python strings and results, by each worker and its JVM, and Spark's own bound suits short rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir, in a session of bounded Arrow batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

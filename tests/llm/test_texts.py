@@ -114,7 +114,12 @@ def test_token_counts(spark, small, nothing):
     for r in sums.collect():
         assert r.n_docs == lengths.count(r.length) and r.docs_from == sum(n >= r.length for n in lengths) and r.tokens_from == sum(n for n in lengths if n >= r.length)
         assert r.truncated_total == sum(min(n, r.length) for n in lengths) and r.tokens_total == sum(lengths) and r.docs_total == len(lengths)
-    for r in token_counts.at_limits(sums, [0, 1, 100, 5000, 10**9]).collect():
+        assert r.docs_upto == sum(n <= r.length for n in lengths) and r.upto_ppm == 10**6 * r.docs_upto // len(lengths)
+    limits = [0, 1, lengths[5], lengths[5] + 1, 100, 101, 5000, lengths[-1], lengths[-1] + 1, 10**9]
+    answers = token_counts.at_limits(sums, limits).collect()
+    assert sorted(r.context_limit for r in answers) == sorted(set(limits))
+    assert token_counts.at_limits(token_counts.suffix_sums(token_counts.length_histogram(nothing)), limits).count() == 0
+    for r in answers:
         assert r.truncated_total == sum(min(n, r.context_limit) for n in lengths) and r.docs_over == sum(n > r.context_limit for n in lengths)
     assert {r.share: r.length for r in token_counts.quantiles(sums, [0.5, 1.0]).collect()} == {0.5: lengths[-(-len(lengths) // 2) - 1], 1.0: lengths[-1]}
     assert token_counts.suffix_sums(token_counts.length_histogram(nothing)).count() == 0
@@ -199,10 +204,13 @@ def test_licenses_in_longer_units(spark):
         ("see here: " + license_scan.TEMPLATES["agpl-3.0"] + " And so on" * 9, {"agpl-3.0": license_scan.TEMPLATES["agpl-3.0"].rstrip(".")}),
         ("A. " + license_scan.TEMPLATES["agpl-3.0"] + " B. " + license_scan.TEMPLATES["gpl-3.0"] + " C.", {n: license_scan.TEMPLATES[n].rstrip(".") for n in ("agpl-3.0", "gpl-3.0")}),
         ("This one is licensed under the Apache license version 3 and no other.", {}),
+        ("Copyright (c) 2024 Jane Doe\n\n" + license_scan.TEMPLATES["mit-text"].replace(". ", ".\n\n"), {"mit-grant": None, "mit-text": None}),
+        ("word " * 50 + license_scan.TEMPLATES["bsd-3-clause-text"].replace(" and ", "\nand ") + " word" * 50, {"bsd-3-clause-text": None}),
     ]
     rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: {x.license: x.unit for x in r.licenses} for r in license_scan.scan_licenses(rows).collect()}
-    assert got == {k: want for k, (_, want) in enumerate(cases)}
+    assert [list(got[k]) for k in range(len(cases))] == [list(want) for _, want in cases]
+    assert all(unit is None or got[k][name] == unit for k, (_, want) in enumerate(cases) for name, unit in want.items())
 
 
 def test_license_windows_by_brute_force():
@@ -210,7 +218,7 @@ def test_license_windows_by_brute_force():
     for name, template in license_scan.TEMPLATES.items():
         scanner, own = license_scan.Scanner({name: template}, 0.8), license_scan._WORD(template.lower())
         n_found = 0
-        for _ in range(60):
+        for _ in range(60 if len(own) < 80 else 12):
             edited = [w if r.random() > 0.06 else r.choice(["", "other", f"{w} {w}"]) for w in own]
             words_ = " ".join(r.choices(own + ["x", "y"], k=r.randint(0, 12)) + edited + r.choices(own + ["x", "y"], k=r.randint(0, 12))).split()
             want = 0.0
@@ -221,7 +229,7 @@ def test_license_windows_by_brute_force():
             got = [(c / s, brute_dice(" ".join(words_[b:e]), template) == (c, s)) for _, c, s, b, e in scanner.windows(words_)]
             assert got == ([(want, True)] if want else [])
             n_found += bool(want)
-        assert n_found > 10
+        assert n_found > (10 if len(own) < 80 else 2)
 
 
 def test_licenses_follow_their_sql(spark):
@@ -240,6 +248,22 @@ def test_classifier_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.95 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_classifier_against_plain_votes(spark, small):
+    """Scores against a vote written out over the model's vectors, equal and nearly equal neighbours among them."""
+    r = np.random.default_rng(2)
+    texts = pa.array([x.text for x in small.select("text").collect()] + ["one text of three"] * 30 + [" ".join(r.choice(["a", "bb", "ccc", "dd!", "#"], 40)) for _ in range(60)])
+    rows = quality_classifier.counts(texts)
+    model = quality_classifier.fit(rows, r.integers(0, 2, len(rows)), 12)
+    got = model.score(rows)
+    for row, score in zip(model.latent(rows).astype(float), got):
+        near = [round(float(np.dot(row, v)) * 1e9) for v in model.vectors.astype(float)]
+        best = sorted(range(len(near)), key=lambda k: (-near[k], k))[: quality_classifier.NEIGHBOURS]
+        weight = [max(near[k] * 1e-9, 1e-6) ** quality_classifier.SHARPNESS for k in best]
+        assert abs(score - sum(w * model.labels[k] for w, k in zip(weight, best)) / sum(weight)) < 1e-6
+    pieces = np.concatenate([model.score(rows[k : k + 7]) for k in range(0, len(rows), 7)])
+    assert np.abs(pieces - got).max() < 1e-6
+
+
 def test_classifier_in_odd_cases(spark, clashing, nothing):
     labels = spark.createDataFrame([(k, k % 2) for k in range(12)] + [(None, 1), (40, None), (30, 0)], "doc_id long, quality int")
     model = quality_classifier.train(clashing, labels)
