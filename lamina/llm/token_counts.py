@@ -45,14 +45,14 @@ def count_tokens(texts: list[str | None], path: str) -> np.ndarray:
             try:
                 out[k] = sum(map(known.__getitem__, found))
             except KeyError:
-                if len(known) > MEMORY:
-                    known.clear()
                 total = 0
                 for piece in found:
                     n = known.get(piece)
                     if n is None:
                         n = len(encoding.encode_ordinary(piece))
                         if len(piece) <= 64:
+                            if len(known) >= MEMORY:
+                                known.clear()
                             known[piece] = n
                     total += n
                 out[k] = total
@@ -66,7 +66,9 @@ def default_ranks() -> str:
 
 
 def with_token_count(docs: DataFrame, into: str = "n_tokens", path: str | None = None) -> DataFrame:
-    """docs with the encoded length of text, 0 for null or empty; a column named like into is replaced."""
+    """docs with the encoded length of text, 0 for null or empty; a column named like into is replaced, all others pass
+    through. Very long texts are encoded whole, one at a time. Repeated rows get equal lengths; an empty table gives an
+    empty one. Nothing is shuffled."""
     path = path or default_ranks()
 
     @F.arrow_udf("bigint")
@@ -85,7 +87,8 @@ def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length L of the histogram: n_docs and n_tokens of that length, docs_from and tokens_from (L or more),
-    docs_total, tokens_total, and truncated_total, the tokens left when every document is cut to L.
+    docs_total, tokens_total, docs_upto (L or less) and its share of all in millionths, of which quantiles are read, and
+    truncated_total, the tokens left when every document is cut to L. An empty histogram gives none.
 
     Sums run inside runs of RUN lengths and over the totals of the runs; the rows of a run, like the number of runs,
     are bounded by the longest document, not by the corpus.
@@ -106,6 +109,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
         own.withColumn("d_in", F.sum("n_docs").over(within)).withColumn("t_in", F.sum("n_tokens").over(within)).join(later, "run")
         .selectExpr(
             "length", "n_docs", "n_tokens", "d_in + d_after AS docs_from", "t_in + t_after AS tokens_from", "docs_total", "tokens_total",
+            "docs_total - (d_in + d_after) + n_docs AS docs_upto", "(1000000 * (docs_total - (d_in + d_after) + n_docs)) div docs_total AS upto_ppm",
             "tokens_total - (t_in + t_after) + length * (d_in + d_after) AS truncated_total",
         )
     )
@@ -113,21 +117,32 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """(context_limit, truncated_total, docs_over): the corpus cut to each of the limits, exactly, whether or not a
-    document has that length."""
-    total = sums.select(F.explode(F.array(*(F.lit(int(x)).cast("bigint") for x in limits))).alias("context_limit"), "length", "n_docs", "n_tokens")
-    return total.groupBy("context_limit").agg(
-        F.sum(F.col("n_docs") * F.least("length", "context_limit")).alias("truncated_total"),
-        F.sum(F.when(F.col("length") > F.col("context_limit"), F.col("n_docs")).otherwise(0)).alias("docs_over"),
+    document has that length: the suffix sums at the least length that isn't below a limit are those of the limit. Every
+    length looks for the largest limit that isn't above it, so no length is read for more than one. Limits are whole
+    numbers from 0 on, each answered once; without documents there are no answers."""
+    asked = sorted({int(x) for x in limits} | {0})
+    given = F.array(*(F.lit(x).cast("bigint") for x in asked))
+    above = F.array_max(F.filter(given, lambda x: x <= F.col("length")))
+    row = F.struct("docs_from", "tokens_from", "n_docs", "length", "docs_total", "tokens_total")
+    first = sums.select(above.alias("context_limit"), "length", row.alias("row")).groupBy("context_limit").agg(F.min_by("row", "length").alias("row"))
+    every = sums.sparkSession.createDataFrame([(x,) for x in asked], "context_limit bigint").join(F.broadcast(first), "context_limit", "left")
+    onward = Window.orderBy("context_limit").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    all_ = Window.orderBy("context_limit").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = every.withColumn("of", F.first("row", ignorenulls=True).over(onward)).withColumn("tokens", F.max("row.tokens_total").over(all_)).where("tokens IS NOT NULL")
+    docs, tokens = F.coalesce("of.docs_from", F.lit(0)), F.coalesce("of.tokens_from", F.lit(0))
+    same = F.when(F.col("of.length") == F.col("context_limit"), F.col("of.n_docs")).otherwise(0)
+    return found.where(F.col("context_limit").isin([int(x) for x in limits])).select(
+        "context_limit", (F.col("tokens") - tokens + F.col("context_limit") * docs).alias("truncated_total"), (docs - same).alias("docs_over")
     )
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """(share, length): the least length that at least that share of documents does not exceed."""
-    upto = sums.select("length", (F.col("docs_total") - F.col("docs_from") + F.col("n_docs")).alias("upto"), "docs_total")
-    asked = upto.select(F.explode(F.array(*map(F.lit, shares))).alias("share"), "length", "upto", "docs_total")
-    return asked.where("upto >= share * docs_total").groupBy("share").agg(F.min("length").alias("length"))
+    asked = sums.select(F.explode(F.array(*map(F.lit, shares))).alias("share"), "length", "docs_upto", "docs_total")
+    return asked.where("docs_upto >= share * docs_total").groupBy("share").agg(F.min("length").alias("length"))
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
+    """The suffix sums of documents at every length that one of them has, in the cases of length_histogram."""
     # The histogram is read three times by its sums: it is written once, so that texts are encoded once.
     return suffix_sums(written(length_histogram(table(spark, sf_dir, "documents")), "lengths"))
