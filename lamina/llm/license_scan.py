@@ -25,7 +25,25 @@ from pyspark.sql import types as T
 from lamina.llm.util import fresh, table
 
 LEAST_DICE = 0.8
-#: Notices by which documents commonly name their licence (fixed values).
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission. "
+)
+_BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Notices by which documents commonly name their licence, and whole texts of short licences (fixed values).
 TEMPLATES = {
     "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -33,18 +51,49 @@ TEMPLATES = {
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
     ),
+    "bsd-2-clause-text": _BSD_HEAD + _BSD_TAIL,
     "bsd-3-clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "bsd-3-clause-text": _BSD_HEAD + _BSD_NAMES + _BSD_TAIL,
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        'the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS '
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR "
+        "BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
     "mit": "Released under the MIT License.",
     "mit-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."
     ),
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+        'software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
 }
 _WORD = re.compile(r"[^\W_]+").findall
 FOUND = T.ArrayType(
@@ -152,11 +201,13 @@ def _places(text: str) -> list[tuple[int, int]]:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE, into: str = "licenses") -> DataFrame:
-    """docs with an array of (license, common, sizes, unit), one for every template that is the best match of
-    some unit or window of the text, with a Dice coefficient common / sizes of at least ``least``, by name; a column named like into is replaced.
+    """docs with an array of (license, common, sizes, unit), one for every template that is the best match of some unit or
+    window of the text, with a Dice coefficient common / sizes of at least ``least``, by name; a column named like into
+    is replaced, all others pass through.
 
-    The unit is the best match, the first of equals; the best window stands for it where no unit matches. Null or empty text has none, like a text of one word. Templates of
-    fewer than two words match nothing. Nothing is shuffled.
+    The unit is the best match, the first of equals; the best window stands for it where no unit matches. Null or empty
+    text has none, like a text of one word. Templates of fewer than two words match nothing. Very long texts are scanned
+    whole, one at a time. Repeated rows get equal arrays; an empty table gives an empty one. Nothing is shuffled.
     """
 
     @F.arrow_udf(FOUND)
@@ -169,6 +220,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
+    """One row for each licence of a document, or one of nulls for a document without, in the cases of scan_licenses."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     (found,) = fresh("found", taken=docs.columns)
     rows = scan_licenses(docs, into=found).select("doc_id", F.explode_outer(found).alias("x"))
