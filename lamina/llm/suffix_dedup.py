@@ -147,10 +147,14 @@ def _stretches(batches, length: int):
         yield pa.RecordBatch.from_pydict({n: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for n, x in zip(("g", "h", "doc", "at"), out, strict=True)})
 
 
-def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(i_doc, i_tag, whole, parts) for the documents of docs(doc, tag, text) that hold repeats: the positions of the
-    anchors whose contexts repeat as a whole, and (position, hash, whether the hash is crowded) of those to compare with
-    other contexts."""
+def _ready(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text, tag): doc_id with a number for null, and what tells apart rows that repeat one."""
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text").withColumn("tag", F.expr("shiftright(crc32(CAST(coalesce(text, '') AS BINARY)), 1)"))
+
+
+def _anchored(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, int]:
+    """Written tables of the anchors (g, c, doc, at) of docs(doc, tag, text) whose bytes occur more than once, and of
+    their classes (g, c, n, first), and how many anchors there are."""
     lean = docs.select("doc", "text", "tag")
     often = written(_anchor_table(lean, length, False).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     discard(docs)
@@ -159,6 +163,14 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(often)
     classes = written(rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("first")), "classes")
     discard(docs)
+    return rows, classes, total
+
+
+def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(i_doc, i_tag, whole, parts) for the documents of docs(doc, tag, text) that hold repeats: the positions of the
+    anchors whose contexts repeat as a whole, and (position, hash, whether the hash is crowded) of those to compare with
+    other contexts."""
+    rows, classes, total = _anchored(docs, length)
     sizes = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     later = keyed_join(rows, classes.where("n > 1").select("g", "c", "first", "n"), ["g", "c"], "n", total).where("doc <> first.doc OR at <> first.at").select("doc", "at", F.lit(False).alias("asks"))
     asks = keyed_join(classes.select("g", "first"), sizes, ["g"], "classes", classes.count()).select("first.doc", "first.at", F.lit(True).alias("asks"), "g", (F.col("classes") > CROWD).alias("crowd"))
@@ -232,7 +244,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> Dat
     that repeat both are one document and lose the same bytes. Texts shorter than length lose nothing. An empty table
     gives an empty result. Very long texts are hashed in steps. Positions within a text are below 2**31.
     """
-    ready = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text").withColumn("tag", F.expr("shiftright(crc32(CAST(coalesce(text, '') AS BINARY)), 1)"))
+    ready = _ready(docs)
     info = marked(ready, length)
     here = (F.col("doc") == F.col("i_doc")) & (F.col("tag") == F.col("i_tag"))
     asking = ready.join(info.where("size(parts) > 0").select("i_doc", "i_tag", "parts"), here)
@@ -255,11 +267,84 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> Dat
     return met.select("doc_id", _cutter(length, keep)("text", "whole", "more").alias("c")).select("doc_id", "c.*")
 
 
-def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, begin, end): every removed span; see cut_repeats."""
     return cut_repeats(docs, length, keep=False).select("doc_id", F.inline("spans"))
 
 
+GROUPS = "bytes binary, g long, doc long, at long, behind int, ahead int"
+
+
+def _group_members(batches, length: int):
+    """(digest of the bytes, g, doc, at, left and right extension) of every member of the maximal repeats among contexts
+    (g, doc, at, left, right, crowd) sorted by g, whole contexts included; of crowded hashes the members of the roots."""
+    g, rows, out = None, [], []
+
+    def add(row, behind, ahead):
+        doc, at, left, right, _ = row
+        out.append((hashlib.md5(left[len(left) - behind :] + right[:ahead]).digest(), g, doc, at, behind, ahead))
+
+    def close():
+        for row in rows:
+            add(row, len(row[2]), len(row[3]))
+        for behind, ahead, members in maximal_groups([r[3] for r in rows], [r[2] for r in rows], length):
+            for k in members:
+                add(rows[k], behind, ahead)
+
+    def batch_of():
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["bytes", "g", "doc", "at", "behind", "ahead"])
+
+    for batch in batches:
+        for key, *row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if key != g:
+                close()
+                g, rows = key, []
+            if row[4]:
+                for behind in range(max(0, length - len(row[3])), min(len(row[2]), length - GRAM) + 1):
+                    add(row, behind, length - behind)
+                add(row, len(row[2]), len(row[3]))
+            else:
+                rows.append(row)
+            if len(out) > 50_000:
+                yield batch_of()
+                out = []
+    close()
+    yield batch_of()
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(repeat, doc_id, begin, end) of every occurrence, the first included, of every maximal repeat of at least length
+    bytes in docs(doc_id, text); repeat is a digest of its bytes.
+
+    Repeats are maximal within the contexts of their anchors (see anchors): no byte can be added on either side, within
+    length - GRAM bytes before and length after an anchor, without losing an occurrence. So each string of length bytes
+    that occurs twice lies in a repeat with exactly its occurrences, and a longer passage is a chain of overlapping
+    repeats. Of hashes with more than CROWD contexts the strings of length bytes themselves, and whole contexts, are
+    given. The cases of cut_repeats hold; rows that repeat doc_id and text are one document.
+    """
+    ready = _ready(docs).distinct()
+    rows, classes, _ = _anchored(ready, length)
+    sizes = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"))
+    asked = keyed_join(classes, sizes, ["g"], "classes", classes.count()).where("n > 1 OR classes > 1")
+    parts = asked.selectExpr("first.doc AS i_doc", "shiftright(first.at, 32) AS i_tag", f"struct(CAST(first.at & 4294967295 AS INT) AS p, g, classes > {CROWD} AS crowd) AS part")
+    parts = parts.groupBy("i_doc", "i_tag").agg(F.collect_list("part").alias("parts"))
+    met = ready.join(parts, (F.col("doc") == F.col("i_doc")) & (F.col("tag") == F.col("i_tag")))
+    pieces = met.select("doc", F.explode(_pieces(length)("text", "tag", "parts")).alias("x")).select("x.g", "doc", "x.at", "x.left", "x.right", "x.crowd")
+    # Contexts of a crowded hash need not meet: they are dealt by document.
+    dealt = pieces.repartition(F.col("g"), F.when(F.col("crowd"), F.xxhash64("doc", "at"))).sortWithinPartitions("g")
+    members = dealt.mapInArrow(lambda batches: _group_members(batches, length), GROUPS)
+    first = classes.select(F.col("g").alias("c_g"), "c", F.col("first.doc").alias("c_doc"), F.col("first.at").alias("c_at"))
+    of_class = members.join(first, (F.col("g") == F.col("c_g")) & (F.col("doc") == F.col("c_doc")) & (F.col("at") == F.col("c_at"))).select("bytes", "behind", "ahead", "c_g", "c")
+    every = of_class.join(rows, (F.col("c_g") == F.col("g")) & (of_class["c"] == rows["c"]))
+    place = every.selectExpr("bytes", "doc", "shiftright(at, 32) AS tag", "CAST(at & 4294967295 AS INT) - behind AS begin", "CAST(at & 4294967295 AS INT) + ahead AS end").distinct()
+    place = written(place, "occurrences")
+    many = place.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = keyed_join(place, many, ["bytes"], "n", place.count())
+    return kept.select(F.hex("bytes").alias("repeat"), F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "begin", "end")
+
+
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """One row for each row of documents, in the cases of cut_repeats."""
     cut = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)

@@ -241,6 +241,37 @@ def test_repeats(spark, clashing, nothing, monkeypatch, crowd):
     assert suffix_dedup.cut_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [8192, 1])
+def test_maximal_repeats(spark, nothing, monkeypatch, crowd):
+    """Every string of 100 bytes that occurs twice lies in a repeat with exactly its occurrences; occurrences of a repeat
+    have equal bytes."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(400))
+    texts = {k: "".join(r.choice("xyz é") for _ in range(r.randint(0, 60))) + passage[a : a + r.randint(90, 200)] + "".join(r.choice("xyz") for _ in range(r.randint(0, 60))) for k, a in enumerate(r.choices(range(220), k=40))}
+    texts |= {100: passage, 101: passage, 102: passage + passage[:150], 103: "a" * 230, 104: "", 105: passage[:99]}
+    rows = spark.createDataFrame([*texts.items(), (100, passage), (106, None)], "doc_id long, text string")
+    groups = defaultdict(set)
+    for x in suffix_dedup.maximal_repeats(rows).collect():
+        groups[x.repeat].add((x.doc_id, x.begin, x.end))
+    raw = {k: (t or "").encode() for k, t in texts.items()}
+    spread = defaultdict(set)
+    for members in groups.values():
+        bytes_ = {raw[d][a:b] for d, a, b in members}
+        assert len(members) > 1 and len(bytes_) == 1 and (n := len(bytes_.pop())) >= 100
+        for o in range(n - 99):
+            spread[frozenset((d, a + o) for d, a, _ in members)].add(n)
+    at = defaultdict(set)
+    for k, t in raw.items():
+        for p in range(len(t) - 99):
+            at[t[p : p + 100]].add((k, p))
+    wanted = [frozenset(v) for v in at.values() if len(v) > 1]
+    assert wanted and all(v in spread for v in wanted)
+    assert suffix_dedup.maximal_repeats(nothing).count() == 0
+    spans = [(x.doc_id, x.begin, x.end) for x in suffix_dedup.removed_spans(rows).collect()]
+    assert (101, 0, 400) in spans
+
+
 def test_maximal_groups():
     texts = [b"xxhello world", b"yyhello worms", b"zzhello there", b"xxhello world"]
     at = [t.index(b"llo") for t in texts]
