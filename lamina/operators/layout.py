@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,18 +59,35 @@ def admitted(df: DataFrame, size: str, tie: str, k: int, allowed: int, by: list[
     return running.groupBy(*by).agg(F.greatest(F.lit(1), F.count_if(F.col("upto") < allowed)).cast("bigint").alias("readers"))
 
 
-def greedy_parts(df: DataFrame, weight: str, order: str, by: list[str], parts: int, into: str = "part") -> DataFrame:
+def greedy_parts(df: DataFrame, weight: str, order: str, by: list[str], parts: int, into: str = "part", run: int | None = None) -> DataFrame:
     """df with the part of each row: an item goes to the part in which the middle of its weight lies, at most one new
-    part is opened with an item, and no part lies beyond the last. Two windows over by, no loop."""
-    group = Window.partitionBy(*by)
-    upto = group.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    i = (F.row_number().over(group.orderBy(order)) - 1).cast("bigint")
-    placed = df.withColumn("__i", i).withColumn("__p", F.sum(weight).over(upto).cast("bigint")).withColumn("__s", F.sum(weight).over(group).cast("bigint")).withColumn("__n", F.count(F.lit(1)).over(group))
+    part is opened with an item, and no part lies beyond the last. No loop: running counts, sums and a running minimum.
+
+    For long groups run cuts a whole-numbered order into runs of that many values: sums and minima go over the runs first
+    and then within each, so no task sorts a whole group.
+    """
+    cut = df.withColumn("__run", F.expr(f"{order} div {int(run)}") if run else F.lit(0).cast("bigint"))
+    same = lambda: reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in [*by, "__run"]))
+    key = [F.col(c).alias(f"__of_{c}") for c in [*by, "__run"]]
+    before = Window.partitionBy(*(f"__of_{c}" for c in by)).orderBy("__of___run").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*(f"__of_{c}" for c in by))
+    runs = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("__c"), F.sum(weight).cast("bigint").alias("__w"))
+    bases = runs.select(
+        *(f"__of_{c}" for c in [*by, "__run"]), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__i0"), F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__p0"),
+        F.sum("__c").over(whole).alias("__n"), F.sum("__w").over(whole).alias("__s"),
+    )
+    within = Window.partitionBy(*by, "__run").orderBy(order)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = cut.withColumn("__i", (F.row_number().over(within) - 1).cast("bigint")).withColumn("__p", F.sum(weight).over(upto).cast("bigint"))
+    placed = numbered.join(bases, same()).withColumn("__i", F.col("__i") + F.col("__i0")).withColumn("__p", F.col("__p") + F.col("__p0"))
     x = f"(least(__n, {int(parts)}) * (2 * __p - {weight}))"
     middle = placed.withColumn("__g", F.expr(f"CASE WHEN __s = 0 THEN 0L ELSE greatest(0L, {x} div (2 * __s) + CASE WHEN {x} % (2 * __s) <> 0 THEN 1L ELSE 0L END - 1L) END"))
-    slack = F.min(F.col("__g") - F.col("__i")).over(upto)
+    middle = middle.withColumn("__slack", F.col("__g") - F.col("__i")).drop(*(f"__of_{c}" for c in [*by, "__run"]))
+    least = middle.groupBy(*key).agg(F.min("__slack").alias("__m")).select(*(f"__of_{c}" for c in [*by, "__run"]), F.min("__m").over(before).alias("__m0"))
+    met = middle.withColumn("__slack", F.min("__slack").over(upto)).join(least, same())
+    slack = F.least(F.col("__slack"), F.coalesce("__m0", F.col("__slack")))
     part = F.when((F.col("__s") == 0) | (F.least("__n", F.lit(parts)) <= 1), F.lit(0)).otherwise(F.least(F.col("__i") + 1, F.col("__i") + slack, F.least("__n", F.lit(parts)) - 1))
-    return middle.withColumn(into, part.cast("bigint")).drop("__i", "__p", "__s", "__n", "__g")
+    return met.select(*(F.col(f"`{c}`") for c in df.columns if c != into), part.cast("bigint").alias(into))
 
 
 def best_cuts(weights: list[int], parts: int) -> list[int]:

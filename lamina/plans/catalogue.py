@@ -98,7 +98,7 @@ def ram_admission(spark, sf_dir):
     SELECT lang, doc_id, w AS n_bytes, CASE WHEN s = 0 OR k <= 1 THEN 0 ELSE least(i + 1, i + min(g - i) OVER (PARTITION BY lang ORDER BY doc_id), k - 1) END::BIGINT AS part FROM c""")
 def greedy_partition(spark, sf_dir):
     """Each language's texts cut into eight contiguous parts of about equal bytes."""
-    return layout.greedy_parts(_bytes(table(spark, sf_dir, "documents")).select("lang", "doc_id", "n_bytes"), "n_bytes", "doc_id", ["lang"], 8)
+    return layout.greedy_parts(_bytes(table(spark, sf_dir, "documents")).select("lang", "doc_id", "n_bytes"), "n_bytes", "doc_id", ["lang"], 8, run=64)
 
 
 @query("""WITH a AS (SELECT p_size, p_partkey, p_size * (p_partkey % 7 + 1) AS w FROM part),

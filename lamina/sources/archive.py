@@ -123,7 +123,7 @@ def rows_of(relation: str, archive: str, file, header: codec.FileHeader, chosen:
             for _, x in chosen:
                 size += len(payload(file, header, x, secret, verify)[1])
             status = getattr(getattr(file, "raw", file), "cache_status", None)
-            yield archive, chosen[0][0], chosen[-1][0], len(chosen), size, time.perf_counter() - began, status
+            yield archive, chosen[0][0], chosen[-1][0], len(chosen), size, time.perf_counter() - began, status or None
             return
         elif relation == "headers":
             file.seek(e.header_offset)

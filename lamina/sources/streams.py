@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import os
+import ssl
 import time
+import urllib.error
 import urllib.request
 from pathlib import Path
 from urllib.parse import urlsplit
@@ -14,14 +16,16 @@ READ_MODES, WRITE_MODES = {"rb"}, {"wb", "wb+", "ab", "rb+"}
 
 class HttpRange(io.RawIOBase):
     """A seekable view of begin <= k < end of an HTTP resource. Seeking forward within the open response reads on,
-    anything else sends a new range request; counters tell what was read, skipped and waited for."""
+    anything else sends a new range request; counters tell what was read, skipped and waited for. Requests that fail
+    before an answer, or with a server error, are sent again up to retries times; context has certificates, if any."""
 
     response = None
 
-    def __init__(self, uri: str, begin: int = 0, end: int | None = None, headers: dict | None = None, skip_up_to: int = 1 << 20):
+    def __init__(self, uri: str, begin: int = 0, end: int | None = None, headers: dict | None = None, skip_up_to: int = 1 << 20, retries: int = 2, context: ssl.SSLContext | None = None):
         if begin < 0 or (end is not None and end <= begin):
             raise ValueError("a range must begin at 0 or later and end after its begin")
         self.uri, self.begin, self.end, self.headers, self.skip_up_to = uri, begin, end, dict(headers or {}), skip_up_to
+        self.retries, self.context = retries, context
         self.at, self.response_headers = begin, {}
         self.bytes_read = self.bytes_skipped = self.requests = 0
         self.first_byte_seconds = 0.0
@@ -32,7 +36,14 @@ class HttpRange(io.RawIOBase):
         last = "" if self.end is None else str(self.end - 1)
         began = time.monotonic()
         request = urllib.request.Request(self.uri, headers=self.headers | {"Range": f"bytes={self.at}-{last}"})
-        self.response = urllib.request.urlopen(request)
+        for turn in range(self.retries + 1):
+            try:
+                self.response = urllib.request.urlopen(request, context=self.context)
+                break
+            except urllib.error.URLError as e:
+                if turn == self.retries or (isinstance(e, urllib.error.HTTPError) and e.code < 500):
+                    raise
+                time.sleep(0.1 * 2**turn)
         if self.at and self.response.status != 206:
             self.response.close()
             raise OSError(f"{self.uri} does not serve byte ranges")
