@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.functions import scalars as fn
 from lamina.operators import crypto, dedupe, layout, logs, relate, select, tree, verify
@@ -739,7 +740,7 @@ def model_roundtrip(spark, sf_dir):
     return found.select("label", "name", "dtype", "n", "kind", F.round(total, 6).alias("digest"))
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _floats(payloads: pa.Array) -> pa.Array:
     return pa.array([np.frombuffer(x, "<f4").astype(float) for x in payloads.to_pylist()], pa.list_(pa.float64()))
 
