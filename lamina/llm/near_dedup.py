@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from lamina.llm.graph import components
 from lamina.llm.shingles import shingle_hashes, word_hashes
-from lamina.llm.util import discard, fresh, keyed_join, mix64, portions, quoted, table, utf8, written
+from lamina.llm.util import discard, fresh, mix64, portions, quoted, table, utf8, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 PLACES, BANDS, ROWS = 128, 25, 5
@@ -174,7 +174,8 @@ def content_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_rows = rows.select("doc_id", "node")
     keys = nodes.where("size(bands) > 0").select("node", F.explode("bands").alias("key"))
     shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
-    buckets = written(keyed_join(keys, shared, ["key"], "n", nodes.count() * BANDS), "buckets")
+    # Rows of a key are few columns wide, and AQE splits the partitions of hot keys.
+    buckets = written(keys.join(shared, "key"), "buckets")
     if buckets.isEmpty():
         classes = written(nodes.select("node", "own", F.col("own").alias("class_id"), F.col("node").alias("first")), "classes")
         discard(nodes, shared, buckets)
@@ -194,8 +195,8 @@ def content_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return found
 
     meets = buckets.groupBy("node").agg(F.sum("n").alias("met"))
-    leaders = buckets.join(meets, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("top"), F.max("n").alias("many")).selectExpr("key", "top.node AS a", "many")
-    led = keyed_join(buckets, written(leaders, "leaders"), ["key"], "many", buckets.count()).where("node <> a")
+    leaders = buckets.join(meets, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("top")).selectExpr("key", "top.node AS a")
+    led = buckets.join(leaders, "key").where("node <> a")
     links = check(led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
     known = written(buckets.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "known")
     more = written(_block_links(known, bags), "more")
