@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.util import WORD_PATTERN, fresh, quoted, table, written
+from lamina.llm.util import WORD_PATTERN, broadcast_if_small, fresh, quoted, table, written
 
 #: Hash buckets of a leaf, by the first hex digits of the hash.
 BUCKET_DIGITS = 3
@@ -91,7 +91,8 @@ def mix(
     nodes like any value; null or empty text has no tokens and is chosen whenever its place in the order comes within
     the budget; a null doc_id is hashed as an empty string. Rows with the same doc_id, or hash, in a leaf are in or out
     together. A text longer than what is left of a budget ends its prefix. An empty table gives an empty result. Plans
-    have one row for each leaf; beyond Spark's broadcast threshold they are joined by shuffle, and AQE splits hot leaves.
+    have one row for each leaf and are broadcast, so that no text is shuffled; where they take more than
+    util.BROADCAST_BYTES they are joined by shuffle, and AQE splits hot leaves.
     """
     tag, units, h, bucket, at, cut, copies, turn = fresh("leaf", "units", "hash", "bucket", "at", "cut", "copies", "turn", taken=[*docs.columns, "n_tokens", "epoch"])
     counted = F.coalesce(F.expr(tokens) if tokens else F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
@@ -105,11 +106,11 @@ def mix(
     )
     p = dict(zip(plan.columns, fresh(*plan.columns, taken=[*docs.columns, tag, units, h, bucket, at, cut, copies, turn, "n_tokens", "epoch"]), strict=True))
     plan, whole, rest = plan.withColumnsRenamed(p), p["p_whole"], p["p_rest"]
-    leaf = [p[f"p_{n}"] for n in LEVELS]
+    leaf, side = [p[f"p_{n}"] for n in LEVELS], broadcast_if_small(shares, list(LEVELS))
     here = reduce(lambda x, y: x & y, (F.col(f"{tag}.{n}").eqNullSafe(F.col(c)) for n, c in zip(LEVELS, leaf, strict=True)))
 
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(whole).cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    place = lean.join(plan, here).withColumn(h, order).withColumn(bucket, F.substring(h, 1, BUCKET_DIGITS))
+    place = lean.join(side(plan), here).withColumn(h, order).withColumn(bucket, F.substring(h, 1, BUCKET_DIGITS))
     by_bucket = place.groupBy(*leaf, bucket).agg(F.sum(units).alias("tokens"), F.max(rest).alias("rest"))
     running = Window.partitionBy(*leaf).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The bucket in which a leaf's budget ends, and what is left for it; none if all buckets fit.
@@ -118,7 +119,7 @@ def mix(
         .agg(F.min(F.struct(F.col(bucket).alias("b"), (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))).alias("e"))
         .select(*(F.col(c).alias(f"e_{n}") for n, c in zip(LEVELS, leaf, strict=True)), "e.b", "e.left")
     )
-    last = place.join(ends, _same(LEVELS, "e_", tag) & (F.col(bucket) == F.col("b")))
+    last = place.join(side(ends), _same(LEVELS, "e_", tag) & (F.col(bucket) == F.col("b")))
     inside = Window.partitionBy(tag).orderBy(h).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # For each leaf the last hash that is still in: everything with a smaller or equal hash is read once more.
     limits = (
@@ -128,7 +129,7 @@ def mix(
     )
     in_limits = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"c_{n}")) for n, c in zip(LEVELS, leaf, strict=True)))
     full = plan.join(limits, in_limits, "left").select(*leaf, whole, F.coalesce("c_cut", F.lit("g")).alias(cut))
-    chosen = ready.join(full, here).withColumn(copies, F.col(whole) + F.when(order <= F.col(cut), 1).otherwise(0)).where(F.col(copies) > 0)
+    chosen = ready.join(side(full), here).withColumn(copies, F.col(whole) + F.when(order <= F.col(cut), 1).otherwise(0)).where(F.col(copies) > 0)
     read = chosen.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1)))
     # Tokens are counted again only in the rows chosen.
     return read.select(*(quoted(c) for c in docs.columns if c.lower() not in ("n_tokens", "epoch")), counted.alias("n_tokens"), F.col(turn).alias("epoch"))

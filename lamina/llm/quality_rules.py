@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.util import BLANK, fresh, quoted, table, written
+from lamina.llm.util import BLANK, broadcast_if_small, fresh, quoted, table, written
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -37,8 +37,8 @@ RULES = {
 TWO_SIDED = ("word_length",)
 #: How many times its language's limit a group's may be, and a language's the corpus's.
 SLACK = 2
-#: Bytes of limits that are broadcast at most; beyond, documents and limits meet by a salted join of so many salts.
-BROADCAST_BYTES, SALTS = 16 << 20, 32
+#: Salts of the join of documents and limits where these are too many to broadcast.
+SALTS = 32
 #: Groups of fewer documents take the fence of their language, small languages that of the corpus.
 LEAST_DOCUMENTS = 200
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -150,10 +150,10 @@ def _judged(rated: DataFrame, limits: DataFrame) -> DataFrame:
     """rated(lang, source, quality, base_failed, ...) with kept; limits is a written table of fences()."""
     columns = [*rated.columns, "kept"]
     named = dict(zip(limits.columns, fresh(*limits.columns, taken=columns), strict=True))
-    limits_, bytes_ = limits.withColumnsRenamed(named), F.sum(F.coalesce(F.octet_length("lang"), F.lit(0)) + F.coalesce(F.octet_length("source"), F.lit(0)) + 100)
+    limits_, side = limits.withColumnsRenamed(named), broadcast_if_small(limits, ["lang", "source"])
     same = F.col("lang").eqNullSafe(F.col(named["lang"])) & F.col("source").eqNullSafe(F.col(named["source"]))
-    if (limits.agg(bytes_).first()[0] or 0) <= BROADCAST_BYTES:
-        joined = rated.join(F.broadcast(limits_), same, "left")
+    if side is F.broadcast:
+        joined = rated.join(side(limits_), same, "left")
     else:
         salt, of = fresh("salt", "of_salt", taken=[*columns, *named.values()])
         dealt = rated.withColumn(salt, F.pmod(F.xxhash64(*(quoted(c) for c in rated.columns if c not in ("lang", "source"))), F.lit(SALTS)))
@@ -190,7 +190,7 @@ def quality_verdicts(docs: DataFrame, least: int = LEAST_DOCUMENTS, keep_text: b
     judged alike. An empty table gives an empty result. Very long texts are counted whole, one at a time. Only documents
     that pass the base rules enter the sketches. With keep_text texts are read and counted twice, once for the sketches
     and once for the joined filter; without it the counts are written in between, and the result has no text. No text
-    is shuffled or written, unless the limits of all groups take more than BROADCAST_BYTES.
+    is shuffled or written, unless the limits of all groups take more than util.BROADCAST_BYTES.
     """
     if keep_text:
         return _judged(_rated(docs), quality_limits(docs, least))

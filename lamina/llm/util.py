@@ -7,6 +7,7 @@ import itertools
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ BLANK = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch of documents.
 BATCH_BYTES = 4 << 20
+#: Bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 16 << 20
 #: A key with more than one in so many rows is hot; there are fewer hot keys than this, whatever the table.
 HOT = 2000
 _ids = itertools.count()
@@ -77,6 +80,13 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def broadcast_if_small(measured: DataFrame, texts: list[str]):
+    """F.broadcast if the rows of a written table, with the texts named and a hundred bytes for all else, take at most
+    BROADCAST_BYTES; otherwise what gives its argument back. For tables of one row for each such row."""
+    size = reduce(lambda x, y: x + y, (F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(100))
+    return F.broadcast if (measured.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else (lambda df: df)
+
+
 def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
     """rows joined with keys, which has one row for each key and in n how many of the total rows have it. Hot keys, of
     which there are fewer than HOT, are broadcast, so that their rows stay where they are; the others meet by shuffle."""

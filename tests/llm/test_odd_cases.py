@@ -59,9 +59,10 @@ def test_stages_with_odd_names(spark, odd_names):
 
 
 def test_limits_by_salted_join(small, monkeypatch):
-    want = sorted(map(str, quality_rules.quality_verdicts(small).collect()))
-    monkeypatch.setattr(quality_rules, "BROADCAST_BYTES", -1)
+    want, mixed = (sorted(map(str, f(small).collect())) for f in (quality_rules.quality_verdicts, mixing.mix))
+    monkeypatch.setattr(util, "BROADCAST_BYTES", -1)
     assert sorted(map(str, quality_rules.quality_verdicts(small).collect())) == want
+    assert sorted(map(str, mixing.mix(small).collect())) == mixed
 
 
 def test_every_rule_rejects(spark):
