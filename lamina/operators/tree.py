@@ -119,6 +119,11 @@ def below(df: DataFrame, path: str, prefix: list[Column]) -> DataFrame:
     return df.where(F.slice(path, 1, max(n, 1)) == steps if n else F.lit(True)).withColumn(path, F.slice(path, n + 1, F.greatest(F.size(path) - n, F.lit(0))))
 
 
+def prune(df: DataFrame, selected: DataFrame, path: str) -> DataFrame:
+    """The leaves of df whose paths selected(path) has; branches left without leaves have no rows."""
+    return df.join(selected.select(path).distinct(), path, "left_semi")
+
+
 def gather_list(df: DataFrame, parent: list[str], index: str, value: Column) -> DataFrame:
     """(parent..., items): the values of each parent's indexed children in the order of their indexes, gaps closed."""
     pair = F.struct(F.col(index).alias("i"), value.alias("v"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina import archive as facade
 from lamina.functions import scalars as fn
 from lamina.operators import crypto, dedupe, layout, logs, relate, select, tree, verify
 from lamina.sources import archive, model_proto, npy, pack
@@ -183,6 +184,14 @@ def tree_below(spark, sf_dir):
     return tree.below(rows, "path", [tree.key_step(F.lit(first))]).select(tree.path_text("path").alias("path_json"), "n_bytes")
 
 
+@query("""SELECT '["' || conv_id || '",' || turn || ']' AS path_json, count(*) AS n FROM conversations WHERE role = 'user' OR turn = 0 GROUP BY ALL""")
+def tree_prune(spark, sf_dir):
+    """Leaves of conversations that a selection names."""
+    rows = table(spark, sf_dir, "conversations").withColumn("path", F.array(tree.key_step(F.col("conv_id")), tree.index_step(F.col("turn")), tree.key_step(F.col("role"))))
+    kept = tree.prune(rows.select("path"), rows.where("role = 'user' OR turn = 0"), "path").withColumn("path", F.slice("path", 1, 2))
+    return kept.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select(tree.path_text("path").alias("path_json"), "n")
+
+
 @query("""SELECT doc_id, '["' || lang || '",' || doc_id || ',"' || source || '"]' AS path_json, 3 AS depth FROM documents""")
 def path_codec(spark, sf_dir):
     """Paths written as structured names and parsed again."""
@@ -533,6 +542,17 @@ def complete_rows(spark, sf_dir):
     return logs.complete_rows(rows, ["user_id", "size"], {"user_id": "int", "size": "double"})
 
 
+@query("""SELECT event_type AS nodename, count(*) AS n, round(avg(value), 6) AS mean_rate, count(*) FILTER (WHERE event_id % 2 = 0) AS lazy FROM events GROUP BY event_type""")
+def log_files(spark, sf_dir):
+    """Log rows written as JSON lines into two folders, and both read again by the schema of logs."""
+    folder = scratch(spark)
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("nodename"), F.col("value").alias("rate"), (F.col("event_id") % 2 == 0).alias("lazy_load"))
+    logs.write_logs(rows.where("lazy_load"), f"{folder}/a")
+    logs.write_logs(rows.where("NOT lazy_load"), f"{folder}/b")
+    read = logs.read_logs(spark, f"{folder}/a", f"{folder}/b")
+    return read.groupBy("nodename").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rate"), 6).alias("mean_rate"), F.count_if("lazy_load").alias("lazy"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def value_counts(spark, sf_dir):
     return logs.value_counts(table(spark, sf_dir, "events"), "event_type")
@@ -689,11 +709,11 @@ def headers_verify(spark, sf_dir):
     return both.select("name", "data_length", ((verify.sha256(*whole) == F.col("sha256")) & (verify.crc32(*whole) == F.col("crc32"))).alias("intact"))
 
 
-def _keyed(spark) -> tuple[str, str]:
-    """A new folder and a file in it that holds a random key."""
+def _keyed(spark, secret: bytes | None = None) -> tuple[str, str]:
+    """A new folder and a file in it that holds the secret, or a random key."""
     folder = scratch(spark)
     with open(f"{folder}/key", "wb") as file:
-        file.write(crypto.random_key())
+        file.write(secret or crypto.random_key())
     return folder, f"{folder}/key"
 
 
@@ -705,6 +725,36 @@ def encrypt_roundtrip(spark, sf_dir):
     return archive.read(spark, f"{folder}/vectors.arr", "elements", keyFile=key, verify="true").select("name", "flat_index", "value")
 
 
+@query(_ELEMENTS)
+def encrypt_passphrase(spark, sf_dir):
+    """Vectors sealed under a key derived from a passphrase, each task's with a salt of its own in the records."""
+    folder, key = _keyed(spark, b"a passphrase")
+    archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), f"{folder}/vectors.arr", encrypt="true", keyFile=key, keyKind="passphrase", cost="min")
+    return archive.read(spark, f"{folder}/vectors.arr", "elements", keyFile=key, keyKind="passphrase", verify="true").select("name", "flat_index", "value")
+
+
+@query("""SELECT '["' || r_name || '",' || (row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1) || ']' AS name, 0::BIGINT AS flat_index, n_nationkey::DOUBLE AS value
+    FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def state_dict_roundtrip(spark, sf_dir):
+    """A nested structure of arrays, one list for each region, saved by the mapping facade and read as elements."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()
+    state: dict[str, list] = {}
+    for r in rows:
+        state.setdefault(r.r_name, []).append(np.array([r.n_nationkey], "<i4"))
+    path = f"{scratch(spark)}/state.arr"
+    facade.save(state, path)
+    return archive.read(spark, path, "elements", verify="true").select("name", "flat_index", "value")
+
+
+@query("SELECT true AS written, false AS again, count(*) AS arrays FROM embeddings WHERE label = 0")
+def write_once(spark, sf_dir):
+    """An archive that is there is left alone unless told otherwise."""
+    path = f"{scratch(spark)}/vectors.arr"
+    rows = pack.vectors(table(spark, sf_dir, "embeddings").where("label = 0"), "vec_id", "embedding")
+    written, again = archive.write(rows, path, force=False), archive.write(rows.limit(1), path, force=False)
+    return archive.read(spark, path, "catalog").agg(F.count(F.lit(1)).alias("arrays")).select(F.lit(written).alias("written"), F.lit(again).alias("again"), "arrays")
+
+
 @query(_ELEMENTS)
 def encrypt_copy(spark, sf_dir):
     """A plain archive of vectors copied to an encrypted one, that to a plain one, and this read."""
