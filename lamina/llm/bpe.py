@@ -17,7 +17,7 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.util import table
+from lamina.llm.util import held, lean, table
 
 #: Distinct words whose ids a worker remembers, in two generations of half as many, and the longest such word.
-MEMORY, LONGEST_KEPT = 200_000, 64
+MEMORY, LONGEST_KEPT = 150_000, 64
 #: Words of a text encoded at once, so that one text with many different words doesn't outgrow the memory.
 WORDS = 1 << 15
 #: Stands for the end-of-word mark inside the automaton; no byte maps to it.
@@ -246,9 +246,8 @@ class OffsetTable:
             yield self.blob[np.arange(ends[-1]) + np.repeat(self.offsets[part] - ends + sizes, sizes)].tobytes()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held(("codec", path), lambda: Codec(path))
 
 
 def default_vocabulary() -> str:
@@ -264,6 +263,7 @@ def encode_texts(docs: DataFrame, into: str = "ids", path: str | None = None) ->
     path = path or default_vocabulary()
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @lean
     def encode(texts: pa.Array) -> pa.Array:
         c = codec(path)
         return _lists([c.encode(t.as_py() or "") for t in texts])
@@ -282,6 +282,7 @@ def decode_ids(docs: DataFrame, ids: str = "ids", into: str = "decoded", path: s
     path = path or default_vocabulary()
 
     @F.arrow_udf(T.StringType())
+    @lean
     def decode(rows: pa.Array) -> pa.Array:
         c = codec(path)
         return pa.array([c.decode(np.asarray(r.values)).decode() if r.is_valid and len(r) else "" for r in rows], pa.string())
@@ -297,6 +298,7 @@ def with_round_trip(docs: DataFrame, into: str = "bpe", path: str | None = None)
     path = path or default_vocabulary()
 
     @F.arrow_udf(PAIR_TYPE)
+    @lean
     def both(texts: pa.Array) -> pa.Array:
         c = codec(path)
         ids = [c.encode(t.as_py() or "") for t in texts]
@@ -314,6 +316,7 @@ def with_digests(docs: DataFrame, into: str = "bpe", path: str | None = None) ->
     path = path or default_vocabulary()
 
     @F.arrow_udf(DIGEST_TYPE)
+    @lean
     def digests(texts: pa.Array) -> pa.Array:
         c, rows = codec(path), ([], [], [])
         for t in texts:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.util import fresh, table
+from lamina.llm.util import fresh, held, lean, table
 
 LEAST_DICE = 0.8
 _BSD_HEAD = (
@@ -211,8 +211,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     """
 
     @F.arrow_udf(FOUND)
+    @lean
     def scan(texts: pa.Array) -> pa.Array:
-        scanner = Scanner(templates, least)
+        scanner = held(("licenses", tuple(sorted(templates.items())), least), lambda: Scanner(templates, least))
         rows = [[dict(zip(("license", "common", "sizes", "unit"), x, strict=True)) for x in scanner.scan(t.as_py())] for t in texts]
         return pa.array(rows, pa.list_(pa.struct([("license", pa.string()), ("common", pa.int64()), ("sizes", pa.int64()), ("unit", pa.string())])))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.util import fresh, keyed_join, portions, quoted, table, written
+from lamina.llm.util import fresh, held, keyed_join, portions, quoted, table, trim, written
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -40,11 +40,13 @@ def line_keys(texts: pa.Array, least_chars: int = MIN_CHARS):
 
 
 def _hashed(batches, least_chars: int):
+    held()
     for batch in batches:
         ids, of, texts = batch.column(0), batch.column(1), batch.column(2)
         for begin, end in portions(texts):
             row, pos, h = line_keys(texts.slice(begin, end - begin), least_chars)
             yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin).take(row), of.slice(begin, end - begin).take(row), pos.cast(pa.int32()), h], ["doc_id", "of", "pos", "h"])
+        trim()
 
 
 def drop_shared_lines(docs: DataFrame, least_documents: int = MIN_DOCUMENTS, least_chars: int = MIN_CHARS) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from lamina.llm.graph import components
 from lamina.llm.shingles import shingle_hashes, word_hashes
-from lamina.llm.util import discard, fresh, mix64, portions, quoted, table, utf8, written
+from lamina.llm.util import discard, fresh, held, lean, mix64, portions, quoted, table, utf8, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 PLACES, BANDS, ROWS = 128, 25, 5
@@ -109,8 +109,10 @@ SKETCH_TYPE = T.StructType([T.StructField("node", T.BinaryType()), T.StructField
 
 
 @F.arrow_udf(SKETCH_TYPE)
+@lean
 def sketch(texts: pa.Array) -> pa.Array:
     """128 bits of the words of each text, as CONTENT gives them, and its bands and signature."""
+    held()
     nodes, bands, names = [], [], []
     for begin, end in portions(texts, 1 << 19):
         part = texts.slice(begin, end - begin)
@@ -209,6 +211,7 @@ def content_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 @F.arrow_udf(T.BinaryType())
+@lean
 def elements(texts: pa.Array) -> pa.Array:
     """The multiset of shingles of each text as a sorted array of 64-bit hashes of (shingle, number of the occurrence)."""
     out = []

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.shingles import run_hashes, words
-from lamina.llm.util import fresh, portions, table, utf8
+from lamina.llm.util import fresh, held, lean, portions, table, utf8
 
 #: Hashed terms: words, endings of words, shapes.
 WORDS, ENDINGS, SHAPES = 3072, 768, 256
@@ -149,7 +149,9 @@ def with_quality_score(docs: DataFrame, model: Model, into: str = "score") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
+    @lean
     def score(texts: pa.Array) -> pa.Array:
+        held()
         own = [shared.value.score(counts(texts.slice(a, b - a))) for a, b in portions(texts, BYTES, ROWS)]
         return pa.array(np.concatenate([np.zeros(0), *own]), pa.float64())
 

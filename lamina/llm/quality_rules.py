@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.util import BLANK, broadcast_if_small, fresh, quoted, table, written
+from lamina.llm.util import BLANK, broadcast_if_small, fresh, held, lean, quoted, table, written
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -70,7 +70,9 @@ def count_stats(text: str | None) -> tuple[int, ...]:
 
 
 @F.arrow_udf(STATS_TYPE)
+@lean
 def _stats(texts: pa.Array) -> pa.Array:
+    held()
     rows = np.array([count_stats(t.as_py()) for t in texts], np.int64).reshape(-1, len(STATS))
     return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(STATS))], list(STATS))
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from lamina.llm.anchors import GRAM, anchors, text_anchors
 from lamina.llm.repeats import maximal_groups
 from lamina.llm.shingles import prefix_hash, range_hash
-from lamina.llm.util import discard, keyed_join, portions, salted_join, table, utf8, written
+from lamina.llm.util import discard, held, keyed_join, portions, salted_join, table, trim, utf8, written
 
 LENGTH = 100
 #: Most classes of one hash that one task gathers (1.4 MB of contexts).
@@ -47,6 +47,7 @@ def tag(text: str | None) -> int:
 
 
 def _anchor_rows(batches, length: int, full: bool):
+    held()
     for batch in batches:
         docs, texts, tags = batch.column(0), batch.column(1), batch.column(2)
         for begin, end in portions(texts, PORTION):
@@ -58,6 +59,7 @@ def _anchor_rows(batches, length: int, full: bool):
                 if full:
                     columns |= {"c": context.view(np.int64), "doc": docs.to_numpy(zero_copy_only=False)[begin:end][text].astype(np.int64), "at": (own[text] << 32) + at}
                 yield pa.RecordBatch.from_pydict(columns)
+        trim()
 
 
 def _anchor_table(docs: DataFrame, length: int, full: bool) -> DataFrame:

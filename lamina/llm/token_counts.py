@@ -8,7 +8,6 @@ tokens(<L) + L * docs(L) tokens; the same sums give totals and quantiles.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.util import fresh, table, written
+from lamina.llm.util import fresh, held, lean, table, written
 
 #: Distinct pieces whose token count a worker remembers; the memory is emptied when full.
 MEMORY = 250_000
@@ -24,8 +23,11 @@ MEMORY = 250_000
 RUN = 4096
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str):
+    return held(("counter", path), lambda: _made_counter(path))
+
+
+def _made_counter(path: str):
     import tiktoken
     from public_tokenizers import PATTERN
 
@@ -72,6 +74,7 @@ def with_token_count(docs: DataFrame, into: str = "n_tokens", path: str | None =
     path = path or default_ranks()
 
     @F.arrow_udf("bigint")
+    @lean
     def lengths(texts: pa.Array) -> pa.Array:
         return pa.array(count_tokens(texts.to_pylist(), path))
 

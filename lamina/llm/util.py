@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import itertools
 import re
@@ -106,6 +109,40 @@ def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total:
     return dealt.join(keys.withColumn(salt, every), [*on, salt]).drop(salt)
 
 
+_held: dict = {}
+
+
+def held(key=None, build=None):
+    """What build() makes, kept for the next call with the same key. A worker keeps one such thing at a time: another key,
+    or none, lets go of it, as workers go on from operator to operator."""
+    if key not in _held:
+        _held.clear()
+        if build is None:
+            return None
+        _held[key] = build()
+    return _held[key]
+
+
+def lean(work):
+    """A function over Arrow arrays that gives back the memory it freed, which allocators would keep for a worker's life."""
+
+    @functools.wraps(work)
+    def run(*arrays):
+        try:
+            return work(*arrays)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    """Gives memory that is free to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Sets the session to Arrow batches of BATCH_BYTES at most, a row at least. Batches are held several times over, as
     text, Python strings and results, by each worker and its JVM, and Spark's own bound suits short rows."""
