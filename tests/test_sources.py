@@ -173,6 +173,28 @@ def test_http_ranges(spark, served, path):
         open_stream("x", "r")
 
 
+def test_http_requests_are_repeated(tmp_path):
+    (tmp_path / "x").write_bytes(b"abcdef")
+    seen = []
+
+    class Flaky(Ranges):
+        def do_GET(self):  # noqa: N802
+            seen.append(self.path)
+            if len(seen) == 1 or self.path == "/gone":
+                self.send_error(503 if len(seen) == 1 else 404)
+            else:
+                super().do_GET()
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Flaky, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with open_stream(f"http://127.0.0.1:{server.server_port}/x", begin=1, end=4) as f:
+        assert f.read() == b"bcd" and len(seen) == 2
+    with pytest.raises(OSError, match="404"):
+        open_stream(f"http://127.0.0.1:{server.server_port}/gone").read()
+    assert len(seen) == 3
+    server.shutdown()
+
+
 def test_blobs(spark):
     data = bytes(range(100))
     store = spark.createDataFrame([(f"t:a:{k}", bytearray(data[k : k + 30])) for k in (60, 0, 30)] + [("t:b:90", bytearray(data[90:]))], "key string, data binary")
