@@ -1,4 +1,5 @@
 import decimal
+import zlib
 
 import duckdb
 import pytest
@@ -34,3 +35,9 @@ def test_query(spark, name):
     assert sorted(names) == sorted(got.columns)
     want = sorted(tuple(plain(dict(zip(names, r))[c]) for c in sorted(names)) for r in cursor.fetchall())
     assert sorted(tuple(plain(r[c]) for c in sorted(names)) for r in rows) == want
+
+
+def test_crc32_of_texts(spark):
+    """SQL would run over every byte of every text, so this query is held against zlib."""
+    texts = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    assert {(r.doc_id, r.digest) for r in catalogue.payload_crc32_texts(spark, SF).collect()} == {(i, zlib.crc32((t or "").encode())) for i, t in texts}
