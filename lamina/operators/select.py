@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 
 def name_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """Reaches the source as StringStartsWith."""
+    """Names that begin with the prefix; sources that take predicates get it as one."""
     return df.where(F.col(column).startswith(prefix))
 
 

@@ -11,6 +11,7 @@ import json
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -691,11 +692,13 @@ def archive_catalog(spark, sf_dir):
 
 @query("SELECT 'vec.' || vec_id AS name, 4 * len(embedding)::BIGINT AS data_length FROM embeddings WHERE 'vec.' || vec_id IN ('vec.3', 'vec.44') OR starts_with('vec.' || vec_id, 'vec.1')")
 def archive_filters(spark, sf_dir):
-    """Names chosen by value, by set and by prefix, before any payload is read where the session pushes predicates."""
+    """Names chosen in the index by set, by prefix and by pattern, and by predicates over one DataFrame in two branches."""
     path = f"{scratch(spark)}/vectors.arr"
     archive.write(pack.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), path)
-    rows = archive.read(spark, path, "catalog").select("name", "data_length")
-    return rows.where(F.col("name").isin("vec.3", "vec.44")).unionByName(select.name_prefix(rows, "name", "vec.1")).distinct()
+    found = [archive.read(spark, path, "catalog", names=["vec.3", "vec.44"]), archive.read(spark, path, "catalog", namePrefix="vec.1"), archive.read(spark, path, "catalog", nameRegex=r"vec\.(3|44)$")]
+    rows = archive.read(spark, path, "catalog")
+    found += [rows.where(F.col("name").isin("vec.3", "vec.44")), select.name_prefix(rows, "name", "vec.1")]
+    return reduce(DataFrame.unionByName, found).select("name", "data_length").distinct()
 
 
 @query("SELECT 'text.' || doc_id AS name, strlen(text) AS data_length, true AS intact FROM documents")

@@ -10,8 +10,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Predicates reach Python data sources only if asked to.
-    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

@@ -1,15 +1,17 @@
 """A Spark data source of archives: ``spark.read.format("array_archive").option("relation", ...).load(path)``.
 
 Relations: archive_info and catalog read headers and indexes only; headers reads record headers; reads tells what each
-task's range of payloads took; chunks reads payloads in pieces; elements decodes them, in Arrow batches. Predicates on names reach the index before any payload is read where
-the session pushes them to Python sources, and are applied by Spark where it doesn't. Payload relations are cut into
-byte-balanced contiguous ranges, one to a task.
+task's range of payloads took; chunks reads payloads in pieces; elements decodes them, in Arrow batches. Payload
+relations are cut into byte-balanced contiguous ranges, one to a task.
 
-Options: path (several divided by commas, local globs allowed), nameRegex, readers (ranges to an archive, by default one
-for each 64 MiB), chunkBytes, verify (check digests while reading payloads), keyFile (a file with the raw key or, with
-keyKind=passphrase, the passphrase of encrypted archives), pushdown (whether the session pushes predicates; read() sets
-it). Writing: encrypt (with keyFile), indexBytes (by default as many as the index needs), parts (a folder with one
-archive from each task instead of one archive, whose payloads the commit would copy).
+Options: path (several divided by commas, local globs allowed); nameRegex, namePrefix and names (a JSON array), which
+choose arrays in the index before any payload is read; readers (ranges to an archive, by default one for each 64 MiB),
+chunkBytes, verify (check digests while reading payloads), keyFile (a file with the raw key or, with keyKind=passphrase,
+the passphrase of encrypted archives). Writing: encrypt (with keyFile), indexBytes (by default as many as the index
+needs), parts (a folder with one archive from each task instead of one archive, whose payloads the commit would copy).
+
+The reader takes no predicates from Spark: version 4.1 keeps those it pushes to a Python source with the table, so two
+branches of a plan over one DataFrame would both read by the predicates of the second.
 
 Paths are of file systems that all nodes mount, or HTTP addresses; archives in object stores are read by decode_files().
 """
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -189,7 +191,8 @@ class Slice(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, relation: str, options: dict, schema: pa.Schema):
-        self.relation, self.options, self.schema, self.wanted = relation, options, schema, []
+        self.relation, self.options, self.schema = relation, options, schema
+        self.names = frozenset(json.loads(options["names"])) if "names" in options else None
         self.files = [f for part in options["path"].split(",") for f in (sorted(glob.glob(part)) if any(c in part for c in "*?[") else self._inside(part))]
 
     @staticmethod
@@ -198,12 +201,7 @@ class ArchiveReader(DataSourceReader):
 
     def _keeps(self, name: str) -> bool:
         pattern = self.options.get("nameregex")
-        if pattern and not re.match(pattern, name):
-            return False
-        for f in self.wanted:
-            if isinstance(f, EqualTo) and name != f.value or isinstance(f, In) and name not in f.value or isinstance(f, StringStartsWith) and not name.startswith(f.value):
-                return False
-        return True
+        return (not pattern or re.match(pattern, name) is not None) and name.startswith(self.options.get("nameprefix", "")) and (self.names is None or name in self.names)
 
     def _secret(self):
         path = self.options.get("keyfile")
@@ -244,17 +242,6 @@ class ArchiveReader(DataSourceReader):
             yield from batches_of(self.schema, self.relation, partition.archive, file, header, chosen, self._secret(), verify, int(self.options.get("chunkbytes", CHUNK)))
 
 
-class PushingReader(ArchiveReader):
-    """The reader for sessions that push predicates to Python sources; in others Spark refuses one that takes them."""
-
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            if self.relation != "archive_info" and isinstance(f, EqualTo | In | StringStartsWith) and f.attribute == ("name",):
-                self.wanted.append(f)
-            else:
-                yield f
-
-
 @dataclass
 class Part(WriterCommitMessage):
     path: str
@@ -405,7 +392,7 @@ class ArchiveSource(DataSource):
 
     def reader(self, schema):
         options = self._options()
-        return (PushingReader if options.get("pushdown", "false").lower() == "true" else ArchiveReader)(self.options.get("relation", "catalog"), options, to_arrow_schema(schema))
+        return ArchiveReader(self.options.get("relation", "catalog"), options, to_arrow_schema(schema))
 
     def writer(self, schema, overwrite):
         return ArchiveWriter(self._options(), overwrite)
@@ -417,7 +404,9 @@ def register(spark: SparkSession) -> SparkSession:
 
 
 def read(spark: SparkSession, path: str, relation: str = "catalog", **options) -> DataFrame:
-    options = {"pushdown": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")} | options
+    """A relation of archives; names, a list, goes as JSON."""
+    if "names" in options:
+        options = options | {"names": json.dumps(list(options["names"]))}
     return register(spark).read.format(FORMAT).options(relation=relation, **{k: str(v) for k, v in options.items()}).load(path)
 
 

@@ -40,11 +40,15 @@ def test_relations(spark, path, vectors):
     assert archive.read(spark, path, "chunks", chunkBytes=5, verify="true").count() == 120
 
 
-def test_predicates_reach_the_index(spark, path):
+def test_names_are_chosen_in_the_index(spark, path):
+    """By options before payloads are read; predicates are Spark's, each branch of a plan has its own."""
     found = archive.read(spark, path, "chunks")
-    assert found.where("name = 'vec.7'").count() == 1 and found.where(F.col("name").startswith("vec.3")).count() == 11
+    one, many = found.where("name = 'vec.7'"), found.where(F.col("name").startswith("vec.3"))
+    assert one.count() == 1 and many.count() == 11 and one.unionByName(many).count() == 12
     assert found.where(F.col("name").isin("vec.1", "vec.2")).count() == 2
     assert archive.read(spark, path, "chunks", nameRegex=r"vec\.[12]$").count() == 2
+    assert archive.read(spark, path, "chunks", names=["vec.1", "vec.2", "other"]).count() == 2
+    assert archive.read(spark, path, "chunks", namePrefix="vec.3", nameRegex=r".*[01]$").count() == 2
 
 
 def test_digests_with_expressions(spark, path):
@@ -70,13 +74,13 @@ def test_encrypted_copy(spark, vectors, tmp_path):
         archive.read(spark, out, "chunks").count()
 
 
-def test_sessions_that_do_not_push(spark, path):
-    """Where predicates aren't pushed the reader takes none, and Spark applies them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+def test_sessions_that_push(spark, path):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        assert archive.read(spark, path, "chunks").where("name = 'vec.7'").count() == 1
+        rows = archive.read(spark, path, "chunks")
+        assert rows.where("name = 'vec.7'").unionByName(rows.where("name = 'vec.8'")).select("name").distinct().count() == 2
     finally:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     assert spark.read.format("array_archive").load(path).where("name = 'vec.7'").count() == 1
 
 
