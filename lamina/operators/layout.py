@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,6 +166,82 @@ def balanced_parts(df: DataFrame, weight: str, order: str, by: str, parts: int,
     return exact.unionByName(greedy_parts(judged.where("NOT __exact").select(by, order, weight), weight, order, [by], parts))
 
 
+def best_marks(ends: np.ndarray, total: int, parts: int) -> list[int] | None:
+    """The parts - 1 different values of ends, which ascend and are below total, whose largest gap, from 0 on and up to
+    total, is as small as can be: a bisection over the gap, then the farthest marks that leave enough. None if too few."""
+    cuts = parts - 1
+    if len(ends) < cuts:
+        return None
+
+    def filled(most: int) -> list[int] | None:
+        out, at, last = [], 0, -1
+        for j in range(cuts):
+            i = min(int(np.searchsorted(ends, at + most, side="right")) - 1, len(ends) - cuts + j)
+            if i <= last:
+                return None
+            at, last = int(ends[i]), i
+            out.append(at)
+        return out if total - at <= most else None
+
+    low, high = -(-total // parts), largest_gap([int(x) for x in ends[:cuts]], total)
+    while low < high:
+        most = (low + high) // 2
+        low, high = (low, most) if filled(most) is not None else (most + 1, high)
+    return filled(low)
+
+
+def largest_gap(marks: list[int], total: int) -> int:
+    return max(b - a for a, b in zip([0, *marks], [*marks, total], strict=True))
+
+
+def least_parts(df: DataFrame, weight: str, order: str, by: str, parts: int) -> DataFrame:
+    """(by, total, largest, marks): the exact cut of groups of any length into contiguous parts with the least largest one.
+
+    marks are the running sums at which all parts but the last end. Rows of equal order, a whole number, stay together,
+    no part is empty or only of zeros, and groups that can't be cut so give no row; rows without group, order or weight
+    take no part. A group's order is cut into about as many runs as a run has rows. Sums of runs give a cut at their
+    ends, so a limit G of the largest part; as the j-th mark of a best cut lies between total - (parts - j) * G and j * G,
+    rows are only looked at in runs that reach there. Orders that crowd in few runs, or single rows as heavy as a part,
+    leave more of a group to one task, but never change the result.
+    """
+    if parts < 2:
+        raise ValueError("a cut makes two parts at least")
+    kept = df.select(F.col(by).alias("__by"), F.col(order).alias("__order"), F.col(weight).cast("bigint").alias("__w")).dropna()
+    sized = kept.groupBy(F.col("__by").alias("__of")).agg(F.count(F.lit(1)).alias("__n"), F.min("__order").alias("__low"), F.max("__order").alias("__high"))
+    width = sized.select("__of", F.expr("(__high div 2 - __low div 2) div (cast(sqrt(__n) AS bigint) + 1) + 1").alias("__width"))
+    cut = kept.join(width, F.col("__by") == F.col("__of")).select("__by", F.expr("__order div 2 div __width").alias("__run"), "__order", "__w")
+    down, up = F.sum(F.least("__w", F.lit(0))).alias("__down"), F.sum(F.greatest("__w", F.lit(0))).alias("__up")
+    runs = cut.groupBy("__by", "__run").agg(F.sum("__w").alias("__w"), down, up)
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__run")
+        upto = rows["__w"].cumsum()
+        base, total = upto - rows["__w"], int(upto.iloc[-1])
+        marks = best_marks(np.unique(upto[upto < total]), total, parts)
+        reached = np.full(len(rows), marks is None)
+        if marks is not None:
+            limit = largest_gap(marks, total)
+            for j in range(1, parts):
+                reached |= ((base + rows["__up"] >= total - (parts - j) * limit) & (base + rows["__down"] <= j * limit)).to_numpy()
+        return rows.assign(__base=base, __total=total)[reached][["__by", "__run", "__base", "__total"]]
+
+    kind = kept.schema["__by"].dataType.simpleString()
+    chosen = runs.groupBy("__by").applyInPandas(near, f"__by {kind}, __run bigint, __base bigint, __total bigint")
+    chosen = chosen.select(F.col("__by").alias("__of"), F.col("__run").alias("__of_run"), "__base", "__total")
+    within = Window.partitionBy("__by", "__run").orderBy("__order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = cut.join(chosen, (F.col("__by") == F.col("__of")) & (F.col("__run") == F.col("__of_run")))
+    ends = met.select("__by", "__total", (F.sum("__w").over(within) + F.col("__base")).alias("__upto"))
+
+    def marked(rows: pd.DataFrame) -> pd.DataFrame:
+        total = int(rows["__total"].iloc[0])
+        marks = best_marks(np.unique(rows["__upto"][rows["__upto"] < total]), total, parts)
+        found = [] if marks is None else [(rows["__by"].iloc[0], total, largest_gap(marks, total), marks)]
+        return pd.DataFrame(found, columns=["__by", "total", "largest", "marks"])
+
+    out = ends.groupBy("__by").applyInPandas(marked, f"__by {kind}, total bigint, largest bigint, marks array<bigint>")
+    return out.select(F.col("__by").alias(by), "total", "largest", "marks")
+
+
 def chunk_plan(df: DataFrame, length: str, chunk: int) -> DataFrame:
     """df with a row for each chunk: chunk_idx, chunk_offset, chunk_length; none for length 0."""
     if chunk < 1:

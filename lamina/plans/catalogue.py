@@ -118,11 +118,9 @@ def exact_partition(spark, sf_dir):
     b AS (SELECT p_size, sum(w) OVER (PARTITION BY p_size ORDER BY p_partkey) AS upto, sum(w) OVER (PARTITION BY p_size) AS total FROM a)
     SELECT x.p_size, min(greatest(x.upto, y.upto - x.upto, x.total - y.upto))::BIGINT AS largest FROM b x JOIN b y ON x.p_size = y.p_size AND x.upto < y.upto AND y.upto < y.total GROUP BY x.p_size""")
 def balanced_partition(spark, sf_dir):
-    """The least largest of three contiguous parts, by group; where the exact cut would cost too much, the greedy one."""
+    """The least largest of three contiguous parts, by group, however long the groups are."""
     weighted = table(spark, sf_dir, "part").select("p_size", "p_partkey", (F.col("p_size") * (F.col("p_partkey") % 7 + 1)).alias("weight"))
-    weighted = weighted.join(weighted.groupBy("p_size").count().where("count >= 3").select("p_size"), "p_size", "left_semi")
-    parts = layout.balanced_parts(weighted, "weight", "p_partkey", "p_size", 3)
-    return parts.groupBy("p_size", "part").agg(F.sum("weight").alias("total")).groupBy("p_size").agg(F.max("total").alias("largest"))
+    return layout.least_parts(weighted, "weight", "p_partkey", "p_size", 3).select("p_size", "largest")
 
 
 @query("""SELECT doc_id, n_bytes, k AS chunk_idx, 2048 * k AS chunk_offset, least(2048, n_bytes - 2048 * k) AS chunk_length FROM (
